@@ -26,7 +26,7 @@ def sorted_keys(col: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         return F.transform(col, lambda item: sorted_keys(item, kind.elementType))
     if isinstance(kind, T.MapType):
-        keys = F.array_sort(F.map_keys(col))
+        keys = F.sort_array(F.map_keys(col))
         return F.map_from_arrays(keys, F.transform(keys, lambda k: sorted_keys(col[k], kind.valueType)))
     return col
 

@@ -174,7 +174,11 @@ def redact_text(col: Column, key: str) -> Column:
 
 def kind_counts(kinds: Column) -> Column:
     """``map<kind, count>`` holding only the kinds that occur."""
-    return F.map_from_entries(F.transform(
-        F.array_distinct(kinds),
-        lambda kind: F.struct(kind, F.size(F.filter(kinds, lambda other: other == kind)).cast("bigint")),
-    ))
+
+    def counted(found: Column) -> Column:
+        return F.map_from_entries(F.transform(
+            F.array_distinct(found),
+            lambda kind: F.struct(kind, F.size(F.filter(found, lambda other: other == kind)).cast("bigint")),
+        ))
+
+    return bind(kinds, counted)

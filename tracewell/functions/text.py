@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.functions.privacy import bind
+
 PRIVACY_TOKEN = r"<pii_[a-z0-9_]+_v1_[0-9a-f]{32}>"
 WORD_RUN = r"[\p{L}\p{N}]+"
 
@@ -28,11 +30,19 @@ def fold_table() -> tuple[str, dict[str, str], dict[str, str]]:
     return special, single, several
 
 
+def _class_body(chars: str) -> str:
+    """The characters as ranges of a pattern class; few ranges are much faster to test than many characters."""
+    points = sorted(map(ord, chars))
+    starts = [p for p in points if p - 1 not in set(points)]
+    ends = [p for p in points if p + 1 not in set(points)]
+    return "".join(f"\\x{{{first:X}}}-\\x{{{last:X}}}" for first, last in zip(starts, ends, strict=True))
+
+
 def casefold(col: Column) -> Column:
     """Full Unicode case folding.
 
     Lower case is the fold of nearly every text once sharp s is spelled out; only texts that hold another
-    special character take the table.
+    special character take the table. Texts in Latin-1 letters are cleared by a test of two ranges.
     """
     special, single, several = fold_table()
     text = F.replace(col, F.lit("ß"), F.lit(several["ß"]))
@@ -41,15 +51,21 @@ def casefold(col: Column) -> Column:
     )
     expanded = F.aggregate(pairs, text, lambda acc, pair: F.replace(acc, pair["0"], pair["1"]))
     by_table = F.translate(expanded, "".join(single), "".join(single.values()))
-    return F.when(text.rlike("[" + special.replace("ß", "") + "]"), by_table).otherwise(F.lower(text))
+    beyond_latin = text.rlike(r"[µ\x{100}-\x{10FFFF}]")
+    has_special = text.rlike(f"[{_class_body(special.replace('ß', ''))}]")
+    return F.when(beyond_latin & has_special, by_table).otherwise(F.lower(text))
 
 
 def words(col: Column) -> Column:
     """All words of a folded text in order, whole privacy tokens first; repeats are kept."""
-    plain = F.regexp_extract_all(col, F.lit(WORD_RUN), F.lit(0))
-    tokens = F.regexp_extract_all(col, F.lit(PRIVACY_TOKEN), F.lit(0))
-    rest = F.regexp_extract_all(F.regexp_replace(col, PRIVACY_TOKEN, " "), F.lit(WORD_RUN), F.lit(0))
-    return F.when(col.contains("<pii_"), F.concat(tokens, rest)).otherwise(plain)
+
+    def split(folded: Column) -> Column:
+        plain = F.regexp_extract_all(folded, F.lit(WORD_RUN), F.lit(0))
+        tokens = F.regexp_extract_all(folded, F.lit(PRIVACY_TOKEN), F.lit(0))
+        rest = F.regexp_extract_all(F.regexp_replace(folded, PRIVACY_TOKEN, " "), F.lit(WORD_RUN), F.lit(0))
+        return F.when(folded.contains("<pii_"), F.concat(tokens, rest)).otherwise(plain)
+
+    return bind(col, split)
 
 
 def word_tokens(col: Column) -> Column:

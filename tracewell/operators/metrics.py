@@ -44,7 +44,7 @@ def _labels(names: tuple[str, ...]) -> Column:
 
 def label_text(labels: Column) -> Column:
     """``name="value"`` pairs joined by commas, in name order."""
-    keys = F.array_sort(F.map_keys(labels))
+    keys = F.sort_array(F.map_keys(labels))
     return F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit('="'), labels[k], F.lit('"'))), ",")
 
 

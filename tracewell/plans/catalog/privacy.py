@@ -13,7 +13,7 @@ from tracewell.sources import tables
 
 def redact_documents(spark, folder):
     redacted = ingest.redact_documents(tables.documents(spark, folder), KEY)
-    kinds = F.array_sort(F.map_keys("pii_counts"))
+    kinds = F.sort_array(F.map_keys("pii_counts"))
     counts = F.transform(kinds, lambda kind: F.concat(kind, F.lit("="), F.col("pii_counts")[kind].cast("string")))
     return redacted.select("doc_id", "text", "source_token", F.array_join(counts, ",").alias("pii_counts"))
 
@@ -112,7 +112,7 @@ def casefold_documents(spark, folder):
 def document_words(spark, folder):
     tokens = text.word_tokens(F.col("text"))
     return tables.documents(spark, folder).select(
-        "doc_id", F.size(tokens).alias("words"), F.md5(F.array_join(F.array_sort(tokens), " ")).alias("digest")
+        "doc_id", F.size(tokens).alias("words"), F.md5(F.array_join(F.sort_array(tokens), " ")).alias("digest")
     )
 
 
@@ -134,12 +134,11 @@ def validate_documents(spark, folder):
     """Pages beside documents; every 97th document is emptied and every 89th lengthened past the limit."""
     documents = tables.documents(spark, folder).select(
         "request_id",
-        F.when(F.col("doc_id") % 97 == 0, F.lit("")).when(F.col("doc_id") % 89 == 0, F.repeat("text", 200_000))
+        F.when(F.col("doc_id") % 97 == 0, F.lit(""))
+        .when(F.col("doc_id") % 89 == 0, F.rpad("text", validation.MAX_TEXT + 1, "x"))
         .otherwise(F.col("text")).alias("text"),
         F.when(F.col("lang") != "fr", F.col("source")).alias("source"),
     )
-    # A repeated text is only as long as it must be to break the rule.
-    documents = documents.withColumn("text", F.substring("text", 1, validation.MAX_TEXT + 1))
     pages = tables.table(spark, folder, "pages").select(
         F.concat(F.lit("page-"), "page_id").alias("request_id"), F.col("html").alias("text"), F.col("url").alias("source"))
     checked = validation.validate_documents(documents.unionByName(pages))
@@ -233,7 +232,7 @@ ORACLES = {
     "validate_documents": """
         SELECT 'doc-' || doc_id AS request_id, CASE WHEN lang <> 'fr' THEN source ELSE 'sample' END AS source,
                CASE WHEN doc_id % 97 = 0 OR length(text) = 0 THEN 'text_length'
-                    WHEN doc_id % 89 = 0 AND length(text) * 200000 > 200000 THEN 'text_length'
+                    WHEN doc_id % 89 = 0 THEN 'text_length'
                     WHEN length(text) > 200000 THEN 'text_length' ELSE '' END AS failed FROM documents
         UNION ALL
         SELECT 'page-' || page_id, url, CASE WHEN length(html) BETWEEN 1 AND 200000 THEN '' ELSE 'text_length' END FROM pages""",

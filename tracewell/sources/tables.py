@@ -18,8 +18,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a small file over all cores before costly row work; an input with enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents")
+    rows = spread(table(spark, folder, "documents"), "doc_id")
     return rows.select(
         "doc_id", F.concat(F.lit("doc-"), "doc_id").alias("request_id"), "text", "source", "lang",
     )
@@ -27,7 +33,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as one chunk, in order of insertion."""
-    rows = table(spark, folder, "documents")
+    rows = spread(table(spark, folder, "documents"), "doc_id")
     return rows.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("insert_seq"), "text")
 
 
@@ -54,7 +60,7 @@ def _currency(order_key: Column) -> Column:
 
 def payments(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as payments: ids, minor units, one of six currencies, network by priority."""
-    rows = table(spark, folder, "orders")
+    rows = spread(table(spark, folder, "orders"), "o_orderkey")
     return rows.select(
         "o_orderkey", "o_orderstatus",
         F.concat(F.lit("pay-"), "o_orderkey").alias("request_id"),
@@ -70,7 +76,7 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_log(spark: SparkSession, folder: str) -> DataFrame:
     """Events with timestamps a watermark accepts."""
-    rows = table(spark, folder, "events")
+    rows = spread(table(spark, folder, "events"), "event_id")
     return rows.select(
         F.concat(F.lit("e-"), "event_id").alias("event_id"), "event_type",
         F.col("ts").cast("timestamp").alias("occurred_at"),
