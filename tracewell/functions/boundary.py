@@ -68,16 +68,35 @@ def safe_column(col: Column, kind: T.DataType, name: str | Column, key: str) ->
     return F.lit(True)
 
 
+def _free_strings(df: DataFrame) -> list[str]:
+    """Top-level strings that are neither secret nor a server id: all are redacted by one expression."""
+    fixed = {*SECRET_FIELDS, *SERVER_FIELDS}
+    return [
+        f.name for f in df.schema
+        if isinstance(f.dataType, T.StringType) and f.name.lower().removesuffix("_token") not in fixed
+    ]
+
+
 def sanitize(df: DataFrame, key: str) -> DataFrame:
     """Every column made safe to audit or publish. Safe rows come out unchanged."""
-    return df.select([sanitize_column(df[f.name], f.dataType, f.name, key).alias(f.name) for f in df.schema])
+    free = _free_strings(df)
+    shared = F.transform(F.array(*[df[name] for name in free]), lambda col: _safe_string(col, "", key))
+    prepared = df.withColumn("_redacted", shared) if free else df
+    return prepared.select([
+        F.col("_redacted")[free.index(f.name)].alias(f.name) if f.name in free
+        else sanitize_column(F.col(f"`{f.name}`"), f.dataType, f.name, key).alias(f.name)
+        for f in df.schema
+    ])
 
 
 def is_safe(df: DataFrame, key: str, headers: str | None = None) -> Column:
     """True for rows that hold nothing unsafe; values in a ``headers`` column go by the header's name."""
+    free = _free_strings(df)
     checks = F.lit(True)
+    if free:
+        checks = F.forall(F.array(*[df[name] for name in free]), lambda col: col.eqNullSafe(_safe_string(col, "", key)))
     for field in df.schema:
-        if field.name != headers:
+        if field.name != headers and field.name not in free:
             checks = checks & safe_column(df[field.name], field.dataType, field.name, key)
     if headers:
         named = F.forall(

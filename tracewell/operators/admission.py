@@ -35,14 +35,14 @@ def busy_periods(calls: DataFrame, key: str, time: str, order: tuple[str, ...],
     A pause of ``idle`` seconds refills any bucket, so what follows it does not depend on what went before:
     periods of one key can be replayed in different tasks.
     """
-    keyed = calls.withColumn("bucket", bucket)
+    keyed = calls.withColumn("_bucket", bucket)
     by = [time, *order]
-    chained = previous_value(keyed, [key], "bucket", by, F.col(time), "previous")
-    seconds = F.col(time).cast("double") - F.col("previous").cast("double")
+    chained = previous_value(keyed, [key], "_bucket", by, F.col(time), "_previous")
+    seconds = F.col(time).cast("double") - F.col("_previous").cast("double")
     opened = chained.withColumn(
-        "opening", F.when(F.col("previous").isNull() | (seconds >= idle), F.struct(*by))
+        "_opening", F.when(F.col("_previous").isNull() | (seconds >= idle), F.struct(*by))
     )
-    return running_last(opened, [key], "bucket", by, "opening", "period").drop("previous", "opening", "bucket")
+    return running_last(opened, [key], "_bucket", by, "_opening", "period").drop("_previous", "_opening", "_bucket")
 
 
 def token_bucket(
@@ -66,14 +66,14 @@ def token_bucket(
         current, state = None, Bucket(rate, capacity)
         for frame in frames:
             decisions = []
-            for group, at in zip(frame["group_hash"], frame["at"], strict=True):
+            for group, at in zip(frame["_period"], frame["_at"], strict=True):
                 if group != current:
                     current, state = group, Bucket(rate, capacity)
                 decisions.append(state.admit(at))
             yield frame[columns].assign(admitted=decisions)
 
-    seconds = F.col(time).cast("timestamp").cast("double").alias("at")
+    seconds = F.col(time).cast("timestamp").cast("double").alias("_at")
     period_name = F.concat_ws("|", F.col(key).cast("string"), F.to_json("period"))
-    grouped = periods.select(*columns, seconds, period_name.alias("group_hash"))
-    in_order = grouped.repartition("group_hash").sortWithinPartitions("group_hash", time, *order)
+    grouped = periods.select(*columns, seconds, period_name.alias("_period"))
+    in_order = grouped.repartition("_period").sortWithinPartitions("_period", time, *order)
     return in_order.mapInPandas(replay, schema)

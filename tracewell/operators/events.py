@@ -132,8 +132,8 @@ def trace_report(events: DataFrame, time: str = "occurred_at") -> DataFrame:
 
 def trace_steps(events: DataFrame, time: str = "occurred_at", bucket: str = "hour") -> DataFrame:
     """Every event with its 1-based ``step`` within its correlation id, in time order."""
-    keyed = events.withColumn("bucket", F.date_trunc(bucket, time)).withColumn("one", F.lit(1))
-    return running_sum(keyed, ["correlation_id"], "bucket", [time, "event_id"], "one", "step").drop("bucket", "one")
+    keyed = events.withColumn("_bucket", F.date_trunc(bucket, time)).withColumn("_one", F.lit(1))
+    return running_sum(keyed, ["correlation_id"], "_bucket", [time, "event_id"], "_one", "step").drop("_bucket", "_one")
 
 
 def missing_events(expected: DataFrame, observed: DataFrame) -> DataFrame:

@@ -102,13 +102,13 @@ def check_transitions(transitions: DataFrame, bucket: Column, order: tuple[str,
 
     ``bucket`` cuts each lifecycle into ranges of its order, so a very long one is not sorted in one task.
     """
-    keyed = transitions.withColumn("bucket", bucket)
-    chained = previous_value(keyed, ["correlation_id"], "bucket", list(order), F.col("state_to"), "previous")
+    keyed = transitions.withColumn("_bucket", bucket)
+    chained = previous_value(keyed, ["correlation_id"], "_bucket", list(order), F.col("state_to"), "previous")
     allowed = F.lit(False)
     for state_from, state_to in ALLOWED_MOVES:
         allowed = allowed | ((F.col("state_from") == state_from) & (F.col("state_to") == state_to))
     continues = F.coalesce(F.col("previous"), F.lit("INITIALIZED")) == F.col("state_from")
-    return chained.withColumn("legal", F.coalesce(allowed & continues, F.lit(False))).drop("bucket")
+    return chained.withColumn("legal", F.coalesce(allowed & continues, F.lit(False))).drop("_bucket")
 
 
 def current_state(transitions: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:

@@ -101,7 +101,12 @@ def _hits(found: DataFrame, strategy: str) -> DataFrame:
 
 
 def index_words(chunks: DataFrame) -> DataFrame:
-    """``(item_id, insert_seq, words)``, the form all word searches read; store it to search it often."""
+    """``(item_id, insert_seq, words)``, the form all word searches read.
+
+    Searches accept it in place of chunks: store it once to search it often.
+    """
+    if "words" in chunks.columns:
+        return chunks
     return chunks.select(
         F.col("chunk_id").alias("item_id"), "insert_seq", text.words(text.casefold(F.col("text"))).alias("words")
     )

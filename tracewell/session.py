@@ -8,6 +8,25 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings of a session, changeable at run time, that every job here wants.
+SESSION_SETTINGS = {
+    # Times without a zone are UTC.
+    "spark.sql.session.timeZone": "UTC",
+    # The JVM never compiles a method beyond 8,000 bytes of code; rows of many redacted or hashed columns reach
+    # that, and then smaller generated functions run several times faster than one fused, interpreted loop.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Whole documents travel in Arrow batches: few rows per batch keep a Python worker small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Apply the run-time settings to a session that was built elsewhere."""
+    for name, value in SESSION_SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def build_session(app: str = "tracewell", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and the state store that spills to disk.
 
@@ -18,12 +37,10 @@ def build_session(app: str = "tracewell", master: str | None = None, **conf: str
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **SESSION_SETTINGS,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Whole documents travel in Arrow batches: few rows per batch keep a Python worker small.
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
