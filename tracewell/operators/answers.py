@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions.canonical import error_boundary
 from tracewell.functions.privacy import redact_text, token_for
@@ -55,7 +56,10 @@ def generate(questions: DataFrame, model: Callable[[], Callable[[str], str]]) ->
                                llm_error=pd.Series(errors, index=frame.index, dtype=object))
 
     asked = questions.withColumn("prompt", prompt())
-    return asked.mapInPandas(run, asked.schema.simpleString()[7:-1] + ",answer:string,llm_error:string")
+    schema = T.StructType([
+        *asked.schema.fields, T.StructField("answer", T.StringType()), T.StructField("llm_error", T.StringType()),
+    ])
+    return asked.mapInPandas(run, schema)
 
 
 def answer_text(retrieved: Column, model_answer: Column, llm_error: Column, llm_enabled: bool) -> Column:

@@ -27,9 +27,17 @@ def redact_documents(documents: DataFrame, key: str, redactor: Callable[[Column]
     )
 
 
+def split_documents(redacted: DataFrame, splitter: Callable[[Column], Column] = text.chunk_recursive) -> DataFrame:
+    """``pieces`` (array of chunk texts) in place of the text; a frame that has them already stays as it is."""
+    if "pieces" in redacted.columns:
+        return redacted
+    return redacted.withColumn("pieces", splitter(F.col("text"))).drop("text")
+
+
 def chunk_documents(redacted: DataFrame, splitter: Callable[[Column], Column] = text.chunk_recursive) -> DataFrame:
     """One row per chunk: ``(chunk_id, request_id, position, text, source_token)``; empty text gives none."""
-    pieces = redacted.select("request_id", "source_token", F.posexplode(splitter(F.col("text"))).alias("position", "text"))
+    split = split_documents(redacted, splitter)
+    pieces = split.select("request_id", "source_token", F.posexplode("pieces").alias("position", "text"))
     return pieces.select(
         text.chunk_id(F.col("request_id"), F.col("position"), F.col("text")).alias("chunk_id"),
         "request_id", "position", "text", "source_token",
@@ -45,10 +53,8 @@ def ingest_telemetry(redacted: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def telemetry_rows(redacted: DataFrame, splitter: Callable[[Column], Column] = text.chunk_recursive) -> DataFrame:
-    """The same telemetry without any shuffle, when chunks are not already stored."""
-    return redacted.select(
-        "request_id", "source_token", "pii_counts", F.size(splitter(F.col("text"))).alias("chunk_count")
-    )
+    """The same telemetry without any shuffle, from the rows that are about to be chunked."""
+    return split_documents(redacted, splitter).withColumn("chunk_count", F.size("pieces")).drop("pieces")
 
 
 def pii_totals(redacted: DataFrame, *by: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Every registered query and, where SQL can state it, its oracle."""
 
-from tracewell.plans.catalog import events, operations, payments, privacy, retrieval
+from tracewell.plans.catalog import events, flows, operations, payments, privacy, retrieval
 
-_TOPICS = (events, privacy, payments, retrieval, operations)
+_TOPICS = (events, privacy, payments, retrieval, operations, flows)
 
 
 def all_queries() -> dict:

@@ -21,14 +21,14 @@ def ingest_batches(
     def write(df: DataFrame, batch_id: int) -> None:
         checked = validation.validate_documents(df)
         valid, failed = validation.split_valid(checked)
-        redacted = ingest.redact_documents(valid, key).persist()
+        split = ingest.split_documents(ingest.redact_documents(valid, key), splitter).persist()
         try:
-            chunks(ingest.chunk_documents(redacted, splitter), batch_id)
-            telemetry(ingest.telemetry_rows(redacted, splitter), batch_id)
+            chunks(ingest.chunk_documents(split), batch_id)
+            telemetry(ingest.telemetry_rows(split), batch_id)
             # Refused texts are not stored in clear: what is kept says who failed and why.
             rejected(failed.select("request_id", "failed"), batch_id)
         finally:
-            redacted.unpersist()
+            split.unpersist()
 
     return write
 
