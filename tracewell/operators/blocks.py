@@ -89,7 +89,7 @@ def best_items(
     query_block: int = QUERY_WEIGHT,
     item_block: int = ITEM_WEIGHT,
 ) -> DataFrame:
-    """``(query_id, top_k, item_id, insert_seq, score)``, a superset of every query's first ``top_k`` hits.
+    """``(query_id, item_id, insert_seq, score, index)``: the first ``top_k`` hits of every query.
 
     ``queries`` has query_id, top_k and columns for ``prepare``; ``items`` has item_id, insert_seq and columns
     for the scorer. The weight expressions measure one row (number of words, of dimensions).
@@ -105,7 +105,7 @@ def best_items(
     ).first()
     depth = size["depth"] or 0
     if depth < 1:
-        return queries.sparkSession.createDataFrame([], hit)
+        return rank_hits(queries.sparkSession.createDataFrame([], hit), 1)
 
     if size["rows"] <= query_rows and (size["weight"] or 0) <= query_block:
         # At most query_rows rows: the block rides along with the task closure.
@@ -118,7 +118,7 @@ def best_items(
             if leaders.items is not None:
                 yield from leaders.table(block).to_batches()
 
-        return items.mapInArrow(scan, hit)
+        return rank_hits(items.mapInArrow(scan, hit), depth)
 
     total = items.agg(F.sum(F.expr(item_weight)).alias("weight")).first()["weight"] or 1
     blocks = max(1, math.ceil(size["rows"] / query_rows), math.ceil((size["weight"] or 0) / query_block))
@@ -139,13 +139,16 @@ def best_items(
 
     left = spread(queries, "query_id", "block", blocks, "part", parts).groupBy("block", "part")
     right = spread(items, "item_id", "part", parts, "block", blocks).groupBy("block", "part")
-    return left.cogroup(right).applyInArrow(join, hit)
+    return rank_hits(left.cogroup(right).applyInArrow(join, hit), depth)
 
 
-def rank_hits(hits: DataFrame, max_top_k: int = 20) -> DataFrame:
-    """0-based ``index`` of every hit within its query, best score first, earlier items first among equals."""
+def rank_hits(hits: DataFrame, depth: int) -> DataFrame:
+    """0-based ``index`` of every hit within its query, best score first, earlier items first among equals.
+
+    ``depth`` is the largest ``top_k``: as a constant it limits every group before the shuffle.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("insert_seq"))
-    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_top_k)
+    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth)
     return (
         ranked.filter(F.col("rank") <= F.col("top_k"))
         .withColumn("index", (F.col("rank") - 1).cast("int")).drop("rank", "top_k")

@@ -77,27 +77,30 @@ def latest_gauge(rows: DataFrame, metric: str, value: str, ts: str, *labels: str
     return latest.select(F.lit(metric).alias("metric"), _labels(labels).alias("labels"), "value")
 
 
-def in_flight_profile(calls: DataFrame, start: str, end: str, boundary: str, bucket: str = "hour") -> DataFrame:
+def in_flight_profile(
+    calls: DataFrame, start: str, end: str, boundary: str, bucket: str = "hour", piece: str = "minute"
+) -> DataFrame:
     """Highest number of calls in flight per boundary and time bucket; a call ending at an instant makes room first.
 
     Starts and ends become net changes per instant before they are shuffled. The running sum is taken inside
-    each bucket and over bucket totals, so a busy boundary is never sorted in one task.
+    each ``piece`` and then over one total per piece, so a busy boundary is never sorted in one task.
     """
     edges = F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("change")),
                     F.struct(F.col(end).alias("at"), F.lit(-1).alias("change")))
     changes = calls.select(F.col(boundary).alias("boundary"), F.explode(edges).alias("edge"))
     instants = changes.groupBy("boundary", F.col("edge.at").alias("at")).agg(
         F.sum("edge.change").alias("change"), F.count_if(F.col("edge.change") > 0).alias("started")
-    ).withColumn("bucket", F.date_trunc(bucket, "at"))
-    running = Window.partitionBy("boundary", "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ).withColumn("piece", F.date_trunc(piece, "at"))
+    running = Window.partitionBy("boundary", "piece").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     level = instants.withColumn("level", F.sum("change").over(running))
-    per_bucket = level.groupBy("boundary", "bucket").agg(
+    pieces = level.groupBy("boundary", "piece").agg(
         F.max("level").alias("peak"), F.sum("change").alias("net"), F.sum("started").alias("started")
     )
-    before = Window.partitionBy("boundary").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("boundary").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("net").over(before), F.lit(0))
-    return per_bucket.select(
-        "boundary", "bucket", F.greatest(base, base + F.col("peak")).alias("max_in_flight"), "started"
+    peaks = pieces.withColumn("most", F.greatest(base, base + F.col("peak")))
+    return peaks.groupBy("boundary", F.date_trunc(bucket, "piece").alias("bucket")).agg(
+        F.max("most").alias("max_in_flight"), F.sum("started").alias("started")
     )
 
 
@@ -106,13 +109,16 @@ def families(spark: SparkSession) -> DataFrame:
 
 
 def zero_filled(samples: DataFrame) -> DataFrame:
-    """Every declared family, with value 0 and no labels where it has no sample yet."""
-    declared = families(samples.sparkSession)
-    known = samples.join(F.broadcast(declared), "metric", "left").withColumn("kind", F.coalesce("kind", F.lit("counter")))
-    # The distinct metric names are a closed set; nothing but names reaches this side.
-    absent = declared.join(samples.select("metric").distinct(), "metric", "left_anti")
-    empty = absent.withColumn("labels", F.create_map().cast("map<string,string>")).withColumn("value", F.lit(0.0))
-    return known.select("metric", "kind", "labels", "value").unionByName(empty.select("metric", "kind", "labels", "value"))
+    """Every declared family, with value 0 and no labels where it has no sample yet.
+
+    One outer join on the metric name: the samples are finished series, as few as there are label sets.
+    """
+    joined = families(samples.sparkSession).join(samples, "metric", "full")
+    return joined.select(
+        "metric", F.coalesce("kind", F.lit("counter")).alias("kind"),
+        F.coalesce("labels", F.create_map().cast("map<string,string>")).alias("labels"),
+        F.coalesce("value", F.lit(0.0)).alias("value"),
+    )
 
 
 def exposition_order(samples: DataFrame) -> DataFrame:

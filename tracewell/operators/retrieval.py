@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
-from tracewell.operators.blocks import NO_HIT, Scorer, best_items, rank_hits
-from tracewell.session import stored
+from tracewell.operators.blocks import NO_HIT, Scorer, best_items
+from tracewell.session import stored, within
 
 SCORE_DIGITS = 6
+BROADCAST_ROWS = 500_000
 BACKENDS = {"lexical": "memory", "bm25": "opensearch", "vector": "chroma"}  # Fixed values: names in hit records.
 
 
@@ -97,7 +98,7 @@ def distance_scores(max_distance: float | None) -> Callable[[pa.Table], Scorer]:
 
 
 def _hits(found: DataFrame, strategy: str) -> DataFrame:
-    return rank_hits(found).withColumn("backend", F.lit(BACKENDS[strategy])).withColumnRenamed("item_id", "chunk_id")
+    return found.withColumn("backend", F.lit(BACKENDS[strategy])).withColumnRenamed("item_id", "chunk_id")
 
 
 def index_words(chunks: DataFrame) -> DataFrame:
@@ -130,15 +131,20 @@ def retrieve_lexical(questions: DataFrame, chunks: DataFrame, **limits: int) ->
 def term_statistics(terms: DataFrame, indexed: DataFrame) -> DataFrame:
     """``(term, n_items, n_words)`` for the words asked for; the empty term counts all items and words.
 
-    Counted per task before anything is shuffled, so a word that every item holds is no hot key.
+    A short list of words travels to the tasks and drops all others before anything is counted. A long one
+    is joined to the finished counts instead. Either way words are counted per task before they are
+    shuffled, so a word that every item holds is no hot key.
     """
     asked = terms.select(F.explode("terms").alias("term")).distinct()
+    marked = asked.union(asked.sparkSession.createDataFrame([("",)], "term string"))
     everything = indexed.select(
         F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("term")
     )
-    marked = asked.union(asked.sparkSession.createDataFrame([("",)], "term string"))
+    few = within(asked, BROADCAST_ROWS)
+    if few:
+        everything = everything.join(F.broadcast(marked), "term", "left_semi")
     counted = everything.groupBy("term").agg(F.count("*").alias("n_items"), F.sum("length").alias("n_words"))
-    return counted.join(marked, "term", "left_semi")
+    return counted if few else counted.join(marked, "term", "left_semi")
 
 
 def retrieve_bm25(
@@ -177,5 +183,7 @@ def retrieve_vector(
 
 
 def attach_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hit records with their text. Hits are few; adaptive execution broadcasts them when they prove small."""
-    return hits.join(chunks.select("chunk_id", "text"), "chunk_id")
+    """Hit records with their text. Hits are stored first; while they are few, the chunks are not shuffled."""
+    found = stored(hits, "hits")
+    side = F.broadcast(found) if within(found, BROADCAST_ROWS) else found
+    return chunks.select("chunk_id", "text").join(side, "chunk_id")

@@ -115,7 +115,7 @@ def trace_report(spark, folder):
 
 
 def trace_steps(spark, folder):
-    steps = events.trace_steps(tables.event_log(spark, folder), bucket="day")
+    steps = events.trace_steps(tables.event_log(spark, folder))
     return steps.select("correlation_id", "event_id", "event_type", F.col("step").cast("bigint").alias("step"))
 
 

@@ -138,7 +138,7 @@ def latest_gauge(spark, folder):
 def inflight_profile(spark, folder):
     """Requests of up to some minutes, by boundary and day; durations count as minutes here."""
     calls = tables.request_log(spark, folder).withColumn("ended", F.expr("ts + make_interval(0, 0, 0, 0, 0, cast(round(seconds) as int))"))
-    profile = metrics.in_flight_profile(calls, "ts", "ended", "boundary", "day")
+    profile = metrics.in_flight_profile(calls, "ts", "ended", "boundary", "day", "hour")
     return profile.select("boundary", ntz("bucket").alias("bucket"), F.col("max_in_flight").cast("bigint").alias("max_in_flight"), "started")
 
 

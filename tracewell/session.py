@@ -72,3 +72,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"{name}-{os.urandom(8).hex()}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def within(df: DataFrame, rows: int) -> bool:
+    """Whether the frame has at most ``rows`` rows; reads no more than it must to know."""
+    return df.limit(rows + 1).count() <= rows

@@ -43,8 +43,12 @@ def write_messages(messages: DataFrame, servers: str | None = None, path: str |
 
 
 def ordered_by_key(events: DataFrame, time: str = "occurred_at") -> DataFrame:
-    """Events of one key in one partition, in time order, for file sinks that keep the broker's order."""
-    return events.repartition(partition_key(events)).sortWithinPartitions(time)
+    """Events of a key in time order, for file sinks that keep the broker's order.
+
+    Files are ranges of (key, time): the files of a busy key follow one another, none holds it all.
+    """
+    keyed = events.withColumn("_key", partition_key(events))
+    return keyed.repartitionByRange("_key", time).sortWithinPartitions("_key", time).drop("_key")
 
 
 def replicate_topics(messages: DataFrame, write: Callable[[DataFrame], None], pattern: str = r"^payments\..*") -> None:
@@ -59,14 +63,14 @@ def write_audit(objects: DataFrame, path: str) -> None:
     two different records must never share a key. Only days of the batch are read for the comparison.
     """
     spark = objects.sparkSession
-    counted = objects.groupBy("object_key").agg(F.count("*").alias("copies"))
+    rest = [name for name in objects.columns if name != "object_key"]
+    once = objects.groupBy("object_key").agg(F.count("*").alias("copies"), F.max(F.struct(*rest)).alias("object"))
     twice = F.raise_error(F.concat(F.lit("duplicate audit key "), F.col("object_key"))).cast("boolean")
-    unique = counted.filter(F.when(F.col("copies") == 1, F.lit(True)).otherwise(twice)).select("object_key")
-    fresh = objects.join(unique, "object_key", "left_semi")
+    fresh = once.filter(F.when(F.col("copies") == 1, F.lit(True)).otherwise(twice)).select("object_key", "object.*")
     if _exists(spark, path):
-        stored = spark.read.parquet(path)
+        # Category and day are folders, and part of the key: other days are not read.
         days = objects.select("category", "dt").distinct()
-        known = stored.join(days, ["category", "dt"], "left_semi").select("object_key")
+        known = spark.read.parquet(path).join(days, ["category", "dt"], "left_semi").select("object_key")
         fresh = fresh.join(known, "object_key", "left_anti")
     fresh.write.mode("append").partitionBy("category", "dt").parquet(path)
 
