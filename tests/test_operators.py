@@ -123,8 +123,8 @@ def test_messages(spark, key, tmp_path):
 
 def test_audit_sink(spark, key, tmp_path):
     rows = spark.createDataFrame([("r-1", "a@b.co", "forged"), ("r-2", "plain", None)], "request_id string, note string, timestamp string")
-    records = audit.request_records(rows.withColumn("at", F.lit(NOON)), F.col("at"))
-    objects = audit.audit_objects(records, "requests", "at", "request_id", key)
+    records = audit.request_records(rows, F.lit(NOON))
+    objects = audit.audit_objects(records, "requests", "request_id", key)
     path = str(tmp_path / "audit")
     sinks.write_audit(objects, path)
     sinks.write_audit(objects, path)

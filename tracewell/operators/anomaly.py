@@ -30,9 +30,12 @@ def zscore_anomalies(
     A key without spread scores null and is no anomaly.
     """
     totals = windowed_totals(rows, time, key, value, width)
-    moments = totals.groupBy(key).agg(F.avg("total").alias("mean"), F.stddev_samp("total").alias("deviation"))
-    scored = totals.join(moments, key).withColumn("z", _score(F.col("total"), F.col("mean"), F.col("deviation")))
-    return _flagged(scored, threshold)
+    # One row per key and time window is left here: an analytic window spares a second read of the raw rows.
+    whole = Window.partitionBy(key)
+    scored = totals.withColumn("mean", F.avg("total").over(whole)).withColumn(
+        "deviation", F.stddev_samp("total").over(whole)
+    )
+    return _flagged(scored.withColumn("z", _score(F.col("total"), F.col("mean"), F.col("deviation"))), threshold)
 
 
 def trailing_zscore(

@@ -18,7 +18,7 @@ def request_records(payloads: DataFrame, at: Column) -> DataFrame:
     correlation = F.col("correlation_id") if "correlation_id" in payloads.columns else F.lit(None).cast("string")
     return (
         payloads.withColumn("correlation_id", F.coalesce(F.nullif(correlation, F.lit("")), F.col("request_id")))
-        .withColumn("timestamp", iso_utc(at))
+        .withColumn("timestamp", iso_utc(at)).withColumn("written_at", at)
     )
 
 
@@ -26,12 +26,15 @@ def transition_records(transitions: DataFrame, at: Column) -> DataFrame:
     payload = F.col("payload") if "payload" in transitions.columns else F.create_map().cast("map<string,string>")
     return transitions.select(
         F.lit("state_transition").alias("record_type"), "correlation_id", iso_utc(at).alias("timestamp"),
-        "state_from", "state_to", "reason", payload.alias("payload"),
+        "state_from", "state_to", "reason", payload.alias("payload"), at.alias("written_at"),
     )
 
 
 def compensation_records(compensations: DataFrame, at: Column) -> DataFrame:
-    return compensations.withColumn("record_type", F.lit("compensation")).withColumn("timestamp", iso_utc(at))
+    return (
+        compensations.withColumn("record_type", F.lit("compensation"))
+        .withColumn("timestamp", iso_utc(at)).withColumn("written_at", at)
+    )
 
 
 def object_key(category: str, at: Column, owner: Column, unique: Column, prefix: str = PREFIX) -> Column:
@@ -43,19 +46,18 @@ def object_key(category: str, at: Column, owner: Column, unique: Column, prefix:
 
 
 def audit_objects(
-    records: DataFrame, category: str, at: str, owner: str, key: str, retention_days: int = RETENTION_DAYS,
-    prefix: str = PREFIX,
+    records: DataFrame, category: str, owner: str, key: str, retention_days: int = RETENTION_DAYS, prefix: str = PREFIX
 ) -> DataFrame:
     """``(category, dt, object_key, body, content_md5, retain_until)`` of sanitized records.
 
-    ``at`` (timestamp) is used for the key and the retention and is not part of the body. The unique part of
-    the key is a digest of the body, so writing the same record twice yields the same key.
+    ``written_at`` (timestamp) gives key and retention and is not part of the body. The unique part of the
+    key is a digest of the body, so writing the same record twice yields the same key.
     """
     if category not in CATEGORIES:
         raise ValueError(f"category must be one of {CATEGORIES}")
-    fields = [name for name in records.columns if name != at]
+    fields = [name for name in records.columns if name != "written_at"]
     safe = sanitize(records, key)
-    bodies = safe.withColumn("body", canonical_json(safe, fields)).withColumn("written_at", F.col(at))
+    bodies = safe.withColumn("body", canonical_json(safe, fields))
     return bodies.select(
         F.lit(category).alias("category"), F.date_format("written_at", "yyyy-MM-dd").alias("dt"),
         object_key(category, F.col("written_at"), F.col(owner), F.md5("body"), prefix).alias("object_key"),

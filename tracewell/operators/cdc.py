@@ -10,8 +10,8 @@ from tracewell.schemas import CDC_ENVELOPE
 
 
 def parse_changes(raw: DataFrame, value: str = "value", schema: T.StructType = CDC_ENVELOPE) -> DataFrame:
-    """``(before, after, op, ts_ms, source)`` from JSON envelopes."""
-    return raw.select(F.from_json(F.col(value).cast("string"), schema).alias("change")).select("change.*")
+    """``(before, after, op, ts_ms, source)`` from JSON envelopes, parsed once however many fields are used."""
+    return raw.select(F.inline(F.array(F.from_json(F.col(value).cast("string"), schema))))
 
 
 def apply_changes(changes: DataFrame, key: str) -> DataFrame:

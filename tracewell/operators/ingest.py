@@ -35,9 +35,13 @@ def split_documents(redacted: DataFrame, splitter: Callable[[Column], Column] =
 
 
 def chunk_documents(redacted: DataFrame, splitter: Callable[[Column], Column] = text.chunk_recursive) -> DataFrame:
-    """One row per chunk: ``(chunk_id, request_id, position, text, source_token)``; empty text gives none."""
-    split = split_documents(redacted, splitter)
-    pieces = split.select("request_id", "source_token", F.posexplode("pieces").alias("position", "text"))
+    """One row per chunk: ``(chunk_id, request_id, position, text, source_token)``; empty text gives none.
+
+    The split is exploded in place: an explode of a named column would be preceded by a filter that splits
+    every text once more.
+    """
+    split = F.col("pieces") if "pieces" in redacted.columns else splitter(F.col("text"))
+    pieces = redacted.select("request_id", "source_token", F.posexplode(split).alias("position", "text"))
     return pieces.select(
         text.chunk_id(F.col("request_id"), F.col("position"), F.col("text")).alias("chunk_id"),
         "request_id", "position", "text", "source_token",
@@ -59,5 +63,7 @@ def telemetry_rows(redacted: DataFrame, splitter: Callable[[Column], Column] = t
 
 def pii_totals(redacted: DataFrame, *by: str) -> DataFrame:
     """Hits per kind (and per ``by`` columns)."""
-    hits = redacted.select(*by, F.explode("pii_counts").alias("kind", "hits"))
+    none = F.create_map().cast("map<string,bigint>")
+    # Not the bare column: its explode would filter first and find the personal data twice.
+    hits = redacted.select(*by, F.explode(F.coalesce("pii_counts", none)).alias("kind", "hits"))
     return hits.groupBy(*by, "kind").agg(F.sum("hits").alias("hits"), F.count("*").alias("rows_with_kind"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.events import make_events, stable_uuid
+from tracewell.operators.events import make_events, stable_uuid, union_events
 from tracewell.operators.ordered import previous_value
 
 # States, allowed moves, opening reasons and the outcome table
@@ -97,6 +97,35 @@ def transition_events(transitions: DataFrame, occurred_at: Column) -> DataFrame:
     return make_events(transitions.withColumn("entity_id", F.col("request_id")), "StateTransitionLogged", occurred_at, event_id)
 
 
+def compensated_events(outcomes: DataFrame, occurred_at: Column) -> DataFrame:
+    """The event that closes a failed ingest, or an answer whose audit failed.
+
+    ``outcomes`` may carry source_token and ``error`` (type of the failure). Failed stores, models and scorers
+    have their own events with the payment and answer operators.
+    """
+    ruled = _ruled(outcomes).withColumn("last", F.element_at("compensations", -1))
+    error = F.col("error") if "error" in outcomes.columns else F.lit("")
+    audit_failed = F.col("last.boundary") == "audit_sink"
+    rows = (
+        ruled.withColumn("reason", F.col("last.reason")).withColumn("operation_id", F.col("request_id"))
+        .withColumn("error_detail", F.when(audit_failed, F.lit("audit sink unavailable")).otherwise(error))
+    )
+    ingest = rows.filter("flow = 'ingest' AND outcome <> 'ok'")
+    ask = rows.filter("flow = 'ask' AND outcome = 'audit_failed'")
+
+    def of(frame: DataFrame, event_type: str) -> DataFrame:
+        return make_events(frame, event_type, occurred_at, stable_uuid(F.lit(event_type), F.col("request_id"), F.col("reason")))
+
+    return union_events(of(ingest, "IngestionCompensated"), of(ask, "TransactionCompensated"))
+
+
+def audit_logged_events(outcomes: DataFrame, occurred_at: Column) -> DataFrame:
+    """One AuditRecordLogged per request whose record was written; ``outcomes`` carries its ``object_key``."""
+    logged = lifecycle_final_events(outcomes).filter("final_event = 'AuditRecordLogged'")
+    rows = logged.withColumn("record_type", F.col("flow"))
+    return make_events(rows, "AuditRecordLogged", occurred_at, stable_uuid(F.lit("AuditRecordLogged"), F.col("request_id")))
+
+
 def check_transitions(transitions: DataFrame, bucket: Column, order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """Every transition with ``legal``: an allowed move that starts where the one before it ended.
 

@@ -1,7 +1,8 @@
 """Ordered calculations per key that never sort one key in one task.
 
 A window over a key puts the whole key into one task. These helpers work on (key, bucket) pieces instead,
-where the bucket cuts the order into ranges, and carry one small row per piece to the next bucket.
+where the bucket cuts the order into ranges, and carry one small row per piece to the next bucket. Keys and
+buckets are not null.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ def _with_carry(df: DataFrame, keys: list[str], bucket: str, carry: DataFrame) -
     """Both sides hash by (key, bucket), the layout the window after this join needs anyway."""
     by = [*keys, bucket]
     other = carry.select(*[F.col(name).alias(f"_carry_{name}") for name in by], "_carry")
-    matches = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"_carry_{name}")) for name in by])
-    return df.join(other, matches).drop(*[f"_carry_{name}" for name in by])
+    matches = reduce(lambda a, b: a & b, [F.col(name) == F.col(f"_carry_{name}") for name in by])
+    return df.join(other, matches, "left").drop(*[f"_carry_{name}" for name in by])
 
 
 def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
@@ -27,7 +28,7 @@ def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[str], v
     totals = totals.withColumn("_carry", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
     within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = _with_carry(df, keys, bucket, totals)
-    return joined.withColumn(out, F.col("_carry") + F.sum(value).over(within)).drop("_carry")
+    return joined.withColumn(out, F.coalesce("_carry", F.lit(0)) + F.sum(value).over(within)).drop("_carry")
 
 
 def previous_value(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:

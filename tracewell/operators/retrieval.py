@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -182,6 +183,20 @@ def retrieve_vector(
     return _hits(found, "vector")
 
 
+def embed(
+    rows: DataFrame, column: str, model: Callable[[], Callable[[list[str]], list[list[float]]]], out: str = "vector"
+) -> DataFrame:
+    """``out`` (array of float) from a text model; ``model`` is called once per task, its result once per batch."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = model()
+        for batch in batches:
+            yield pd.Series(encode(batch.tolist()), index=batch.index, dtype=object)
+
+    return rows.withColumn(out, vectors(F.col(column)))
+
+
 def attach_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hit records with their text. Hits are stored first; while they are few, the chunks are not shuffled."""
     found = stored(hits, "hits")

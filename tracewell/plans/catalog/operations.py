@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.functions.canonical import bounded_method, bounded_route, status_class
-from tracewell.operators import audit, lifecycle, metrics
-from tracewell.plans.catalog.common import KEY, PAYMENTS_SQL, iso_sql, ntz, token_sql
+from tracewell.operators import audit, events, lifecycle, metrics
+from tracewell.plans import requests
+from tracewell.plans.catalog.common import KEY, PAYMENTS_SQL, iso_sql, ntz, token_sql, uuid_sql
 from tracewell.sources import tables
 
 
@@ -76,8 +77,8 @@ def _audit_objects(spark, folder):
         "request_id", F.when(F.col("o_orderstatus") != "P", F.col("correlation_id")).alias("correlation_id"),
         F.lit("payment").alias("event"), F.col("merchant_id").alias("source"), "amount_minor", "paid_at",
     )
-    records = audit.request_records(rows, F.col("paid_at"))
-    return audit.audit_objects(records, "requests", "paid_at", "request_id", KEY)
+    records = audit.request_records(rows, F.col("paid_at")).drop("paid_at")
+    return audit.audit_objects(records, "requests", "request_id", KEY)
 
 
 def audit_records(spark, folder):
@@ -93,12 +94,36 @@ def retention_candidates(spark, folder):
 def transition_audit(spark, folder):
     moves = lifecycle.lifecycle_transitions(_outcomes(spark, folder)).withColumn(
         "payload", F.create_map(F.lit("decision"), "decision", F.lit("source"), "flow"))
-    records = audit.transition_records(moves, F.col("at"))
-    bodies = records.withColumn("at", F.to_timestamp("timestamp"))
-    objects = audit.audit_objects(bodies, "transitions", "at", "correlation_id", KEY)
+    objects = audit.audit_objects(audit.transition_records(moves, F.col("at")), "transitions", "correlation_id", KEY)
     return objects.select("category", "dt", "object_key", "body")
 
 
+def compensation_audit(spark, folder):
+    undone = lifecycle.lifecycle_compensations(_outcomes(spark, folder)).select(
+        "correlation_id", "request_id", "boundary", "reason", F.col("flow").alias("source"), "at")
+    moves = lifecycle.lifecycle_transitions(_outcomes(spark, folder))
+    objects = requests.lifecycle_audit(moves, undone, "at", KEY)
+    return objects.filter("category = 'compensations'").select("dt", "object_key", "body")
+
+
+def closing_events(spark, folder):
+    """Compensation events and audit notices of all outcomes, with a failure type and an object key."""
+    outcomes = _outcomes(spark, folder).withColumn("error", F.concat(F.col("flow"), F.lit("Error"))).withColumn(
+        "object_key", F.concat(F.lit("requests/"), "request_id"))
+    log = events.union_events(
+        lifecycle.compensated_events(outcomes, F.col("at")), lifecycle.audit_logged_events(outcomes, F.col("at")))
+    return log.select(
+        "event_id", "occurred_at", "event_type", "topic", "request_id", "correlation_id", "reason", "operation_id",
+        "error_detail", "object_key", "record_type",
+    )
+
+
+def transition_events(spark, folder):
+    moves = lifecycle.lifecycle_transitions(_outcomes(spark, folder))
+    logged = lifecycle.transition_events(moves, F.col("at"))
+    return logged.select("event_id", "causation_id", "occurred_at", "topic", "entity_id", "state_from", "state_to", "reason")
+
+
 def audit_completeness(spark, folder):
     """Orders without line items stand for requests without a record."""
     requests = tables.table(spark, folder, "orders").select(F.concat(F.lit("pay-"), "o_orderkey").alias("request_id"), "o_orderstatus")
@@ -165,7 +190,8 @@ def readiness(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     lifecycle_events, lifecycle_compensations, lifecycle_final_events, compensation_rollup, transition_check,
-    current_lifecycle_state, audit_records, retention_candidates, transition_audit, audit_completeness, label_bounding,
+    current_lifecycle_state, audit_records, retention_candidates, transition_audit, compensation_audit,
+    closing_events, transition_events, audit_completeness, label_bounding,
     http_counters, duration_histogram, latest_gauge, inflight_profile, zero_filled_families, readiness,
 )}
 
@@ -275,6 +301,34 @@ ORACLES = {
                || '","timestamp":"' || {iso_sql("happened")} || '"}}' AS body FROM moves)
         SELECT 'transitions' AS category, strftime(happened, '%Y-%m-%d') AS dt, 'requests/transitions/'
                || strftime(happened, '%Y/%m/%d/%H%M%S.%f') || 'Z-' || owner || '-' || md5(body) || '.json' AS object_key, body FROM bodies""",
+    "compensation_audit": f"""
+        WITH outcomes AS ({_OUTCOMES}),
+        done AS ({_COMPENSATIONS.split("done AS (")[1].strip().removesuffix(")")}),
+        bodies AS (SELECT 'c-' || request_id AS owner, happened, '{{"boundary":"' || boundary || '","correlation_id":"c-' || request_id
+               || '","reason":"' || reason || '","record_type":"compensation","request_id":"' || request_id || '","source":"'
+               || {token_sql("source", "flow")} || '","timestamp":"' || {iso_sql("happened")} || '"}}' AS body
+               FROM done JOIN (SELECT request_id, happened FROM outcomes) o USING (request_id))
+        SELECT strftime(happened, '%Y-%m-%d') AS dt, 'requests/compensations/' || strftime(happened, '%Y/%m/%d/%H%M%S.%f')
+               || 'Z-' || owner || '-' || md5(body) || '.json' AS object_key, body FROM bodies""",
+    "closing_events": f"""
+        WITH outcomes AS ({_OUTCOMES}),
+        failed AS (
+            SELECT *, CASE WHEN flow = 'ingest' THEN 'IngestionCompensated' ELSE 'TransactionCompensated' END AS event_type,
+                   CASE WHEN outcome = 'index_failed' THEN 'STORE_ADD_FAILED' ELSE 'AUDIT_WRITE_FAILED' END AS reason
+            FROM outcomes WHERE (flow = 'ingest' AND outcome <> 'ok') OR (flow = 'ask' AND outcome = 'audit_failed'))
+        SELECT {uuid_sql("event_type", "request_id", "reason")} AS event_id, {iso_sql("happened")} AS occurred_at, event_type,
+               CASE WHEN flow = 'ingest' THEN 'ingestion.compensated' ELSE 'transaction.compensated' END AS topic, request_id,
+               'c-' || request_id AS correlation_id, reason, CASE WHEN flow = 'ask' THEN request_id END AS operation_id,
+               CASE WHEN outcome = 'index_failed' THEN flow || 'Error' ELSE 'audit sink unavailable' END AS error_detail,
+               NULL AS object_key, NULL AS record_type FROM failed
+        UNION ALL
+        SELECT {uuid_sql("'AuditRecordLogged'", "request_id")}, {iso_sql("happened")}, 'AuditRecordLogged', 'audit.record.logged',
+               request_id, 'c-' || request_id, NULL, NULL, NULL, 'requests/' || request_id, flow FROM outcomes
+        WHERE (flow = 'ingest' AND outcome = 'ok') OR (flow = 'ask' AND outcome <> 'audit_failed')""",
+    "transition_events": f"""{_MOVES},
+        ids AS (SELECT *, {uuid_sql("'StateTransitionLogged'", "request_id", "seq")} AS event_id FROM moves)
+        SELECT event_id, {uuid_sql("'root'", "event_id")} AS causation_id, {iso_sql("happened")} AS occurred_at,
+               'state.transition.logged' AS topic, request_id AS entity_id, state_from, state_to, reason FROM ids""",
     "audit_completeness": """
         SELECT 'pay-' || o_orderkey AS request_id, o_orderstatus,
                o_orderkey IN (SELECT l_orderkey FROM lineitem) AS audited FROM orders""",

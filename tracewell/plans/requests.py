@@ -9,11 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
+from tracewell.functions.canonical import stable_traceparent
 from tracewell.functions.privacy import redact_text
 from tracewell.operators import answers, audit, events, ingest, lifecycle, payments, retrieval, validation
 from tracewell.session import stored
 
 
+def _traced(rows: DataFrame) -> DataFrame:
+    """Server-issued correlation and trace ids where the rows bring none."""
+    if "correlation_id" not in rows.columns:
+        rows = rows.withColumn("correlation_id", events.stable_uuid(F.lit("correlation"), F.col("request_id")))
+    if "traceparent" not in rows.columns:
+        rows = rows.withColumn("traceparent", stable_traceparent(F.col("request_id"), F.col("correlation_id")))
+    return rows
+
+
+def lifecycle_audit(transitions: DataFrame, compensations: DataFrame, at: str, key: str) -> DataFrame:
+    """Audit objects of transitions and of compensations ``(correlation_id, request_id, boundary, reason, ...)``.
+
+    Column ``at`` of both is the time of the record.
+    """
+    moves = audit.transition_records(transitions, F.col(at))
+    undone = audit.compensation_records(compensations, F.col(at)).drop(at)
+    return audit.audit_objects(moves, "transitions", "correlation_id", key).unionByName(
+        audit.audit_objects(undone, "compensations", "correlation_id", key))
+
+
 @dataclass(frozen=True)
 class IngestResult:
     """Frames of one ingest run; ``rejected`` names the failed rules and keeps no text."""
@@ -30,13 +51,13 @@ def ingest_documents(
     documents: DataFrame, key: str, at: Column,
     splitter: Callable[[Column], Column] = text.chunk_recursive, outcome: Column | None = None,
 ) -> IngestResult:
-    """``(request_id, correlation_id, text, source)`` to chunks, telemetry, lifecycle and audit records.
+    """``(request_id, text, source)`` to chunks, telemetry, lifecycle and audit records.
 
     Redaction and splitting run once: their result is written to the shared folder and all outputs read it
     from there. ``outcome`` (a key of the ingest outcomes, default ok) tells what became of the index and
     audit writes; chunks of a request that did not end well are taken back.
     """
-    valid, failed = validation.split_valid(validation.validate_documents(documents))
+    valid, failed = validation.split_valid(validation.validate_documents(_traced(documents)))
     outcome = F.lit("ok") if outcome is None else outcome
     split = stored(
         ingest.split_documents(ingest.redact_documents(valid, key), splitter)
@@ -48,10 +69,10 @@ def ingest_documents(
     telemetry = events.make_events(
         counted, "TelemetryIngested", at, events.stable_uuid(F.lit("TelemetryIngested"), F.col("request_id")))
     payload = counted.filter("outcome = 'ok'").select(
-        "request_id", "correlation_id", F.lit("ingest").alias("event"), "source_token", "pii_counts", "chunk_count",
-        at.alias("at"),
+        "request_id", "correlation_id", "traceparent", F.lit("ingest").alias("event"), "source_token", "pii_counts",
+        "chunk_count",
     )
-    records = audit.audit_objects(audit.request_records(payload, F.col("at")), "requests", "at", "request_id", key)
+    records = audit.audit_objects(audit.request_records(payload, at), "requests", "request_id", key)
     return IngestResult(
         chunks=ingest.chunk_documents(split.filter("outcome = 'ok'")),
         telemetry=telemetry,
@@ -80,12 +101,12 @@ def ask(
     questions: DataFrame, chunks: DataFrame, key: str, at: Column, strategy: str = "lexical",
     vectors: tuple[DataFrame, DataFrame] | None = None, model: Callable[[], Callable[[str], str]] | None = None,
 ) -> AskResult:
-    """``(query_id, request_id, correlation_id, question, top_k)`` against ``(chunk_id, insert_seq, text)``.
+    """``(query_id, request_id, question, top_k)`` against ``(chunk_id, insert_seq, text)``.
 
     Questions are redacted before anything else sees them. ``vectors`` holds (query vectors, chunk vectors)
     for the vector strategy; ``model`` builds a text model per task, without one the answers say so.
     """
-    valid, _ = validation.split_valid(validation.validate_questions(questions))
+    valid, _ = validation.split_valid(validation.validate_questions(_traced(questions)))
     safe = valid.withColumn("question", redact_text(F.col("question"), key))
     if strategy == "vector":
         found = retrieval.retrieve_vector(*vectors)
@@ -100,16 +121,21 @@ def ask(
     said = answers.answer_text(F.col("retrieved_count"), F.col("answer"), F.col("llm_error"), model is not None)
     answered = stored(answered.withColumn("answer", redact_text(said, key)), "answers")
     processed = answers.outcome_events(answered, at)
-    payload = answers.audit_tokens(answered, key).select(
-        "request_id", "correlation_id", F.lit("ask").alias("event"), "question_token", "output_token",
-        F.col("retrieved_count").alias("retrieved_chunk_count"), at.alias("at"),
+    compensations = answers.answer_compensations(processed, at)
+    # At most two per request: one of the store, one of the model.
+    listed = compensations.groupBy("request_id").agg(
+        F.collect_list(F.struct(*compensations.columns)).alias("compensations"))
+    payload = answers.audit_tokens(answered, key).join(listed, "request_id", "left").select(
+        "request_id", "correlation_id", "traceparent", F.lit("ask").alias("event"), "question_token", "output_token",
+        F.col("retrieved_count").alias("retrieved_chunk_count"),
+        F.coalesce("compensations", F.array().cast(listed.schema["compensations"].dataType)).alias("compensations"),
     )
     return AskResult(
         hits=hits,
         answers=answered.select("request_id", "answer", "evidence"),
         events=processed,
-        compensations=answers.answer_compensations(processed, at),
-        audit=audit.audit_objects(audit.request_records(payload, F.col("at")), "requests", "at", "request_id", key),
+        compensations=compensations,
+        audit=audit.audit_objects(audit.request_records(payload, at), "requests", "request_id", key),
     )
 
 
@@ -132,7 +158,7 @@ def process_payments(
 
     ``error`` and ``anomaly`` read columns of the ingested events.
     """
-    accepted, refused = payments.split_payments(requests, raw)
+    accepted, refused = payments.split_payments(_traced(requests), raw)
     tokenized = payments.tokenize_payments(accepted, key)
     ingested = payments.ingested_events(tokenized, at)
     scored = payments.score_payments(ingested, anomaly, error)
