@@ -45,15 +45,15 @@ def casefold(col: Column) -> Column:
     special character take the table. Texts in Latin-1 letters are cleared by a test of two ranges.
     """
     special, single, several = fold_table()
-    text = F.replace(col, F.lit("ß"), F.lit(several["ß"]))
     pairs = F.arrays_zip(
         F.split(F.lit(",".join(several)), ","), F.split(F.lit(",".join(several.values())), ",")
     )
-    expanded = F.aggregate(pairs, text, lambda acc, pair: F.replace(acc, pair["0"], pair["1"]))
+    expanded = F.aggregate(pairs, col, lambda acc, pair: F.replace(acc, pair["0"], pair["1"]))
     by_table = F.translate(expanded, "".join(single), "".join(single.values()))
-    beyond_latin = text.rlike(r"[µ\x{100}-\x{10FFFF}]")
-    has_special = text.rlike(f"[{_class_body(special.replace('ß', ''))}]")
-    return F.when(beyond_latin & has_special, by_table).otherwise(F.lower(text))
+    beyond_latin = col.rlike(r"[µ\x{100}-\x{10FFFF}]")
+    has_special = col.rlike(f"[{_class_body(special.replace('ß', ''))}]")
+    lowered = F.lower(F.replace(col, F.lit("ß"), F.lit(several["ß"])))
+    return F.when(beyond_latin & has_special, by_table).otherwise(lowered)
 
 
 def words(col: Column) -> Column:

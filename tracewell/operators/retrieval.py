@@ -151,7 +151,11 @@ def term_statistics(terms: DataFrame, indexed: DataFrame) -> DataFrame:
 def retrieve_bm25(
     questions: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, **limits: int
 ) -> DataFrame:
-    """Top-k chunks per question by BM25 over the same words; any shared word makes a hit."""
+    """Top-k chunks per question by BM25 over the same words; any shared word makes a hit.
+
+    Statistics and scores both read the words: splitting a text twice costs about what storing the words
+    would. For repeated searches pass stored :func:`index_words`.
+    """
     terms, indexed = question_terms(questions), index_words(chunks)
     statistics = stored(term_statistics(terms, indexed), "terms")
     whole = statistics.filter("term = ''").first()
