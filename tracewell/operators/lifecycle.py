@@ -60,7 +60,11 @@ def outcome_rules(spark: SparkSession) -> DataFrame:
 
 
 def _ruled(outcomes: DataFrame) -> DataFrame:
-    return outcomes.join(F.broadcast(outcome_rules(outcomes.sparkSession)), ["flow", "outcome"])
+    """Outcomes beside their rule. An outcome without one fails the job: it must not vanish in the join."""
+    name = F.concat_ws("/", "flow", "outcome")
+    unknown = F.raise_error(F.concat(F.lit("unknown outcome "), name)).cast("boolean")
+    known = F.when(name.isin(*["/".join(pair) for pair in OUTCOMES]), F.lit(True)).otherwise(unknown)
+    return outcomes.filter(known).join(F.broadcast(outcome_rules(outcomes.sparkSession)), ["flow", "outcome"])
 
 
 def lifecycle_transitions(outcomes: DataFrame) -> DataFrame:

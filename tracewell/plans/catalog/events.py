@@ -300,6 +300,18 @@ ORACLES = {
         z AS (SELECT *, CASE WHEN deviation > 0 THEN (total - mean) / deviation END AS z FROM scored)
         SELECT event_type, window_start, round(total, 4) AS total, round(z, 4) AS z,
                coalesce(abs(z) > 2.0, false) AS anomaly FROM z""",
+    "token_bucket": """
+        WITH RECURSIVE calls AS (
+            SELECT user_id, event_id, ts, epoch_us(ts) / 1000000.0::DOUBLE AS seconds,
+                   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        replay AS (
+            SELECT user_id, event_id, ts, seconds, n, 2.0::DOUBLE AS tokens FROM calls WHERE n = 1
+            UNION ALL
+            SELECT c.user_id, c.event_id, c.ts, c.seconds, c.n,
+                   least(2.0::DOUBLE, r.tokens - CASE WHEN r.tokens >= 1 THEN 1 ELSE 0 END
+                                      + (c.seconds - r.seconds) * (2.0::DOUBLE / 86400))
+            FROM replay r JOIN calls c ON c.user_id = r.user_id AND c.n = r.n + 1)
+        SELECT user_id, 'e-' || event_id AS event_id, ts AS occurred_at, tokens >= 1 AS admitted FROM replay""",
     "cdc_current_state": f"""
         SELECT transaction_id, merchant_id, amount_minor + CASE WHEN o_orderkey % 3 > 0 THEN 1 ELSE 0 END AS amount_minor,
                currency, payment_network FROM ({PAYMENTS_SQL}) p WHERE o_orderstatus <> 'P'""",

@@ -22,6 +22,13 @@ def pii_totals(spark, folder):
     return ingest.pii_totals(ingest.redact_documents(tables.documents(spark, folder), KEY), "lang")
 
 
+def email_totals(spark, folder):
+    """Mail addresses found per language, and documents that hold one."""
+    redacted = ingest.redact_documents(tables.documents(spark, folder), KEY)
+    found = redacted.select("lang", F.coalesce(F.col("pii_counts")["email"], F.lit(0).cast("bigint")).alias("emails"))
+    return found.groupBy("lang").agg(F.sum("emails").alias("emails"), F.count_if(F.col("emails") > 0).alias("documents"))
+
+
 def redact_customers(spark, folder):
     redaction = privacy.redact(F.col("c_name"), KEY)
     rows = tables.table(spark, folder, "customer").withColumn("r", redaction)
@@ -171,7 +178,7 @@ def trace_ids(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    redact_documents, pii_totals, redact_customers, email_tokens, hmac_tokens, luhn_check, canonical_values,
+    redact_documents, pii_totals, email_totals, redact_customers, email_tokens, hmac_tokens, luhn_check, canonical_values,
     sanitize_boundary, boundary_violations, chunk_fixed, chunk_recursive, ingest_telemetry, casefold_documents,
     document_words, shared_with_label, validate_documents, validate_questions, identifier_checks, trace_ids,
 )}
@@ -182,6 +189,10 @@ FROM (SELECT doc_id, text, unnest(generate_series(1, length(text), 680)) AS star
 """
 
 ORACLES = {
+    "email_totals": r"""
+        SELECT lang, sum(n)::BIGINT AS emails, count(*) FILTER (WHERE n > 0) AS documents
+        FROM (SELECT lang, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n FROM documents) d
+        GROUP BY lang""",
     "redact_customers": f"""
         SELECT c_custkey, 'Customer#' || {token_sql("phone", "substr(c_name, 10)")} AS name, 1 AS hits FROM customer""",
     "email_tokens": f"""
