@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,16 +101,13 @@ def best_items(
         T.StructField("item_id", fields["item_id"]),
         T.StructField("insert_seq", T.LongType()), T.StructField("score", T.DoubleType()),
     ])
-    size = queries.agg(
-        F.count("*").alias("rows"), F.sum(F.expr(query_weight)).alias("weight"), F.max("top_k").alias("depth")
-    ).first()
-    depth = size["depth"] or 0
-    if depth < 1:
-        return rank_hits(queries.sparkSession.createDataFrame([], hit), 1)
-
-    if size["rows"] <= query_rows and (size["weight"] or 0) <= query_block:
-        # At most query_rows rows: the block rides along with the task closure.
-        block = queries.toArrow()
+    measured = queries.withColumn("_weight", F.expr(query_weight))
+    # At most one row more than a block may have reaches the driver.
+    block = measured.limit(query_rows + 1).toArrow()
+    if block.num_rows <= query_rows and (pc.sum(block["_weight"]).as_py() or 0) <= query_block:
+        depth = pc.max(block["top_k"]).as_py() or 0
+        if depth < 1:
+            return rank_hits(queries.sparkSession.createDataFrame([], hit), 1)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer, leaders = prepare(block), _Leaders(depth)
@@ -120,6 +118,10 @@ def best_items(
 
         return rank_hits(items.mapInArrow(scan, hit), depth)
 
+    size = measured.agg(
+        F.count("*").alias("rows"), F.sum("_weight").alias("weight"), F.max("top_k").alias("depth")
+    ).first()
+    depth = max(1, size["depth"])
     total = items.agg(F.sum(F.expr(item_weight)).alias("weight")).first()["weight"] or 1
     blocks = max(1, math.ceil(size["rows"] / query_rows), math.ceil((size["weight"] or 0) / query_block))
     parts = max(1, math.ceil(total / item_block))
@@ -132,13 +134,13 @@ def best_items(
             leaders.items = right.column("item_id").combine_chunks().slice(0, 0)
         return leaders.table(left)
 
-    def spread(df: DataFrame, name: str, own: str, count: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(count))).withColumn(
+    def spread(df: DataFrame, names: tuple[str, ...], own: str, count: int, other: str, others: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(*names), F.lit(count))).withColumn(
             other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint")))
         )
 
-    left = spread(queries, "query_id", "block", blocks, "part", parts).groupBy("block", "part")
-    right = spread(items, "item_id", "part", parts, "block", blocks).groupBy("block", "part")
+    left = spread(queries, ("query_id",), "block", blocks, "part", parts).groupBy("block", "part")
+    right = spread(items, ("item_id", "insert_seq"), "part", parts, "block", blocks).groupBy("block", "part")
     return rank_hits(left.cogroup(right).applyInArrow(join, hit), depth)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -67,17 +68,23 @@ def write_audit(objects: DataFrame, path: str) -> None:
     once = objects.groupBy("object_key").agg(F.count("*").alias("copies"), F.max(F.struct(*rest)).alias("object"))
     twice = F.raise_error(F.concat(F.lit("duplicate audit key "), F.col("object_key"))).cast("boolean")
     fresh = once.filter(F.when(F.col("copies") == 1, F.lit(True)).otherwise(twice)).select("object_key", "object.*")
-    if _exists(spark, path):
+    stored = _stored(spark, path)
+    if stored is not None:
         # Category and day are folders, and part of the key: other days are not read.
         days = objects.select("category", "dt").distinct()
-        known = spark.read.parquet(path).join(days, ["category", "dt"], "left_semi").select("object_key")
+        known = stored.join(days, ["category", "dt"], "left_semi").select("object_key")
         fresh = fresh.join(known, "object_key", "left_anti")
     fresh.write.mode("append").partitionBy("category", "dt").parquet(path)
 
 
-def _exists(spark, path: str) -> bool:
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """What the sink holds so far; None before the first write."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def write_windows(counts: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
