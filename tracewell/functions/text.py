@@ -33,8 +33,9 @@ def fold_table() -> tuple[str, dict[str, str], dict[str, str]]:
 def _class_body(chars: str) -> str:
     """The characters as ranges of a pattern class; few ranges are much faster to test than many characters."""
     points = sorted(map(ord, chars))
-    starts = [p for p in points if p - 1 not in set(points)]
-    ends = [p for p in points if p + 1 not in set(points)]
+    known = set(points)
+    starts = [p for p in points if p - 1 not in known]
+    ends = [p for p in points if p + 1 not in known]
     return "".join(f"\\x{{{first:X}}}-\\x{{{last:X}}}" for first, last in zip(starts, ends, strict=True))
 
 

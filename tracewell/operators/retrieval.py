@@ -136,10 +136,13 @@ def term_statistics(terms: DataFrame, indexed: DataFrame) -> DataFrame:
     is joined to the finished counts instead. Either way words are counted per task before they are
     shuffled, so a word that every item holds is no hot key.
     """
-    asked = terms.select(F.explode("terms").alias("term")).distinct()
+    asked = terms.select(F.explode(F.array_distinct("terms")).alias("term")).distinct()
     marked = asked.union(asked.sparkSession.createDataFrame([("",)], "term string"))
+    # The length rides on one entry: beside the explode it would drag the whole word list along with every word.
+    entry = lambda term, length: F.struct(term.alias("term"), length.alias("length"))
+    own = F.transform(F.array_distinct("words"), lambda word: entry(word, F.lit(0)))
     everything = indexed.select(
-        F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("term")
+        F.inline(F.concat(F.array(entry(F.lit(""), F.size("words"))), own))
     )
     few = within(asked, BROADCAST_ROWS)
     if few:
@@ -164,7 +167,7 @@ def retrieve_bm25(
     n_items = whole["n_items"]
     rarity = F.log1p((F.lit(float(n_items)) - F.col("n_items") + 0.5) / (F.col("n_items") + 0.5))
     weighted = (
-        terms.select("query_id", "top_k", F.explode("terms").alias("term"))
+        terms.select("query_id", "top_k", F.explode(F.array_distinct("terms")).alias("term"))
         .join(statistics.select("term", rarity.alias("weight")), "term")
         # One question is at most 10,000 characters, so this list is short.
         .groupBy("query_id", "top_k").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("pairs"))
