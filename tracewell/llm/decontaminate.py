@@ -214,16 +214,16 @@ def contamination(docs: DataFrame, items: DataFrame, store: Store, window: int =
 
 def decontaminate(docs: DataFrame, items: DataFrame, store: Store, max_coverage: float = 0.5, least_words: int = WINDOW) -> DataFrame:
     """Documents with fewer than ``least_words`` hit words stay as they are, those whose hit share exceeds
-    ``max_coverage`` go, and all others lose their hit spans. Columns stay; a column ``found`` of the input goes."""
-    names = docs.columns
-    marked = contamination(docs, items, store)
+    ``max_coverage`` go, and all others lose their hit spans. Columns stay as they are."""
+    wrapped = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    marked = contamination(wrapped, items, store)
     hits = F.col("found.n_hit")
     enough = hits >= least_words
     kept = marked.filter(~enough | (hits <= F.col("found.n_words") * F.lit(max_coverage)))
     if max_coverage <= 0:
-        return kept.select(*names)
+        return kept.select("_row.*")
     cut: Column = F.when(enough, _without("text", F.col("found.mask"))).otherwise(F.col("text"))
-    return kept.withColumn("text", cut).select(*names)
+    return kept.select(F.col("_row").withField("text", cut).alias("_row")).select("_row.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

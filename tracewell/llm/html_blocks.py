@@ -143,7 +143,7 @@ class WordBuckets(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        value = self[word] = _bucket(word.lower(), WORD_DIMS)
+        value = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % WORD_DIMS
         return value
 
 

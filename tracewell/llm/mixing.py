@@ -61,13 +61,10 @@ def source_targets(sizes: DataFrame, store: Store, weights: tuple[int, ...] = WE
 
 
 def mix(docs: DataFrame, store: Store, **policy) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)`` and ``text_key``, a digest of the text, per row."""
+    """``(doc_id, source, size, source_size, target, taken)``, the sampling ``key`` and a digest of the text, per row."""
     text = F.col("text")
     size = word_count(text)
-    facts = docs.select(
-        "doc_id", "source", size.alias("size"), quality_weight(text).alias("weight"),
-        F.xxhash64(text).alias("text_key"),
-    )
+    facts = docs.select("doc_id", "source", size.alias("size"), quality_weight(text).alias("weight"), F.xxhash64(text).alias("text_key"))
     facts = store.save(facts.withColumn("key", sampling_key(F.col("doc_id"), F.col("size"), F.col("weight"))).drop("weight"), "facts")
     targets = source_targets(facts, store, **policy)
     order = [F.col("source").isNull(), F.col("source"), F.col("key"), F.col("doc_id"), F.col("size"), F.col("text_key")]
@@ -82,7 +79,29 @@ def mix(docs: DataFrame, store: Store, **policy) -> DataFrame:
     # The last document counts if that ends nearer the budget than leaving it out.
     drawn = (inside + F.col("size") / 2.0 <= wanted) & (F.col("size") > 0)
     taken = epochs * F.col("size") + F.when(drawn, F.col("size")).otherwise(0)
-    return joined.withColumn("taken", taken.cast("bigint")).drop("number", "before", "start", "key")
+    return joined.withColumn("taken", taken.cast("bigint")).drop("number", "before", "start")
+
+
+def mixed_documents(docs: DataFrame, store: Store, **policy) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each time a document is taken.
+
+    A source takes its documents up to the last one drawn, so what is joined to the texts is one row per source.
+    Rows of one id and text stand or fall together here.
+    """
+    decided = store.save(mix(docs, store, **policy), "decided")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    place = F.struct("key", "doc_id", "size", "text_key")
+    extra = F.col("taken") > F.col("size") * epochs
+    last = store.save(decided.groupBy(F.col("source").alias("_of")).agg(F.max(epochs).alias("_epochs"), F.max(F.when(extra, place)).alias("_last")), "last")
+    text, key = F.col("text"), F.col("_key")
+    wrapped = docs.select(F.struct("*").alias("_row"), "doc_id", F.col("source").alias("_source"), word_count(text).alias("_size"),
+                          quality_weight(text).alias("_weight"), F.xxhash64(text).alias("_text"))
+    wrapped = wrapped.withColumn("_key", sampling_key(F.col("doc_id"), F.col("_size"), F.col("_weight")))
+    joined = wrapped.join(last, F.col("_source").eqNullSafe(F.col("_of")))
+    own = F.struct(key.alias("key"), "doc_id", F.col("_size").alias("size"), F.col("_text").alias("text_key"))
+    times = F.col("_epochs") + F.coalesce((own <= F.col("_last")).cast("int"), F.lit(0))
+    times = F.when(F.col("_size") > 0, times).otherwise(0)
+    return joined.select("_row", F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).select("_row.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

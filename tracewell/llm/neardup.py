@@ -84,23 +84,23 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, class_key, tokens)``; key and tokens are null for texts without words."""
+    """``(doc_id, text_key, n_shingles, class_key, tokens)``; class key and tokens are null for texts without words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sizes, keys, tokens = [], [], []
-            for text in byte_texts(batch.column(1)):
+            for text in byte_texts(batch.column(2)):
                 shingles = shingle_set(text, hashes)
                 sizes.append(len(shingles))
                 keys.append(hashlib.md5(shingles).digest() if len(shingles) else None)
                 tokens.append(signature(shingles) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "class_key", "tokens"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "class_key", "tokens"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return texts.mapInArrow(make, "doc_id bigint, n_shingles bigint, class_key binary, tokens array<bigint>")
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), F.col("text").cast("string"))
+    return texts.mapInArrow(make, "doc_id bigint, text_key bigint, n_shingles bigint, class_key binary, tokens array<bigint>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -219,19 +219,41 @@ def class_components(docs: DataFrame, classes: DataFrame, store: Store) -> DataF
 
 
 def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
-    """``(doc_id, n_shingles, class_key, component_id)`` per row of ``docs`` (doc_id, text)."""
+    """``(doc_id, text_key, n_shingles, component, component_id)`` per row of ``docs`` (doc_id, text).
+
+    ``component`` numbers the components and is null for texts that link with nothing for want of words;
+    ``component_id`` is the smallest id of the component.
+    """
     sketched = store.save(sketches(docs), "sketches")
     worded = sketched.filter("class_key IS NOT NULL")
     grouped = worded.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.any_value("tokens").alias("tokens"))
     classes = store.save(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     labels = class_components(docs, classes, store)
-    named = classes.select("cid", "class_key", "rep").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    named = store.save(named, "named")
-    smallest = store.save(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "smallest")
-    member = store.save(named.join(smallest, "comp").select("class_key", "component_id"), "member")
-    joined = worded.select("doc_id", "n_shingles", "class_key").join(member, "class_key")
-    alone = sketched.filter("class_key IS NULL").select("doc_id", "n_shingles", "class_key", F.col("doc_id").alias("component_id"))
-    return joined.select("doc_id", "n_shingles", "class_key", "component_id").unionByName(alone)
+    named = classes.select("cid", "class_key", "rep").join(labels, "cid", "left").withColumn("component", F.coalesce("comp", "cid"))
+    named = store.save(named.drop("comp"), "named")
+    smallest = store.save(named.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")
+    # Stored first: both sides of the next join are plain scans, so a class of any size can be split.
+    member = store.save(named.join(smallest, "component").select("class_key", "component", "component_id"), "member")
+    columns = ["doc_id", "text_key", "n_shingles", "component", "component_id"]
+    alone = sketched.filter("class_key IS NULL").withColumn("component", F.lit(None).cast("bigint")).withColumn("component_id", F.col("doc_id"))
+    return worded.join(member, "class_key").select(columns).unionByName(alone.select(columns))
+
+
+def keep_first(docs: DataFrame, store: Store) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id; texts without words all stay."""
+    wrapped = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
+    found = store.save(near_duplicates(docs.select("doc_id", "text"), store), "found")
+    chosen = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    first = found.filter("component IS NOT NULL").groupBy("component").agg(chosen.alias("first")).select("first.doc_id", "first.text_key")
+    alone = found.filter("component IS NULL").select("doc_id", "text_key").distinct()
+    keys = store.save(first.withColumn("one", F.lit(True)).unionByName(alone.withColumn("one", F.lit(False))), "first")
+    rows = wrapped.join(keys, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
+    repeated = found.filter("component IS NOT NULL").join(
+        keys.filter("one").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")),
+        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).groupBy("_id", "_key").count().filter("count > 1")
+    if not repeated.isEmpty():  # rows of one id and text: any one of them stands for all
+        rows = rows.filter("NOT one").unionByName(rows.filter("one").dropDuplicates(["_id", "_key"]))
+    return rows.select("_row.*")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -211,6 +211,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.withColumn("stats", text_stats("text")).withColumn("kept", verdict(F.col("stats"), rules))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that pass, in their own columns."""
+    judged = judge(docs.select(F.struct("*").alias("_row"), "doc_id", "text"), labels)
+    return judged.filter("kept").select("_row.*")
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     spark = prepared(spark)
     judged = judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
