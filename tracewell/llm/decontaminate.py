@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.common import Store, byte_texts, numbered, prepared, read
 
@@ -173,7 +174,7 @@ def _scanner(items: list[tuple[str, list[bytes]]], window: int):
     return scan
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _without(texts: pa.Array, masks: pa.Array) -> pa.Array:
     """Text without its marked words; white space around a removed span becomes one blank."""
     out = []

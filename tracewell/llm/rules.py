@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.common import byte_texts, prepared, read
 
@@ -33,7 +34,7 @@ LEAST_COVERED = 5
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_digits",
           "n_exclamations", "n_distinct_words")
-STATS = "struct<" + ",".join(f"{name}:bigint" for name in COUNTS) + ">"
+STATS = T.StructType([T.StructField(name, T.LongType()) for name in COUNTS])
 CAPITALS, DIGITS, BREAKS = bytes(range(65, 91)), b"0123456789", b" \t\n\x0b\x0c\r"
 
 
