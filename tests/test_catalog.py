@@ -5,8 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, comparable
+from tracewell.plans.catalog import all_oracles, all_queries
 
-ORACLES = entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -18,15 +19,15 @@ def duck(data):
 
 
 def test_names():
-    assert set(ORACLES) <= set(entry.queries())
-    assert not [name for name in entry.queries() if "pipeline" in name or "llm" in name or name.startswith("op")]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, data, name):
     frame = entry.queries()[name](spark, data)
     columns = sorted(frame.columns)

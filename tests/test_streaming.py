@@ -144,12 +144,14 @@ def test_payment_stream(spark, data, key, tmp_path):
     rows = tables.payments(spark, data).withColumn("traceparent", F.lit("")).withColumn("amount_minor", F.col("amount_minor").cast("string"))
     rows.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = events.read_file_stream(spark, str(tmp_path / "in"), rows.schema, files_per_trigger=1)
-    ingested, scored = pipelines.payment_streams(stream, key)
+    ingested, scored, refused = pipelines.payment_streams(stream, key)
     run(scored, str(tmp_path), output=str(tmp_path / "out"))
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.columns == [f.name for f in schemas.event_schema("PaymentRiskScored")]
     assert found.count() == rows.count() and found.filter("decision = 'review'").count() > 0
     assert ingested.isStreaming
+    run(refused.select("transaction_id", "error"), str(tmp_path / "refused"), output=str(tmp_path / "refused-out"))
+    assert spark.read.parquet(str(tmp_path / "refused-out")).count() == 0
 
 
 def test_decision_latency(spark, tmp_path):

@@ -13,10 +13,14 @@ from tracewell.operators.ordered import running_sum
 from tracewell.schemas import EVENT_DEFAULTS, EVENT_TOPICS, STREAM_FIELDS, event_schema
 
 
+NULL_PART = "\\N"
+
+
 def stable_uuid(*parts: Column) -> Column:
-    """UUID-shaped id derived from the row, so a replay issues the same one."""
+    """UUID-shaped id derived from the row, so a replay issues the same one. A null part counts as a part."""
+    marked = [F.coalesce(part.cast("string"), F.lit(NULL_PART)) for part in parts]
     return F.regexp_replace(
-        F.md5(F.concat_ws("|", *parts)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
+        F.md5(F.concat_ws("|", *marked)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
     )
 
 
@@ -33,12 +37,13 @@ def _default(field: T.StructField) -> Column:
     return F.lit(0).cast(kind)
 
 
-def make_events(df: DataFrame, event_type: str, occurred_at: Column, event_id: Column | None = None) -> DataFrame:
+def make_events(df: DataFrame, event_type: str, occurred_at: Column, event_id: Column | None = None,
+                carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows of one event type in contract order.
 
     Fields of the contract are taken from equally named columns, else from the contract's defaults. Without
     ``event_id`` each row gets a random one. An event without a ``causation_id`` column is a root: it gets a
-    causation id of its own.
+    causation id of its own. Columns in ``carry`` follow the contract's as they are.
     """
     schema = event_schema(event_type)
     identified = df.withColumn("event_id", event_id if event_id is not None else F.uuid())
@@ -55,7 +60,7 @@ def make_events(df: DataFrame, event_type: str, occurred_at: Column, event_id: C
             return F.coalesce(F.col(field.name).cast(field.dataType), _default(field))
         return _default(field)
 
-    return identified.select([value(field).alias(field.name) for field in schema])
+    return identified.select([value(field).alias(field.name) for field in schema] + list(carry))
 
 
 def union_events(*frames: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def major_units(amount_minor: Column, currency: Column) -> Column:
 
 def join_exponents(payments: DataFrame, exponents: DataFrame) -> DataFrame:
     """Look up ``(currency, exponent)``; an unknown currency has two. The lookup is a code list of a few rows."""
-    known = payments.join(F.broadcast(exponents), "currency", "left")
+    known = payments.join(exponents, "currency", "left")
     return known.withColumn("exponent", F.coalesce("exponent", F.lit(DEFAULT_EXPONENT)))
 
 
@@ -57,9 +57,9 @@ def tokenize_payments(accepted: DataFrame, key: str) -> DataFrame:
     )
 
 
-def ingested_events(tokenized: DataFrame, occurred_at: Column) -> DataFrame:
+def ingested_events(tokenized: DataFrame, occurred_at: Column, carry: tuple[str, ...] = ()) -> DataFrame:
     event_id = stable_uuid(F.lit("PaymentTransactionIngested"), F.col("correlation_id"), F.col("transaction_token"))
-    return make_events(tokenized, "PaymentTransactionIngested", occurred_at, event_id)
+    return make_events(tokenized, "PaymentTransactionIngested", occurred_at, event_id, carry)
 
 
 def _binary_score(amount_minor: Column, divisor: Column) -> Column:

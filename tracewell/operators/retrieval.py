@@ -205,7 +205,5 @@ def embed(
 
 
 def attach_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hit records with their text. Hits are stored first; while they are few, the chunks are not shuffled."""
-    found = stored(hits, "hits")
-    side = F.broadcast(found) if within(found, BROADCAST_ROWS) else found
-    return chunks.select("chunk_id", "text").join(side, "chunk_id")
+    """Hit records with their text. Hits are stored first, so the join is planned by their size in bytes."""
+    return chunks.select("chunk_id", "text").join(stored(hits, "hits"), "chunk_id")

@@ -74,8 +74,16 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def truncated_amount(amount: Column) -> Column:
-    """Whole minor units, cut toward zero; null if the value is no number."""
-    return amount.cast("string").try_cast("decimal(38,10)").cast("bigint")
+    """Whole minor units, cut toward zero; null if the value is no number or beyond 64 bits.
+
+    The fraction is cut from the text, so no number of decimals rounds. Only exponents go through a double.
+    """
+    text = F.trim(amount.cast("string"))
+    whole = F.regexp_extract(text, r"^([+-]?[0-9]*)\.?[0-9]*$", 1)
+    cut = F.when(whole.isin("", "+", "-"), F.lit("0")).otherwise(whole).try_cast("bigint")
+    scaled = F.when(text.rlike("[eE]"), text.try_cast("double"))
+    bounded = F.when(F.abs(scaled) < 9.2e18, F.when(scaled >= 0, F.floor(scaled)).otherwise(F.ceil(scaled)))
+    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), cut).otherwise(bounded)
 
 
 def payment_error(df: DataFrame, raw: str | None = None) -> Column:

@@ -35,7 +35,7 @@ def token_sql(kind: str, canonical: str) -> str:
 
 
 def uuid_sql(*parts: str) -> str:
-    joined = "md5(concat_ws('|', " + ", ".join(parts) + "))"
+    joined = "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({part} AS VARCHAR), '\\N')" for part in parts) + "))"
     return f"regexp_replace({joined}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
 
 

@@ -20,7 +20,9 @@ def _envelopes(spark, folder):
         .otherwise(F.col("transaction_id")).alias("transaction_id"),
         F.when(fault == 6, F.concat("merchant_id", F.lit("#1"))).otherwise(F.col("merchant_id")).alias("merchant_id"),
         F.when(fault == 2, F.lit("12 EUR")).when(fault == 3, F.concat(F.lit("-"), amount))
-        .when(fault == 4, F.lit("-0.9")).when(fault == 0, F.concat(amount, F.lit(".75"))).otherwise(amount).alias("amount_minor"),
+        .when((fault == 4) & (F.col("o_orderkey") % 2 == 0), F.lit("-0.99999999999"))
+        .when(fault == 4, F.lit("0.99999999999")).when(fault == 10, F.lit("99999999999999999999"))
+        .when(fault == 0, F.concat(amount, F.lit(".75"))).otherwise(amount).alias("amount_minor"),
         F.when(fault == 7, F.lit("EURO")).when(fault == 8, F.lower("currency")).otherwise(F.col("currency")).alias("currency"),
         F.when(fault == 9, F.lit("net/1")).when(fault != 8, F.col("payment_network")).alias("payment_network"),
     )
@@ -81,7 +83,7 @@ def payment_decisions(spark, folder):
     accepted, _ = payments.split_payments(tables.payments(spark, folder))
     scored = payments.score_payments(payments.tokenize_payments(accepted, KEY), anomaly=F.col("payment_network") == "net1")
     return scored.groupBy("currency", "decision").agg(
-        F.count("*").alias("payments"), F.round(F.sum("risk_score"), 3).alias("total_score"))
+        F.count("*").alias("payments"), F.sum(F.col("risk_score").cast("decimal(18,4)")).cast("double").alias("total_score"))
 
 
 def currency_lookup_join(spark, folder):
@@ -102,7 +104,7 @@ _ENVELOPES = f"""
 SELECT o_orderkey, o_orderkey % 11 AS fault,
        CASE o_orderkey % 11 WHEN 1 THEN '' WHEN 5 THEN ' ' || transaction_id ELSE transaction_id END AS transaction_id,
        CASE o_orderkey % 11 WHEN 6 THEN merchant_id || '#1' ELSE merchant_id END AS merchant_id,
-       CASE o_orderkey % 11 WHEN 2 THEN NULL WHEN 3 THEN -amount_minor WHEN 4 THEN 0 ELSE amount_minor END AS amount,
+       CASE o_orderkey % 11 WHEN 2 THEN NULL WHEN 10 THEN NULL WHEN 3 THEN -amount_minor WHEN 4 THEN 0 ELSE amount_minor END AS amount,
        CASE o_orderkey % 11 WHEN 7 THEN 'EURO' ELSE currency END AS currency,
        CASE o_orderkey % 11 WHEN 9 THEN 'net/1' WHEN 8 THEN 'unknown' ELSE payment_network END AS payment_network
 FROM ({PAYMENTS_SQL}) p
@@ -112,7 +114,7 @@ ORACLES = {
     "validate_payments": f"""
         SELECT o_orderkey, amount, CASE fault
             WHEN 1 THEN 'payment envelope is missing required fields'
-            WHEN 2 THEN 'amount_minor must be numeric'
+            WHEN 2 THEN 'amount_minor must be numeric' WHEN 10 THEN 'amount_minor must be numeric'
             WHEN 3 THEN 'amount_minor must not be negative'
             WHEN 5 THEN 'transaction_id must be a tokenized safe identifier'
             WHEN 6 THEN 'merchant_id must be a tokenized safe identifier'
@@ -130,7 +132,7 @@ ORACLES = {
         SELECT o_orderkey, {token_sql("payment_transaction", "transaction_id")} AS transaction_token,
                {token_sql("payment_merchant", "merchant_id")} AS merchant_token, amount AS amount_minor, currency,
                payment_network, true AS pii_tokenized
-        FROM ({_ENVELOPES}) e WHERE fault NOT IN (1, 2, 3, 5, 6, 7, 9)""",
+        FROM ({_ENVELOPES}) e WHERE fault NOT IN (1, 2, 3, 5, 6, 7, 9, 10)""",
     "payment_scores": f"""
         SELECT correlation_id, {token_sql("payment_transaction", "transaction_id")} AS transaction_token,
                {token_sql("payment_merchant", "merchant_id")} AS merchant_token, {SCORE_SQL} AS risk_score,
@@ -145,7 +147,7 @@ ORACLES = {
         WITH scored AS (SELECT currency, CASE WHEN payment_network = 'net1' THEN greatest({SCORE_SQL}, 0.7)
                                          ELSE {SCORE_SQL} END AS score FROM ({PAYMENTS_SQL}) p)
         SELECT currency, CASE WHEN score >= 0.7 THEN 'review' ELSE 'allow' END AS decision, count(*) AS payments,
-               round(sum(score), 3) AS total_score FROM scored GROUP BY ALL""",
+               sum(score::DECIMAL(18,4))::DOUBLE AS total_score FROM scored GROUP BY ALL""",
     "currency_lookup_join": f"""
         SELECT transaction_id, currency, {EXPONENT_SQL} AS exponent,
                amount_minor / CAST(10 ** ({EXPONENT_SQL}) AS DOUBLE) AS amount_major FROM ({PAYMENTS_SQL}) p""",

@@ -90,6 +90,7 @@ class AskResult:
     events: DataFrame
     compensations: DataFrame
     audit: DataFrame
+    rejected: DataFrame
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
@@ -106,7 +107,7 @@ def ask(
     Questions are redacted before anything else sees them. ``vectors`` holds (query vectors, chunk vectors)
     for the vector strategy; ``model`` builds a text model per task, without one the answers say so.
     """
-    valid, _ = validation.split_valid(validation.validate_questions(_traced(questions)))
+    valid, failed = validation.split_valid(validation.validate_questions(_traced(questions)))
     safe = valid.withColumn("question", redact_text(F.col("question"), key))
     if strategy == "vector":
         found = retrieval.retrieve_vector(*vectors)
@@ -136,6 +137,7 @@ def ask(
         events=processed,
         compensations=compensations,
         audit=audit.audit_objects(audit.request_records(payload, at), "requests", "request_id", key),
+        rejected=failed.select("request_id", "failed"),
     )
 
 
@@ -160,10 +162,10 @@ def process_payments(
     """
     accepted, refused = payments.split_payments(_traced(requests), raw)
     tokenized = payments.tokenize_payments(accepted, key)
-    ingested = payments.ingested_events(tokenized, at)
+    # Scored once: the request id travels beside the event, so events and outcomes come from the same scores.
+    ingested = payments.ingested_events(tokenized, at, ("request_id",))
     scored = payments.score_payments(ingested, anomaly, error)
-    # The request id is issued with the correlation id, so outcomes need no join back to the events.
-    decided = payments.score_payments(tokenized, anomaly, error).select(
+    decided = scored.select(
         F.lit("payment").alias("flow"),
         F.when(F.col("failure_reason") == "", F.lit("ok")).otherwise(F.lit("scorer_failed")).alias("outcome"),
         "request_id", "correlation_id", "decision",
@@ -173,7 +175,7 @@ def process_payments(
         F.lit("").alias("decision"),
     )
     return PaymentResult(
-        ingested=ingested,
+        ingested=ingested.drop("request_id"),
         scored=payments.scored_events(scored, at),
         compensated=payments.compensated_events(scored, at),
         outcomes=decided.unionByName(invalid),

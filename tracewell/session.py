@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,17 +52,10 @@ def build_session(app: str = "tracewell", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder for tables that must outlive an executor.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting gets a
-    temporary folder; a cluster without it is refused, since other machines could not read the files.
+    The cluster names it in ``spark.checkpoint.dir``; without that setting it lies in the warehouse, which all
+    executors reach as well.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tracewell-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/steps"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

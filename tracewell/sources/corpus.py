@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Document sizes and vocabulary.
+# Fixed value: document sizes.
 SIZES_KB = (1, 10, 100)
-VOCABULARY = ("synthetic", "sample", "parcel", "inventory", "orbit", "harbor", "ledger", "violet")
+VOCABULARY = ("copper", "meadow", "signal", "garden", "window", "bottle", "stream", "candle")
 
 
 def _draw(seed: int, what: str, *place: Column) -> Column:
@@ -28,18 +28,18 @@ def synthetic_corpus(spark: SparkSession, seed: int, count: int) -> tuple[DataFr
     )
     vocabulary = F.array(*[F.lit(word) for word in VOCABULARY])
     target = F.col("size_kb") * 1024
-    # The shortest word and a space take six characters: enough words for the whole size.
+    # A word and a space take seven characters: enough words for the whole size.
     word = lambda i: F.element_at(
         vocabulary, (F.pmod(_draw(seed, "word", F.col("id"), i), F.lit(len(VOCABULARY))) + 1).cast("int")
     )
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.floor(target / 6).cast("int") + 1), word), " ")
-    opening = F.concat(F.lit("Synthetic document "), "marker", F.lit(". The sample parcel is violet. "))
+    opening = F.concat(F.lit("Made-up note "), "marker", F.lit(". Its lantern glows amber. "))
     documents = rows.select(
         F.format_string("synthetic-%dkb-%d-%s", "size_kb", "number", "marker").alias("source"),
         F.substr(F.concat(opening, body), F.lit(1), target).alias("text"),
     )
     questions = rows.select(
-        F.concat(F.lit("In synthetic document "), "marker", F.lit(", what color is the sample parcel?")).alias("question"),
+        F.concat(F.lit("Which glow has the lantern of note "), "marker", F.lit("?")).alias("question"),
         F.lit(4).alias("top_k"),
     )
     payments = rows.select(

@@ -49,6 +49,11 @@ def event_counts(
     return window_counts(events, width)
 
 
+def malformed_events(raw: DataFrame, schema: T.StructType = STREAM_FIELDS) -> DataFrame:
+    """The messages that :func:`event_counts` leaves out because they cannot be read, for a sink of their own."""
+    return split_malformed(parse_events(raw, schema))[1]
+
+
 def side_output(
     accept: BatchSink, quarantine_path: str, horizon_path: str, time: str = "occurred_at",
     lateness: timedelta = timedelta(minutes=10),

@@ -34,16 +34,16 @@ def ingest_batches(
 
 
 def payment_streams(stream: DataFrame, key: str, at: str = "paid_at", watermark: str = "10 minutes"
-                    ) -> tuple[DataFrame, DataFrame]:
-    """(ingested events, scored events) of a payment stream, stateless; each keeps its event time in ``at``.
+                    ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ingested events, scored events, refused payments) of a payment stream, stateless.
 
-    A payment whose envelope is refused is in neither; :func:`validation.payment_error` names the reason.
+    A payment whose envelope is refused is in the third alone, with its ``error``.
     """
-    accepted, _ = payments.split_payments(stream.withWatermark(at, watermark))
+    accepted, refused = payments.split_payments(stream.withWatermark(at, watermark))
     tokenized = payments.tokenize_payments(accepted, key)
     ingested = payments.ingested_events(tokenized, F.col(at))
     scored = payments.scored_events(payments.score_payments(ingested), F.to_timestamp("occurred_at"))
-    return ingested, scored
+    return ingested, scored, refused
 
 
 def decision_latency(ingested: DataFrame, scored: DataFrame, bound: str = "10 minutes", watermark: str = "10 minutes"
