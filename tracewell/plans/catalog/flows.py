@@ -133,8 +133,8 @@ ORACLES = {
         FROM benchmark LEFT JOIN counts ON query_id = item_id""",
     "process_payments": f"""
         WITH e AS (SELECT 'pay-' || o_orderkey AS request_id, fault, amount AS amount_minor, currency FROM ({_ENVELOPES}) v),
-        d AS (SELECT request_id, CASE WHEN fault IN (1, 2, 3, 5, 6, 7, 9) THEN 'invalid' ELSE 'ok' END AS outcome,
-                     CASE WHEN fault IN (1, 2, 3, 5, 6, 7, 9) THEN '' WHEN {SCORE_SQL} >= 0.7 THEN 'review' ELSE 'allow' END AS decision FROM e)
+        d AS (SELECT request_id, CASE WHEN fault IN (1, 2, 3, 5, 6, 7, 9, 10) THEN 'invalid' ELSE 'ok' END AS outcome,
+                     CASE WHEN fault IN (1, 2, 3, 5, 6, 7, 9, 10) THEN '' WHEN {SCORE_SQL} >= 0.7 THEN 'review' ELSE 'allow' END AS decision FROM e)
         SELECT request_id, outcome, decision, CASE outcome WHEN 'ok' THEN 'COMPLETED' ELSE 'COMPENSATED' END AS state_to,
                CASE outcome WHEN 'ok' THEN 'Decision: ' || decision ELSE 'Payment ingestion failed' END AS reason FROM d""",
     "service_metrics": f"""
