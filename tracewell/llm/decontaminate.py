@@ -191,7 +191,7 @@ def _without(texts: pa.Array, masks: pa.Array) -> pa.Array:
                 elif not hit:
                     if open_since is None:
                         kept.append(text[at:start])
-                    elif kept:
+                    elif kept and not kept[-1].endswith((b" ", b"\n")):
                         kept.append(b" ")
                     kept.append(text[start:start + len(word)])
                     open_since = None

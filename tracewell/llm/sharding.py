@@ -2,8 +2,8 @@
 
 Documents of equal text are linked. Every document starts in the shard its hash names. In each round the linked
 documents of a shard ask to move to the shard that holds most of their group; a shard admits as many as its quota
-and the departures asked of it leave room for, largest gain first. After the rounds every shard keeps linked
-documents up to its quota, small groups first, and the rest, group after group, then the unlinked documents,
+and the departures asked of it leave room for, small groups first, which fit whole, then by gain. After the rounds every shard keeps linked
+documents up to its quota, small groups first and no group beyond it, and the rest, group after group, then the unlinked documents,
 fill what room is left. So counts differ by one at most, and a group is cut only where a quota ends.
 
 A group is never paired up: its members meet in counts per (group, shard), added up before they are shuffled.
@@ -52,14 +52,14 @@ def propagate(linked: DataFrame, quota: list[int], store: Store, rounds: int = R
     for _ in range(rounds):
         groups = store.save(_group_counts(linked), "groups")
         asked = linked.join(groups, "text_key").filter(F.col("shard") != F.col("best"))
-        asked = asked.select("row", "text_key", "shard", "best", (F.col("best_held") - F.element_at("held", F.col("shard"))).alias("gain"))
+        asked = asked.select("row", "text_key", "copies", "shard", "best", (F.col("best_held") - F.element_at("held", F.col("shard"))).alias("gain"))
         asked = store.save(asked, "asked")
         leaving = _by_shard(asked, shards)
         if not sum(leaving):
             break
         held = _by_shard(linked, shards)
         room = [max(0, quota[k] - held[k] + leaving[k]) for k in range(shards)]
-        lined = numbered(asked, [F.col("best"), F.col("gain").desc(), F.col("text_key"), F.col("row")], store, "lined")
+        lined = numbered(asked, [F.col("best"), F.col("copies"), F.col("gain").desc(), F.col("text_key"), F.col("row")], store, "lined")
         firsts = {row["best"]: row["first"] for row in lined.groupBy("best").agg(F.min("number").alias("first")).collect()}
         first = _pick([firsts.get(k, 0) for k in range(shards)], F.col("best"))
         moves = lined.filter(F.col("number") - first < _pick(room, F.col("best"))).select("row", F.col("best").alias("to"))
@@ -92,7 +92,8 @@ def assign(docs: DataFrame, store: Store, shards: int = SHARDS, rounds: int = RO
     lined = numbered(linked, [F.col("shard"), F.col("copies"), F.col("text_key"), F.col("row")], store, "keep")
     firsts = {row["shard"]: row["first"] for row in lined.groupBy("shard").agg(F.min("number").alias("first")).collect()}
     place = F.col("number") - _pick([firsts.get(k, 0) for k in range(shards)], F.col("shard"))
-    kept = lined.filter(place < _pick(quota, F.col("shard"))).select("row", "shard")
+    # A group beyond any quota is cut in any case: it fills one shard's room after another instead.
+    kept = lined.filter((place < _pick(quota, F.col("shard"))) & (F.col("copies") <= quota[0])).select("row", "shard")
     kept = store.save(kept, "kept")
     held = _by_shard(kept, shards)
 
