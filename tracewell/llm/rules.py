@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,8 +188,10 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     sample = marked.orderBy(order, "doc_id").limit(sample_rows)
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(
         "quality", F.pmod(order, F.lit(3)).alias("fold"), text_stats("text").alias("stats"))
-    rows = found.filter(~base_failed(F.col("stats"))).select(
-        "quality", "fold", *[ratio(F.col("stats"), name).alias(name) for name in RATIOS]).limit(sample_rows).toArrow()
+    # Rows that fail the base rule go here, not in a filter: that would be pushed below the join, to every text.
+    rows = found.select("quality", "fold", base_failed(F.col("stats")).alias("failed"),
+                        *[ratio(F.col("stats"), name).alias(name) for name in RATIOS]).limit(sample_rows).toArrow()
+    rows = rows.filter(pc.invert(rows["failed"]))
     table = {name: rows[name].to_numpy() for name in RATIOS}
     order = np.lexsort([*table.values(), rows["quality"].to_numpy()])  # rows arrive in any order
     return learn({name: values[order] for name, values in table.items()}, rows["quality"].to_numpy()[order] == 0,
