@@ -188,7 +188,61 @@ SELECT 'doc-' || doc_id AS request_id, CAST((start - 1) // 680 AS INTEGER) AS po
 FROM (SELECT doc_id, text, unnest(generate_series(1, length(text), 680)) AS start FROM documents) starts
 """
 
+# Personal data in SQL. Its patterns cannot look around, so every alternative takes the character before a value and
+# the one after it as well; a line feed stands at either end. Taking one character each keeps the order of matches.
+_WORD_CLASS = r"\p{L}\p{N}_"
+_LETTERS = r"A-Za-z\x{130}\x{131}\x{17F}\x{212A}"
+_BLANK = r"\t-\r\x1c-\x20\x{85}\p{Z}"
+_MAIL_REST = rf"[{_LETTERS}0-9._%+-]*@[{_LETTERS}0-9.-]+\.[{_LETTERS}]{{2,}}"
+_PII_SQL = "(" + "|".join((
+    rf"\P{{Nd}}(\p{{Nd}}{{4}}-\p{{Nd}}{{2}}-\p{{Nd}}{{2}}(?:[Tt{_BLANK}]\p{{Nd}}{{2}}:\p{{Nd}}{{2}}(?::\p{{Nd}}{{2}}(?:\.\p{{Nd}}{{1,6}})?)?"
+    r"(?:[Zz]|[+-]\p{Nd}{2}:?\p{Nd}{2})?)?)\P{Nd}",
+    r"\P{Nd}(\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4})\P{Nd}",
+    r"\P{Nd}((?:\p{Nd}[ -]?){13,19})\P{Nd}",
+    rf"[^{_WORD_CLASS}]([{_LETTERS}0-9_]{_MAIL_REST})[^{_WORD_CLASS}]",
+    rf"[{_WORD_CLASS}]([.%+-]{_MAIL_REST})[^{_WORD_CLASS}]",
+    rf"[^{_WORD_CLASS}](\+?\p{{Nd}}[\p{{Nd}} ()-]{{7,}}\p{{Nd}})[^{_WORD_CLASS}]",
+)) + ")"
+_FIND = f"regexp_extract(rest, '{_PII_SQL}', ['around', 'datetime', 'ssn', 'card', 'email', 'odd_email', 'phone'])"
+_LUHN = """list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+    CASE WHEN i % 2 = 1 THEN substr(digits, length(digits) - i + 1, 1)::INTEGER
+         WHEN substr(digits, length(digits) - i + 1, 1)::INTEGER > 4 THEN substr(digits, length(digits) - i + 1, 1)::INTEGER * 2 - 9
+         ELSE substr(digits, length(digits) - i + 1, 1)::INTEGER * 2 END)) % 10 = 0"""
+
+# Tables scan, hits (a row per value, and one for the text after the last) and redacted, to stand after WITH RECURSIVE.
+REDACTED_SQL = f"""
+scan AS (
+    SELECT doc_id, 0 AS step, rest, {_FIND} AS m FROM (SELECT doc_id, chr(10) || text || chr(10) AS rest FROM documents) t
+    UNION ALL
+    SELECT doc_id, step + 1, rest, {_FIND} FROM (
+        SELECT doc_id, step, substr(rest, strpos(rest, m.around) + length(m.around) - 2) AS rest FROM scan WHERE m.around <> '') t),
+found AS (
+    SELECT doc_id, step, substr(m.around, 2, length(m.around) - 2) AS value,
+           CASE WHEN m.around = '' THEN substr(rest, 2, length(rest) - 2) ELSE substr(rest, 2, strpos(rest, m.around) - 1) END AS before,
+           CASE WHEN m.datetime <> '' THEN 'datetime' WHEN m.ssn <> '' THEN 'ssn' WHEN m.card <> '' THEN 'card'
+                WHEN m.email <> '' OR m.odd_email <> '' THEN 'email' WHEN m.phone <> '' THEN 'phone' END AS shape,
+           regexp_replace(m.around, '[^0-9]', '', 'g') AS digits FROM scan),
+hits AS (
+    SELECT *, CASE WHEN shape = 'card' AND NOT ({_LUHN}) THEN 'numeric_identifier' ELSE shape END AS kind FROM found),
+named AS (
+    SELECT *, CASE WHEN kind = 'email' THEN lower(value) WHEN kind = 'numeric_identifier' THEN trim(value) ELSE digits END AS canonical
+    FROM hits),
+redacted AS (
+    SELECT doc_id, string_agg(before || CASE WHEN kind IS NULL THEN '' WHEN kind = 'datetime' THEN value
+               ELSE '<PII_' || upper(kind) || '_V1_' || substr({hmac_sql("'V1:' || kind || ':' || canonical")}, 1, 32) || '>' END,
+               '' ORDER BY step) AS text FROM named GROUP BY doc_id),
+kinds AS (SELECT doc_id, kind, count(*) AS n FROM hits WHERE kind <> 'datetime' GROUP BY ALL)
+"""
+
 ORACLES = {
+    "redact_documents": f"""
+        WITH RECURSIVE {REDACTED_SQL},
+        counts AS (SELECT doc_id, string_agg(kind || '=' || n, ',' ORDER BY kind) AS pii_counts FROM kinds GROUP BY doc_id)
+        SELECT d.doc_id, r.text, {token_sql("source", "source")} AS source_token, coalesce(pii_counts, '') AS pii_counts
+        FROM documents d JOIN redacted r USING (doc_id) LEFT JOIN counts USING (doc_id)""",
+    "pii_totals": f"""
+        WITH RECURSIVE {REDACTED_SQL}
+        SELECT lang, kind, sum(n)::BIGINT AS hits, count(*) AS rows_with_kind FROM kinds JOIN documents USING (doc_id) GROUP BY lang, kind""",
     "email_totals": r"""
         SELECT lang, sum(n)::BIGINT AS emails, count(*) FILTER (WHERE n > 0) AS documents
         FROM (SELECT lang, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n FROM documents) d
