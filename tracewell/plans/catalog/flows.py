@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import lifecycle
 from tracewell.plans import reports, requests
-from tracewell.plans.catalog.common import KEY, PAYMENTS_SQL, SCORE_SQL, ntz
+from tracewell.plans.catalog.common import KEY, PAYMENTS_SQL, SCORE_SQL, ntz, token_sql, uuid_sql
 from tracewell.plans.catalog.operations import _LOG
 from tracewell.plans.catalog.payments import _ENVELOPES
 from tracewell.plans.catalog.payments import _envelopes as payment_envelopes
+from tracewell.plans.catalog.privacy import REDACTED_SQL, chunk_id_sql, recursive_chunks_sql
 from tracewell.plans.catalog.retrieval import _LEXICAL
 from tracewell.sources import tables
 
@@ -118,7 +119,27 @@ _HISTOGRAM = " UNION ALL ".join(
     for name, le, value in (("bucket", "'+Inf'", "count(*)"), ("sum", "NULL", "sum(seconds)"), ("count", "NULL", "count(*)"))
 )
 
+# Documents the ingest accepts, redacted and cut.
+_ACCEPTED = f"""
+{REDACTED_SQL},
+accepted AS MATERIALIZED (
+    SELECT doc_id, r.text FROM documents d JOIN redacted r USING (doc_id) WHERE length(d.text) BETWEEN 1 AND 200000),
+{recursive_chunks_sql("accepted")}"""
+
 ORACLES = {
+    "ingest_documents": f"""
+        WITH RECURSIVE {_ACCEPTED},
+        names AS (SELECT doc_id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM kinds GROUP BY doc_id),
+        counts AS (SELECT doc_id, count(*)::INTEGER AS n FROM pieced GROUP BY doc_id)
+        SELECT 'doc-' || doc_id AS request_id, {uuid_sql("'TelemetryIngested'", "'doc-' || doc_id")} AS event_id,
+               {token_sql("source", "source")} AS source_token, coalesce(n, 0) AS chunk_count,
+               'telemetry.ingested' AS topic, coalesce(kinds, '') AS kinds
+        FROM accepted JOIN documents d USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN counts USING (doc_id)""",
+    "ingest_chunks": f"""
+        WITH RECURSIVE {_ACCEPTED}
+        SELECT {chunk_id_sql("p.text")} AS chunk_id, 'doc-' || doc_id AS request_id, position, p.text,
+               {token_sql("source", "source")} AS source_token
+        FROM pieced p JOIN documents d USING (doc_id) WHERE lang <> 'de'""",
     "ingest_lifecycle": """
         SELECT 'doc-' || doc_id AS request_id, 'c-doc-' || doc_id AS correlation_id, 1 AS seq, 'INITIALIZED' AS state_from,
                'PROCESSING' AS state_to, 'Received document for ingestion' AS reason FROM documents

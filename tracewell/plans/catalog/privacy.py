@@ -234,7 +234,63 @@ redacted AS (
 kinds AS (SELECT doc_id, kind, count(*) AS n FROM hits WHERE kind <> 'datetime' GROUP BY ALL)
 """
 
+_SEPARATORS_SQL = ("chr(10) || chr(10)", "chr(10)", "' '")
+
+
+def recursive_chunks_sql(source: str) -> str:
+    """Tables to stand after WITH RECURSIVE, the last of them ``pieced (doc_id, position, text)``: the chunks of the
+    table ``source (doc_id, text)``.
+
+    ``pieces_N`` cuts what is still too long at the coarsest separator in it. Pieces that fit form runs, whose chunks
+    start and end at boundaries of pieces: the last one within 800 characters ends a chunk, and the next chunk starts
+    at the first one that repeats at most 120 characters and leaves room for the next piece.
+    """
+    tables = [f"units_0 AS (SELECT doc_id, 0 AS off, text, 0 AS level FROM {source})"]
+    for depth in range(4):
+        choice = " ".join(
+            f"WHEN level <= {level} AND contains(text, {sep}) THEN {level}" for level, sep in enumerate(_SEPARATORS_SQL))
+        lengths = " ".join(
+            f"WHEN {level} THEN list_transform(string_split(text, {sep}), lambda part, i: length(part) + CASE WHEN i > 1 THEN length({sep}) ELSE 0 END)"
+            for level, sep in enumerate(_SEPARATORS_SQL))
+        tables.append(f"""
+cut_{depth} AS (SELECT *, CASE {choice} ELSE 3 END AS cut FROM units_{depth}),
+parts_{depth} AS (
+    SELECT doc_id, off, cut, unnest(lengths) AS size, unnest(range(1, len(lengths) + 1)) AS i
+    FROM (SELECT *, CASE cut {lengths} ELSE list_transform(range(length(text)), lambda c: 1) END AS lengths FROM cut_{depth}) t),
+pieces_{depth} AS MATERIALIZED (
+    SELECT doc_id, off, cut, size, (off + sum(size) OVER w - size)::BIGINT AS start, count(*) FILTER (WHERE size >= 800) OVER w AS run
+    FROM parts_{depth} WHERE size > 0 WINDOW w AS (PARTITION BY doc_id, off ORDER BY i ROWS UNBOUNDED PRECEDING)),
+units_{depth + 1} AS (
+    SELECT doc_id, start AS off, substr(s.text, start + 1, size) AS text, cut + 1 AS level
+    FROM pieces_{depth} JOIN {source} s USING (doc_id) WHERE size >= 800)""")
+    runs = " UNION ALL ".join(
+        f"SELECT doc_id, list(start ORDER BY start) AS starts, max(start + size) AS last FROM pieces_{depth} WHERE size < 800 GROUP BY doc_id, off, run"
+        for depth in range(4))
+    tables.append(f"""
+runs AS MATERIALIZED (SELECT doc_id, starts[1] AS head, last, list_append(starts, last) AS bounds FROM ({runs}) r),
+chunks AS (
+    SELECT doc_id, head, head AS s, list_max(list_filter(bounds, lambda b: b <= head + 800)) AS e FROM runs
+    UNION ALL
+    SELECT doc_id, head, s, list_max(list_filter(bounds, lambda b: b <= s + 800)) FROM (
+        SELECT doc_id, head, bounds, list_min(list_filter(bounds, lambda b: b >= least)) AS s FROM (
+            SELECT r.doc_id, r.head, bounds, greatest(e - 120, list_min(list_filter(bounds, lambda b: b > e)) - 800) AS least
+            FROM chunks c JOIN runs r ON r.doc_id = c.doc_id AND r.head = c.head WHERE e < last) n) t),
+stripped AS (
+    SELECT doc_id, s, regexp_replace(substr(d.text, s + 1, e - s), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS text
+    FROM chunks JOIN {source} d USING (doc_id)),
+pieced AS (
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INTEGER AS position, text FROM stripped WHERE text <> '')""")
+    return ",".join(tables)
+
+
+def chunk_id_sql(text: str = "text") -> str:
+    return f"'doc-' || doc_id || '-' || position || '-' || substr(sha256({text}), 1, 8)"
+
+
 ORACLES = {
+    "chunk_recursive": f"""
+        WITH RECURSIVE {recursive_chunks_sql("documents")}
+        SELECT 'doc-' || doc_id AS request_id, position, {chunk_id_sql()} AS chunk_id, text FROM pieced""",
     "redact_documents": f"""
         WITH RECURSIVE {REDACTED_SQL},
         counts AS (SELECT doc_id, string_agg(kind || '=' || n, ',' ORDER BY kind) AS pii_counts FROM kinds GROUP BY doc_id)
