@@ -61,7 +61,8 @@ def side_output(
     """``foreachBatch`` function: rows without a time or older than the watermark go to quarantine.
 
     The watermark of a batch is the latest time of all earlier batches less ``lateness``, as the engine
-    defines it. Each batch stores its latest time in its own folder, so a replay sees the same watermark.
+    defines it. Each batch stores the latest time so far in its own folder, so a replay sees the same watermark
+    and a batch reads one row, that of its predecessor.
     """
     reject, remember = batch_folder(quarantine_path), batch_folder(horizon_path)
 
@@ -69,8 +70,8 @@ def side_output(
         spark = df.sparkSession
         latest = None
         if batch_id:
-            seen = spark.read.schema("latest timestamp, batch long").parquet(horizon_path)
-            latest = seen.filter(F.col("batch") < batch_id).agg(F.max("latest").alias("latest")).first()["latest"]
+            seen = spark.read.schema("latest timestamp").parquet(f"{horizon_path}/batch={batch_id - 1}")
+            latest = seen.first()["latest"]
         late = F.col(time).isNull()
         if latest is not None:
             late = late | (F.col(time) < F.lit(latest) - F.lit(lateness))
@@ -78,7 +79,7 @@ def side_output(
         try:
             accept(rows.filter(~late), batch_id)
             reject(rows.filter(late), batch_id)
-            remember(rows.agg(F.max(time).alias("latest")), batch_id)
+            remember(rows.agg(F.greatest(F.max(time), F.lit(latest).cast("timestamp")).alias("latest")), batch_id)
         finally:
             rows.unpersist()
 
