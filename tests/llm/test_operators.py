@@ -201,6 +201,19 @@ def test_main_text_of_pages(spark, data):
         assert isinstance(html_blocks.main_texts([odd], None, html_blocks.Vectors())[0], str)
 
 
+def test_raw_elements_hide_only_themselves():
+    def texts(page):
+        return [text for _, text, _ in html_blocks.page_blocks(page)]
+
+    for name in html_blocks.RAW:
+        assert texts(f"<p>one <{name}-x a=b></{name}-x></p><p>two</p>") == ["one", "two"], name
+        assert texts(f"<p>one <{name} a='>'>hidden <p></{name} > end</p><p>two</p>") == ["one end", "two"], name
+        left = texts(f"<p>one</p><{name}><p>two</p><{name.upper()}>three")
+        assert left == (["one", "two", "three"] if name in ("svg", "object") else ["one"]), name
+    assert texts('<p>one <svg aria-label="a>b" /> end</p><p>two <svg/>too</p>') == ["one end", "two too"]
+    assert texts("<p>one</p><script/>two</script><p>three</p>") == ["one", "three"]
+
+
 def test_lstm_gradients():
     net = html_blocks.Network(3)
     net.p = {name: value.astype(np.float64) for name, value in net.p.items()}

@@ -35,6 +35,7 @@ PAGES_AT_ONCE = 64
 # Fixed values of the markup language: elements without content, with raw content, and those inside a line.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = ("script", "style", "template", "noscript", "textarea", "svg", "iframe", "object")
+UNCLOSED = frozenset(("svg", "object"))  # without an end tag these hide nothing; the others hide the rest of the page
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
 # An element that starts here ends these, if they are open.
@@ -44,9 +45,10 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
                    "hr main menu nav ol p pre section table ul".split())
 
 PIECES = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?P<held>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S | re.I)
+RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[a-z0-9]+")
 
@@ -89,8 +91,24 @@ def page_blocks(page: str | None) -> list[Block]:
             if path[at][0] in stop:
                 return
 
-    for piece in PIECES.finditer(page or ""):
-        text, tag = piece["text"], piece["tag"]
+    page, at = page or "", 0
+    endless: set[str] = set()
+    while at < len(page):
+        piece = PIECES.match(page, at)
+        at = piece.end()
+        text, tag, rest = piece["text"], piece["tag"], piece["rest"]
+        if piece["raw"] is not None:
+            name = piece["raw"].lower()
+            if name == "svg" and piece["held"].endswith("/"):
+                continue
+            end = None if name in endless else RAW_ENDS[name].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            if name not in UNCLOSED:
+                break
+            endless.add(name)
+            tag, rest = name, piece["held"]
         if text is not None:
             pieces.append(text)
             if links:
@@ -114,8 +132,8 @@ def page_blocks(page: str | None) -> list[Block]:
                     close(("p",))
                 if tag in CLOSES:
                     close(CLOSES[tag])
-                if not piece["rest"].endswith("/"):
-                    path.append((tag, _names(tag, piece["rest"])))
+                if not rest.endswith("/"):
+                    path.append((tag, _names(tag, rest)))
     flush()
     return blocks
 
