@@ -128,6 +128,23 @@ def test_secrets_against_brute_force(spark, store):
     assert len(hit & set(range(11, 51))) >= 36 and not hit & set(range(51, 111))
 
 
+def test_secrets_beside_names_and_base_spans(spark, store):
+    draw = random.Random(6)
+    whole = lambda size: "".join(draw.choice(secret_scan.ALPHABETS["base64"][:62]) for _ in range(size))
+    forms = ["credential={}", "x é ?sig={}&b=1", "a={}==", "{}_password=abcdefgh", "{}/api_key=abcdefgh secret=abcdefghi", "AKIA" + "A1" * 9 + "-{}",
+             "bearer=={}=x", "é passwd=abcdefgh {}"]
+    texts = [(form, token) for form in forms for token in (whole(40) for _ in range(25))]
+    frame = spark.createDataFrame([(i, form.format(token)) for i, (form, token) in enumerate(texts)], "doc_id long, text string")
+    hits = Counter()
+    for row in secret_scan.scan(frame, store).collect():
+        (form, token), text = texts[row.doc_id], texts[row.doc_id][0].format(texts[row.doc_id][1])
+        for start, kind, end in row.random:
+            assert kind == 3 and token in text[start:end] and len(text[start:end].strip("_/-=")) == 40
+            assert not any(s < end and start < e for s, _, e in row.base)
+            hits[form] += 1
+    assert all(hits[form] >= 20 for form in forms), hits
+
+
 def test_near_duplicates_against_brute_force(spark, store):
     draw = random.Random(9)
     texts = []

@@ -1,6 +1,7 @@
 """Secrets in texts: three fixed patterns, and tokens that pass a battery of randomness tests. Built-in functions only.
 
-A candidate is a maximal run of 20 or more characters of an encoding's alphabet that no fixed pattern covers. Its
+A candidate is a maximal run of 20 or more characters of an encoding's alphabet outside the spans of the fixed
+patterns; ``=`` belongs to it as padding at its end alone, so the value of ``name=value`` is a run of its own. Its
 encoding is inferred (hex, base32, base64 and its URL form), its characters become numbers, and three tests ask
 whether they could be drawn uniformly: chi-squared over equal cells of the alphabet (for base64 halves of each case,
 and the rest), Wald-Wolfowitz runs about the middle, lag-one serial correlation. The smallest of the three tail probabilities, times three, is the token's p.
@@ -30,7 +31,7 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 6
 
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -127,14 +128,12 @@ def uniformity_p(token: Column, encoding: str) -> Column:
     return F.least(F.lit(1.0), 3.0 * F.least(chi_p, runs_p, serial_p))
 
 
-def _candidate(span: Column, text: Column) -> Column:
+def _candidate(span: Column) -> Column:
     """One run as ``(start, end, stratum, p)``; the stratum numbers encoding and length band."""
     token = F.rtrim(F.translate(span["found"], "-_", "+/"), F.lit("="))
     is_hex = token.rlike(r"^([0-9a-f]+|[0-9A-F]+)$")
     is_base32 = token.rlike(r"^[A-Z2-7]+$")
-    p = (F.when(F.length(token) < 20, F.lit(0.0))
-         .when(token.contains("="), F.lit(0.0))
-         .when(is_hex, uniformity_p(F.lower(token), "hex"))
+    p = (F.when(is_hex, uniformity_p(F.lower(token), "hex"))
          .when(is_base32, uniformity_p(token, "base32"))
          .otherwise(uniformity_p(token, "base64")))
     band = reduce(lambda a, b: a + b, [(F.length(token) >= bound).cast("int") for bound in BANDS])
@@ -143,10 +142,23 @@ def _candidate(span: Column, text: Column) -> Column:
                     (encoding * (len(BANDS) + 1) + band).cast("int").alias("stratum"), p.alias("p"))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Runs that no base span touches, with their p."""
-    runs = F.filter(_spans(text, RUN), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    tested = F.transform(runs, lambda s: _candidate(s, text)).cast(CANDIDATES)
+def uncovered(text: Column, base: Column) -> Column:
+    """The text with blanks in place of its base spans (sorted by start, they may overlap)."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, span: Column) -> Column:
+        begin, end = F.greatest(span["start"], state["at"]), F.greatest(span["end"], state["at"])
+        parts = F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, begin - state["at"]), F.repeat(F.lit(" "), end - begin)))
+        return F.struct(end.alias("at"), parts.alias("parts"))
+
+    cut = F.aggregate(base, start, step, lambda state: F.concat(
+        F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, cut).otherwise(text)
+
+
+def candidates(text: Column) -> Column:
+    """Runs of an ``uncovered`` text with their p."""
+    tested = F.transform(_spans(text, RUN), _candidate).cast(CANDIDATES)
     return F.when(text.rlike(RUN), tested).otherwise(F.array().cast(CANDIDATES))
 
 
@@ -174,7 +186,8 @@ def scan(docs: DataFrame, store: Store) -> DataFrame:
     """``(doc_id, base, random)``: spans per row of ``docs``, stored, with the text left behind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     based = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    found = store.save(based.withColumn("candidates", candidates(F.col("text"), F.col("base"))).drop("text"), "found")
+    open_ = based.withColumn("text", uncovered(F.col("text"), F.col("base")))
+    found = store.save(open_.withColumn("candidates", candidates(F.col("text"))).drop("text"), "found")
     cuts = thresholds(found)
     limits = F.create_map(*[F.lit(v) for pair in cuts.items() for v in pair]) if cuts else None
 
