@@ -145,6 +145,25 @@ def test_secrets_beside_names_and_base_spans(spark, store):
     assert all(hits[form] >= 20 for form in forms), hits
 
 
+def test_secret_cuts_follow_the_false_share(spark, store):
+    """Short tokens of skewed letters, a part of which passes the least p: the band's cut rises until few of them are called."""
+    draw = random.Random(8)
+    alphabet = secret_scan.ALPHABETS["base64"]
+    skewed = alphabet + "abcdefghijklmnopqrstuvwxyz" * 2
+    rows = [("".join(draw.choice(alphabet) for _ in range(60)), True) for _ in range(300)]
+    rows += [("".join(draw.choice(skewed) for _ in range(24)), False) for _ in range(2000)]
+    frame = spark.createDataFrame([(i, token) for i, (token, _) in enumerate(rows)], "doc_id long, text string")
+    found = store.save(frame.withColumn("candidates", secret_scan.candidates(F.col("text"))), "made")
+    passed = Counter(c.stratum for r in found.collect() for c in r.candidates if c.p > secret_scan.LEAST_P)
+    hits = Counter(c.kind and rows[r.doc_id][1] for r in secret_scan.scan(frame, store).collect() for c in r.random)
+    assert passed[8] > 400 and hits[False] < passed[8] * 0.8  # the skewed band
+    assert hits[True] >= 0.9 * 300 and hits[True] >= 0.99 * passed[10]  # the random band keeps the least cut
+    made = [800 + 45 * b for b in range(secret_scan.P_BINS + 1)]
+    assert secret_scan._cut([n * 50 for n in made], made) == len(made)
+    assert 0 < secret_scan._cut([n * 50 + max(0, b - 9) * 4000 for b, n in enumerate(made)], made) <= 11
+    assert secret_scan._cut([0] * 20 + [100_000] * 7, made) <= 20
+
+
 def test_near_duplicates_against_brute_force(spark, store):
     draw = random.Random(9)
     texts = []

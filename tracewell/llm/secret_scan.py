@@ -6,9 +6,12 @@ encoding is inferred (hex, base32, base64 and its URL form), its characters beco
 whether they could be drawn uniformly: chi-squared over equal cells of the alphabet (for base64 halves of each case,
 and the rest), Wald-Wolfowitz runs about the middle, lag-one serial correlation. The smallest of the three tail probabilities, times three, is the token's p.
 
-Words and paths of ordinary text are far from uniform. How far a short one can be is limited, so the cut is made
-per encoding and length band over all documents: Benjamini-Hochberg rejects uniformity for p up to a threshold,
-with at most ``FALSE_RATE`` of the rejections wrong; at p above it, and above ``LEAST_P``, a token counts as random.
+Words and paths of ordinary text are far from uniform. How far a short one can be is limited, so the cut is made per
+encoding and length band over all documents: made random tokens of the band give the share of p above each cut,
+their largest number that the counts allow is the band's number of random tokens (two standard deviations of its
+count are allowed for), and what exceeds them above a cut is called wrongly. The cut is the lowest at which at most
+``FALSE_RATE`` of the called tokens are such excess; tokens at p up to ``LEAST_P`` are never called. The excess is a
+least estimate: tokens whose p are spread like those of random ones cannot be told from them by any cut.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned one by one; an empty table gives no
 rows. Positions are code points, ends exclusive.
@@ -16,9 +19,11 @@ rows. Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import Store, prepared, read
@@ -40,7 +45,8 @@ ALPHABETS = {
 CELLS = {"hex": 8, "base32": 8, "base64": 5}
 BANDS = (32, 48, 80)
 FALSE_RATE, LEAST_P = 0.01, 0.05
-P_BINS = 400  # of minus log10 p times 20: thresholds are exact to a twentieth of a power of ten
+P_BINS = 26  # of minus log10 p times 20 from 0 on, down to LEAST_P: cuts are exact to a twentieth of a power of ten
+MADE, SLACK = 2000, 2.0  # random tokens made per encoding and band; standard deviations allowed for
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 CANDIDATES = "array<struct<start:int,end:int,stratum:int,p:double>>"
 
@@ -95,37 +101,47 @@ def _numbers(token: Column, alphabet: str) -> Column:
     return F.transform(F.split(token, ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
 
 
+def _bound(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def uniformity_p(token: Column, encoding: str) -> Column:
     """p of the battery for the characters of a token."""
     letters, cells = len(ALPHABETS[encoding]), CELLS[encoding]
-    values = _numbers(token, ALPHABETS[encoding])
-    n = F.size(values).cast("double")
 
-    def in_cell(k: int) -> Column:
+    def counted(values: Column) -> Column:
+        """What the tests need, each from one pass over the values."""
+        high = F.transform(values, lambda v: (v >= letters / 2).cast("double"))
+        later = F.slice(values, F.lit(2), F.size(values))
+        changes = F.zip_with(high, F.slice(high, F.lit(2), F.size(high)), lambda a, b: F.abs(a - b))
+        products = F.zip_with(values, later, lambda a, b: a * b)
+        some = lambda items: _sum(F.filter(items, lambda d: d.isNotNull()), lambda d: d)
+        return F.struct(F.size(values).cast("double").alias("n"), _sum(high, lambda v: v).alias("ones"), (1.0 + some(changes)).alias("runs"),
+                        _sum(values, lambda v: v).alias("sum"), _sum(values, lambda v: v * v).alias("squares"), some(products).alias("products"),
+                        (F.element_at(values, 1) + F.element_at(values, -1)).alias("ends"),
+                        reduce(lambda x, y: x + y, [F.pow(in_cell(values, k), 2) for k in range(cells)]).alias("cells"))
+
+    def in_cell(values: Column, k: int) -> Column:
         return F.size(F.filter(values, lambda v: F.floor(v * cells / letters) == k)).cast("double")
 
-    cell_counts = [in_cell(k) for k in range(cells)]
-    chi = reduce(lambda a, b: a + b, [count * count for count in cell_counts]) * cells / n - n
-    free = cells - 1
-    # Wilson and Hilferty: the cube root of chi-squared over its freedom is close to normal.
-    spread = 2.0 / (9 * free)
-    chi_p = _normal_tail((F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - spread)) / spread ** 0.5)
-
-    high = F.transform(values, lambda v: (v >= letters / 2).cast("double"))
-    ones = _sum(high, lambda v: v)
-    zeros = n - ones
-    following = F.slice(high, F.lit(2), F.size(high))
-    runs = 1.0 + _sum(F.filter(F.zip_with(high, following, lambda a, b: F.abs(a - b)), lambda d: d.isNotNull()), lambda d: d)
-    product = 2.0 * ones * zeros
-    variance = product * (product - n) / (n * n * (n - 1))
-    runs_p = F.when(variance > 0, 2.0 * _normal_tail(F.abs(runs - 1.0 - product / n) / F.sqrt(variance))).otherwise(F.lit(1e-9))
-
-    mean = _sum(values, lambda v: v) / n
-    squares = _sum(values, lambda v: (v - mean) * (v - mean))
-    later = F.slice(values, F.lit(2), F.size(values))
-    products = _sum(F.filter(F.zip_with(values, later, lambda a, b: (a - mean) * (b - mean)), lambda d: d.isNotNull()), lambda d: d)
-    serial_p = F.when(squares > 0, 2.0 * _normal_tail(F.abs(products / squares + 1.0 / n) * F.sqrt(n))).otherwise(F.lit(1e-9))
-    return F.least(F.lit(1.0), 3.0 * F.least(chi_p, runs_p, serial_p))
+    def battery(c: Column) -> Column:
+        n, free = c["n"], cells - 1
+        chi = c["cells"] * cells / n - n
+        # Wilson and Hilferty: the cube root of chi-squared over its freedom is close to normal.
+        spread = 2.0 / (9 * free)
+        chi_p = _normal_tail((F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - spread)) / spread ** 0.5)
+        product = 2.0 * c["ones"] * (n - c["ones"])
+        variance = product * (product - n) / (n * n * (n - 1))
+        runs_p = F.when(variance > 0, 2.0 * _normal_tail(F.abs(c["runs"] - 1.0 - product / n) / F.sqrt(variance))).otherwise(F.lit(1e-9))
+        # Sums of whole numbers are exact: a token of one letter has no squares left.
+        squares = (c["squares"] * n - c["sum"] * c["sum"]) / n
+        mean = c["sum"] / n
+        products = c["products"] - mean * (2.0 * c["sum"] - c["ends"]) + (n - 1) * mean * mean
+        serial_p = F.when(squares > 0, 2.0 * _normal_tail(F.abs(products / squares + 1.0 / n) * F.sqrt(n))).otherwise(F.lit(1e-9))
+        return F.least(F.lit(1.0), 3.0 * F.least(chi_p, runs_p, serial_p))
+
+    return _bound(_bound(_numbers(token, ALPHABETS[encoding]), counted), battery)
 
 
 def _candidate(span: Column) -> Column:
@@ -162,24 +178,50 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(RUN), tested).otherwise(F.array().cast(CANDIDATES))
 
 
-def thresholds(found: DataFrame) -> dict[int, float]:
-    """Per stratum the largest p at which Benjamini-Hochberg still rejects uniformity.
+def _bin(p: Column) -> Column:
+    return F.floor(-20.0 * F.log10(F.greatest(p, F.lit(1e-30)))).cast("int")
 
-    Over counts of p by stratum and bin: a few thousand rows at any size of the input.
-    """
-    bin_ = F.least(F.lit(P_BINS), F.floor(-20.0 * F.log10(F.greatest(F.col("c.p"), F.lit(1e-30)))))
-    counts = (found.select(F.explode("candidates").alias("c"))
-              .groupBy(F.col("c.stratum").alias("stratum"), bin_.alias("bin"))
-              .agg(F.count("*").alias("n"), F.max("c.p").alias("p")).collect())
-    cuts = {}
-    for stratum in {row["stratum"] for row in counts}:
-        bins = sorted((row for row in counts if row["stratum"] == stratum), key=lambda row: -row["bin"])
-        total, below = sum(row["n"] for row in bins), 0
-        for row in bins:  # smallest p first
-            below += row["n"]
-            if row["p"] <= FALSE_RATE * below / total:
-                cuts[stratum] = row["p"]
-    return cuts
+
+def _made(spark: SparkSession) -> DataFrame:
+    """``(stratum, p)`` of random tokens, the same in every run; lengths go evenly through each band."""
+    bounds = (20, *BANDS, 2 * BANDS[-1])
+    bands = len(bounds) - 1
+    band = F.col("id") % bands
+    least, most = (F.element_at(F.array(*map(F.lit, some)), band.cast("int") + 1) for some in (bounds[:-1], bounds[1:]))
+    places = F.sequence(F.lit(1), (least + F.floor(F.col("id") / bands) % (most - least)).cast("int"))
+
+    def one(number: int, encoding: str, alphabet: str) -> DataFrame:
+        letter = lambda i: F.substring(F.lit(alphabet), F.pmod(F.xxhash64(F.lit(number), F.col("id"), i), F.lit(len(alphabet))).cast("int") + 1, F.lit(1))
+        tokens = spark.range(0, bands * MADE, 1, bands).select(
+            (band + number * bands).cast("int").alias("stratum"), F.array_join(F.transform(places, letter), "").alias("token"))
+        return tokens.select("stratum", uniformity_p(F.col("token"), encoding).alias("p"))
+
+    return reduce(DataFrame.unionAll, [one(number, *kind) for number, kind in enumerate(ALPHABETS.items())])
+
+
+def _by_bin(p: DataFrame) -> dict[int, list[int]]:
+    """Per stratum how many ``p`` lie above the lower edge of each bin; at most one row per stratum and bin is collected."""
+    counts: dict[int, list[int]] = {}
+    called = p.filter(F.col("p") > LEAST_P).groupBy("stratum", _bin(F.col("p")).alias("bin")).agg(F.count("*").alias("n"))
+    for row in called.collect():
+        counts.setdefault(row["stratum"], [0] * (P_BINS + 1))[row["bin"]] = row["n"]
+    return {stratum: list(accumulate(row)) for stratum, row in counts.items()}
+
+
+def _cut(above: list[int], made: list[int]) -> int:
+    """The number of bins, from p = 1 down, whose tokens are called."""
+    shares = [max(n, 1) / MADE for n in made]
+    # Upper limit of a count's mean; without any token above a cut, some random ones may still be below it.
+    limits = [n + SLACK * SLACK / 2 + SLACK * math.sqrt(n + SLACK * SLACK / 4) for n in above]
+    random = min(limit / share for limit, share in zip(limits, shares))
+    return max((b + 1 for b, (n, share) in enumerate(zip(above, shares)) if n - random * share <= FALSE_RATE * n), default=0)
+
+
+def thresholds(found: DataFrame) -> dict[int, int]:
+    """Per stratum how many bins of p, from 1 down, count as random."""
+    above = _by_bin(found.select(F.explode("candidates").alias("c")).select("c.stratum", "c.p"))
+    made = _by_bin(_made(found.sparkSession)) if above else {}
+    return {stratum: _cut(counts, made[stratum]) for stratum, counts in above.items()}
 
 
 def scan(docs: DataFrame, store: Store) -> DataFrame:
@@ -192,8 +234,8 @@ def scan(docs: DataFrame, store: Store) -> DataFrame:
     limits = F.create_map(*[F.lit(v) for pair in cuts.items() for v in pair]) if cuts else None
 
     def passes(c: Column) -> Column:
-        cut = F.coalesce(limits[c["stratum"]], F.lit(0.0)) if cuts else F.lit(0.0)
-        return c["p"] > F.greatest(cut, F.lit(LEAST_P))
+        cut = F.coalesce(limits[c["stratum"]], F.lit(0)) if cuts else F.lit(0)
+        return (c["p"] > LEAST_P) & (_bin(c["p"]) < cut)
 
     return found.withColumn("random", _of_kind(F.filter("candidates", passes), 3)).drop("candidates")
 
