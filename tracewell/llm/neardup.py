@@ -1,7 +1,7 @@
 """Near-duplicate documents by an inverted join on MinHash signature coordinates.
 
 Documents of one shingle set are one class. A class posts itself under (coordinate, value) pairs of its signature.
-Two classes of similarity 0.75 agree in 32 of 64 coordinates or more, all but once in a million pairs. So a class need not be posted under its most
+Two classes of similarity 0.75 agree in 32 of 64 coordinates or more, all but 4.6 in a million pairs. So a class need not be posted under its most
 frequent pairs: of the pairs it shares with any other class, rarest first, all but the last 31 are enough to meet
 everyone it agrees with in 32 (prefix), and pairs that no other class has are left out before (skip). Candidates are
 compared by size and signature, those that agree in 32 coordinates by their full sets.
