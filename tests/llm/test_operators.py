@@ -221,6 +221,16 @@ def test_quality_on_held_out_labels(spark, data):
     assert zstd_quality.learn(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, 1, 0)], LABELS)) == 0.5
 
 
+def test_dictionary_blocks_come_from_all_texts(spark, monkeypatch):
+    samples = []
+    monkeypatch.setattr(zstd_quality, "DICTIONARY_BLOCKS", 40)
+    monkeypatch.setattr(zstd_quality, "_dictionary", lambda blocks: samples.append(blocks) or b"".join(blocks))
+    docs = [(i, f"<{i:05d}>" * 2400, "en", "a", 0) for i in range(100)]
+    zstd_quality.learn(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, i % 2, 0) for i in range(100)], LABELS))
+    ids = [{re.search(rb"<(\d+)>", block)[1] for block in blocks} for blocks in samples]
+    assert len(samples) == 2 and all(len(blocks) == 40 and len(found) >= 12 for blocks, found in zip(samples, ids))
+
+
 def test_main_text_of_pages(spark, data):
     import html as escapes
 

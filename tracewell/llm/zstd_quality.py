@@ -11,6 +11,7 @@ scored, never learned from; repeated rows are scored one by one.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from tracewell.llm.common import byte_texts, doc_remainder, prepared, read
 
 HELD_OUT = (4, 2)  # divisor and remainder of the crc32 of the id
 GOOD_SCORE = 0.7
-# The bound of the learning sample: labelled rows, blocks of one text, bytes of a block.
+# The bound of the learning sample: labelled rows, blocks of one text, bytes of a block; below, blocks of one dictionary.
 SAMPLE_ROWS, SAMPLE_BLOCKS, BLOCK = 6000, 8, 2048
 DICTIONARY, DICTIONARY_BLOCKS, LEVEL = 112_640, 4000, 3
 FEATURES = ("difference", "relative", "size")
@@ -95,6 +96,11 @@ def _sample_blocks(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "quality", "blocks"])
 
 
+def _evenly(texts: list[list[bytes]]) -> list[bytes]:
+    """At most ``DICTIONARY_BLOCKS`` blocks: the first of every text, then the second, and so on."""
+    return [text[i] for i in range(SAMPLE_BLOCKS) for text in texts if i < len(text)][:DICTIONARY_BLOCKS]
+
+
 def _feature_udf(good: bytes, bad: bytes):
     @F.arrow_udf("array<double>")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -115,12 +121,12 @@ def learn(docs: DataFrame, labels: DataFrame, rule: tuple[int, int] = HELD_OUT,
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("fold", F.pmod(order, F.lit(5)))
     fit = found.filter("fold < 3").select("doc_id", "quality", "text").limit(sample_rows)
     rows = sorted(fit.mapInArrow(_sample_blocks, "doc_id bigint, quality int, blocks array<binary>").collect(),
-                  key=lambda row: (row["doc_id"], row["blocks"]))
-    kinds = {q: [block for row in rows if row["quality"] == q for block in row["blocks"]] for q in (0, 1)}
+                  key=lambda row: (zlib.crc32(str(row["doc_id"]).encode()), row["doc_id"], row["blocks"]))
+    kinds = {q: _evenly([row["blocks"] for row in rows if row["quality"] == q]) for q in (0, 1)}
     prior = sum(row["quality"] for row in rows) / len(rows) if rows else 0.5
     if not (kinds[0] and kinds[1]):
         return prior
-    good, bad = (_dictionary(kinds[q][:DICTIONARY_BLOCKS]) for q in (1, 0))
+    good, bad = (_dictionary(kinds[q]) for q in (1, 0))
     test = found.filter("fold >= 3").select("quality", _feature_udf(good, bad)("text").alias("x")).limit(sample_rows).collect()
     if len({row["quality"] for row in test}) < 2:
         return prior
