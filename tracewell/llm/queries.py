@@ -1,6 +1,6 @@
 """Registered queries of the operators in this package, and the SQL that checks them where SQL can state it."""
 
-from tracewell.llm import arc, decontaminate, html_blocks, mixing, neardup, prefix_trie, rules, secret_scan, sharding, suffix_lm, zstd_quality
+from tracewell.llm import arc, decontaminate, html_blocks, mixing, neardup, prefix_trie, repair, rules, secret_scan, sharding, suffix_lm, zstd_quality
 
 QUERIES = {
     "op1_arc_to_warc": arc.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_source_mix": mixing.op9,
     "op10_balanced_shards": sharding.op10,
     "op11_prefix_trie": prefix_trie.op11,
+    "op12_conversation_repair": repair.op12,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_near_duplicates": neardup.OP5_SQL,
     "op9_source_mix": mixing.OP9_SQL,
     "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_conversation_repair": repair.OP12_SQL,
 }
