@@ -1,6 +1,6 @@
 """Registered queries of the operators in this package, and the SQL that checks them where SQL can state it."""
 
-from tracewell.llm import arc, decontaminate, html_blocks, mixing, neardup, prefix_trie, repair, rules, secret_scan, sharding, suffix_lm, zstd_quality
+from tracewell.llm import arc, curve_pack, decontaminate, html_blocks, mixing, neardup, prefix_trie, repair, rules, secret_scan, sharding, suffix_lm, zstd_quality
 
 QUERIES = {
     "op1_arc_to_warc": arc.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_balanced_shards": sharding.op10,
     "op11_prefix_trie": prefix_trie.op11,
     "op12_conversation_repair": repair.op12,
+    "op13_curve_packing": curve_pack.op13,
 }
 
 ORACLES = {
