@@ -9,6 +9,7 @@ from tracewell.operators import index, retrieval
 from tracewell.sources import tables
 
 SMALL = {"query_rows": 3, "query_block": 40, "item_block": 2000}  # forces many query and item blocks
+COMMON = {"parts": 3, "common_items": 2}  # nearly every word is a common one
 
 
 def frames(spark, questions, documents, top_k=4):
@@ -24,7 +25,7 @@ def ranked(hits):
     return found
 
 
-@pytest.mark.parametrize("limits", [{}, SMALL])
+@pytest.mark.parametrize("limits", [{}, COMMON])
 def test_lexical_equals_brute_force(spark, data, limits):
     chunks = tables.document_chunks(spark, data)
     asked = tables.questions(spark, data)
@@ -51,7 +52,7 @@ def test_privacy_tokens_are_whole_words(spark):
     assert ranked(retrieval.retrieve_lexical(asked, chunks)) == {0: [(1, 1)]}
 
 
-@pytest.mark.parametrize("limits", [{}, SMALL])
+@pytest.mark.parametrize("limits", [{}, COMMON])
 def test_hot_word_and_top_k_per_question(spark, limits):
     """A third of the documents are copies, and every document and question holds one word."""
     rng = random.Random(3)
@@ -82,11 +83,12 @@ def test_vectors_equal_brute_force(spark, limits, max_distance):
         assert [i for i, _ in found[q]] == want
 
 
-def test_bm25_blocks_agree(spark, data):
+def test_bm25_common_words_agree(spark, data):
     asked, chunks = tables.questions(spark, data), tables.document_chunks(spark, data)
     whole = ranked(retrieval.retrieve_bm25(asked, chunks))
     indexed = retrieval.index_words(chunks)
-    assert whole == ranked(retrieval.retrieve_bm25(asked, indexed, **SMALL))
+    assert whole == ranked(retrieval.retrieve_bm25(asked, indexed, **COMMON))
+    assert whole == ranked(retrieval.retrieve_bm25(asked, indexed, parts=5, common_items=60))
     assert len(whole) == asked.count()
 
 
@@ -106,8 +108,23 @@ def test_attach_text(spark):
     assert [(h["index"], h.text, h.score, h.backend) for h in hits] == [(0, "alpha beta", 2, "memory"), (1, "alpha", 1, "memory")]
 
 
-def test_plan_ships_no_pairs(spark, data):
-    hits = retrieval.retrieve_lexical(tables.questions(spark, data), tables.document_chunks(spark, data))
+def test_common_words_alone_are_asked_again(spark):
+    """Questions of common words only, and one whose rare word is nowhere beside them."""
+    documents = [("the of and", "the of", "and", "the rare", "of and")[i % 5] + (f" w{i}" if i % 3 else "") for i in range(200)]
+    questions = ["the of and", "rare the", "w4 of and the", "w3 nothing", "of"]
+    asked, chunks = frames(spark, questions, documents, 7)
+    expected = plain.top_words(enumerate(questions), list(enumerate(documents)), 7)
+    expected = {q: hits for q, hits in expected.items() if hits}
+    assert ranked(retrieval.retrieve_lexical(asked, chunks, parts=4, common_items=20)) == expected
+    whole, pruned = (ranked(retrieval.retrieve_bm25(asked, chunks, parts=4, common_items=least)) for least in (10 ** 6, 20))
+    assert whole == pruned and len(whole) == 5 - (3 not in whole)
+
+
+def test_pairs_are_not_shuffled(spark, data):
+    """Postings and words are dealt by part once; after the join only the best of every part move."""
+    hits = retrieval.retrieve_lexical(tables.questions(spark, data), tables.document_chunks(spark, data), parts=8)
     plan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert "MapInArrow" in plan and "WindowGroupLimit" in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "MapIn" not in plan
+    before, after = plan.split("functions=[sum(", 1)[0], plan.split("functions=[sum(", 1)[1]
+    assert before.count("Exchange hashpartitioning(query_id") == 1 and "WindowGroupLimit" in before
+    assert after.count("REPARTITION_BY_NUM") == 2

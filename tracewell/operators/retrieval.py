@@ -7,74 +7,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
 from tracewell.operators.blocks import NO_HIT, Scorer, best_items
-from tracewell.session import stored, within
+from tracewell.operators.postings import SCORE_DIGITS, search, word_counts
+from tracewell.session import stored
 
-SCORE_DIGITS = 6
-BROADCAST_ROWS = 500_000
 BACKENDS = {"lexical": "memory", "bm25": "opensearch", "vector": "chroma"}  # Fixed values: names in hit records.
 
 
-def _lists(table: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
-    """Flat values of a list column and the row each value belongs to."""
-    column = table.column(name).combine_chunks()
-    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    return column.flatten(), np.repeat(np.arange(len(column)), lengths)
-
-
-def _term_scorer(weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.Table], Scorer]:
-    """Score = sum over the distinct words of the query of (its weight there) x ``weigh(count, length)``.
-
-    ``weigh`` gets the number of times a word occurs in the item and the number of words of that item.
-    """
-
-    def prepare(queries: pa.Table) -> Scorer:
-        flat, owner = _lists(queries, "terms")
-        weights = _lists(queries, "weights")[0].to_numpy(zero_copy_only=False)
-        vocabulary = pc.unique(flat)
-        term = pc.index_in(flat, value_set=vocabulary).to_numpy(zero_copy_only=False)
-        by_term = np.argsort(term, kind="stable")
-        owner, weights = owner[by_term], weights[by_term]
-        starts = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1))
-
-        def score(items: pa.Table) -> np.ndarray:
-            words, item = _lists(items, "words")
-            lengths = np.bincount(item, minlength=items.num_rows)
-            found = pc.index_in(words, value_set=vocabulary)
-            known = found.is_valid().to_numpy(zero_copy_only=False)
-            pairs = item[known] * len(vocabulary) + found.drop_null().to_numpy()
-            pairs, counts = np.unique(pairs, return_counts=True)
-            row, word = np.divmod(pairs, max(1, len(vocabulary)))
-            weight = weigh(counts, lengths[row])
-            # One entry per (item word, query that asks for it), added up per (item, query).
-            fan = starts[word + 1] - starts[word]
-            entry = np.repeat(starts[word] - np.concatenate([[0], np.cumsum(fan)[:-1]]), fan) + np.arange(fan.sum())
-            cell = np.repeat(row, fan) * queries.num_rows + owner[entry]
-            size = items.num_rows * queries.num_rows
-            total = np.bincount(cell, weights=np.repeat(weight, fan) * weights[entry], minlength=size)
-            total = np.round(total, SCORE_DIGITS).reshape(items.num_rows, queries.num_rows)
-            return np.where(total > 0, total, NO_HIT)
-
-        return score
-
-    return prepare
-
-
-def lexical_scores() -> Callable[[pa.Table], Scorer]:
-    return _term_scorer(lambda counts, lengths: np.ones(len(counts)))
-
-
-def bm25_scores(average_length: float, k1: float, b: float) -> Callable[[pa.Table], Scorer]:
-    return _term_scorer(
-        lambda counts, lengths: counts * (k1 + 1) / (counts + k1 * (1 - b + b * lengths / average_length))
-    )
-
-
 def distance_scores(max_distance: float | None) -> Callable[[pa.Table], Scorer]:
     """Score = 1 - squared Euclidean distance; a distance of ``max_distance`` or more is no hit."""
 
@@ -102,20 +45,22 @@ def _hits(found: DataFrame, strategy: str) -> DataFrame:
     return found.withColumn("backend", F.lit(BACKENDS[strategy])).withColumnRenamed("item_id", "chunk_id")
 
 
-def index_words(chunks: DataFrame) -> DataFrame:
-    """``(item_id, insert_seq, words)``, the form all word searches read.
+def index_words(chunks: DataFrame, times: bool = True) -> DataFrame:
+    """``(item_id, insert_seq, length, counts)``, the form all word searches read: words with their times in the text.
 
-    Searches accept it in place of chunks: store it once to search it often.
+    Searches accept it in place of chunks: store it once to search it often. Without ``times`` each word counts once.
     """
-    if "words" in chunks.columns:
+    if "counts" in chunks.columns:
         return chunks
-    return chunks.select(
-        F.col("chunk_id").alias("item_id"), "insert_seq", text.words(text.casefold(F.col("text"))).alias("words")
-    )
+    words = text.words(text.casefold(F.col("text")))
+    once = F.transform(F.array_distinct("words"), lambda word: F.struct(word.alias("word"), F.lit(1).alias("times")))
+    return chunks.select(F.col("chunk_id").alias("item_id"), "insert_seq", words.alias("words")).select(
+        "item_id", "insert_seq", F.size("words").alias("length"), (word_counts(F.col("words")) if times else once).alias("counts"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
-    return questions.select("query_id", "top_k", text.word_tokens(F.col("question")).alias("terms"))
+    """A row per distinct word of a question."""
+    return questions.select("query_id", "top_k", F.explode(text.word_tokens(F.col("question"))).alias("word"))
 
 
 def retrieve_lexical(questions: DataFrame, chunks: DataFrame, **limits: int) -> DataFrame:
@@ -124,57 +69,22 @@ def retrieve_lexical(questions: DataFrame, chunks: DataFrame, **limits: int) ->
     ``questions(query_id, question, top_k)``, ``chunks(chunk_id, insert_seq, text)`` ->
     ``(query_id, chunk_id, insert_seq, score, index, backend)``.
     """
-    wanted = question_terms(questions).withColumn("weights", F.transform("terms", lambda _: F.lit(1.0)))
-    found = best_items(wanted, index_words(chunks), lexical_scores(), "size(terms)", "size(words)", **limits)
+    found = search(index_words(chunks, times=False), question_terms(questions), lambda times, length: F.lit(1.0), (1.0, 1.0), **limits)
     return _hits(found, "lexical").withColumn("score", F.col("score").cast("bigint"))
 
 
-def term_statistics(terms: DataFrame, indexed: DataFrame) -> DataFrame:
-    """``(term, n_items, n_words)`` for the words asked for; the empty term counts all items and words.
-
-    A short list of words travels to the tasks and drops all others before anything is counted. A long one
-    is joined to the finished counts instead. Either way words are counted per task before they are
-    shuffled, so a word that every item holds is no hot key.
-    """
-    asked = terms.select(F.explode(F.array_distinct("terms")).alias("term")).distinct()
-    marked = asked.union(asked.sparkSession.createDataFrame([("",)], "term string"))
-    # The length rides on one entry: beside the explode it would drag the whole word list along with every word.
-    entry = lambda term, length: F.struct(term.alias("term"), length.alias("length"))
-    own = F.transform(F.array_distinct("words"), lambda word: entry(word, F.lit(0)))
-    everything = indexed.select(
-        F.inline(F.concat(F.array(entry(F.lit(""), F.size("words"))), own))
-    )
-    few = within(asked, BROADCAST_ROWS)
-    if few:
-        everything = everything.join(F.broadcast(marked), "term", "left_semi")
-    counted = everything.groupBy("term").agg(F.count("*").alias("n_items"), F.sum("length").alias("n_words"))
-    return counted if few else counted.join(marked, "term", "left_semi")
-
-
 def retrieve_bm25(
     questions: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, **limits: int
 ) -> DataFrame:
-    """Top-k chunks per question by BM25 over the same words; any shared word makes a hit.
+    """Top-k chunks per question by BM25 over the same words; any shared word makes a hit."""
 
-    Statistics and scores both read the words: splitting a text twice costs about what storing the words
-    would. For repeated searches pass stored :func:`index_words`.
-    """
-    terms, indexed = question_terms(questions), index_words(chunks)
-    statistics = stored(term_statistics(terms, indexed), "terms")
-    whole = statistics.filter("term = ''").first()
-    if whole is None:
-        return _hits(best_items(terms.limit(0), indexed, lexical_scores(), "0", "0"), "bm25")
-    n_items = whole["n_items"]
-    rarity = F.log1p((F.lit(float(n_items)) - F.col("n_items") + 0.5) / (F.col("n_items") + 0.5))
-    weighted = (
-        terms.select("query_id", "top_k", F.explode(F.array_distinct("terms")).alias("term"))
-        .join(statistics.select("term", rarity.alias("weight")), "term")
-        # One question is at most 10,000 characters, so this list is short.
-        .groupBy("query_id", "top_k").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("pairs"))
-        .select("query_id", "top_k", F.col("pairs.term").alias("terms"), F.col("pairs.weight").alias("weights"))
-    )
-    scores = bm25_scores(whole["n_words"] / n_items, k1, b)
-    return _hits(best_items(weighted, indexed, scores, "size(terms)", "size(words)", **limits), "bm25")
+    def weigh(times: Column, length: Column) -> Column:
+        return times * (k1 + 1) / (times + k1 * (1 - b + b * length))
+
+    def rarity(n_items: Column, held: Column) -> Column:
+        return F.log1p((n_items - held + 0.5) / (held + 0.5))
+
+    return _hits(search(index_words(chunks), question_terms(questions), weigh, (0.0, k1 + 1), rarity, **limits), "bm25")
 
 
 def retrieve_vector(

@@ -14,6 +14,8 @@ SESSION_SETTINGS = {
     # The JVM never compiles a method beyond 8,000 bytes of code; rows of many redacted or hashed columns reach
     # that, and then smaller generated functions run several times faster than one fused, interpreted loop.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A join on (part, word) takes both sides as they are dealt by part.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Whole documents travel in Arrow batches: few rows per batch keep a Python worker small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
