@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from tracewell.operators import answers, index, retrieval
+from tracewell.operators import answers, index, retrieval, segments
 from tracewell.plans.catalog.common import KEY, token_sql, words_sql
+from tracewell.session import shared_dir
 from tracewell.sources import tables
 
 
@@ -103,9 +106,35 @@ def retrieved_chunks(spark, folder):
     return index.retrieved_chunks(chunks, hits).select("chunk_id", F.length("text").alias("n_chars"))
 
 
+def _stored_index(spark, folder):
+    """Documents in three batches; labelled ones leave, some come back; then small segments are merged and one more
+    batch rewrites the first texts."""
+    chunks = tables.document_chunks(spark, folder)
+    labels = tables.table(spark, folder, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
+    kept = segments.ChunkIndex(spark, f"{shared_dir(spark)}/index-{os.urandom(8).hex()}")
+    for part in range(3):
+        kept.add(f"part-{part}", chunks.filter(F.col("chunk_id") % 3 == part))
+    kept.remove("labelled", labels)
+    kept.remove("nobody", labels.select((-F.col("chunk_id") - 1).alias("chunk_id")))
+    kept.add("good", chunks.join(labels.filter("quality = 1"), "chunk_id", "left_semi"))
+    kept.add("part-0", chunks)  # a replayed batch
+    kept.merge()
+    kept.add("again", chunks.filter(F.col("chunk_id") % 10 == 0))
+    return kept
+
+
+def index_segments(spark, folder):
+    hits = _stored_index(spark, folder).query(retrieval.retrieve_bm25, tables.questions(spark, folder))
+    return hits.select("query_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "index", "score")
+
+
+def index_chunks(spark, folder):
+    return _stored_index(spark, folder).chunks().select(F.col("chunk_id").cast("bigint").alias("chunk_id"), F.md5("text").alias("digest"))
+
+
 QUERIES = {f.__name__: f for f in (
     lexical_topk, bm25_topk, vector_topk, vector_nearest, ask_outcomes, ask_compensations, answer_tokens,
-    retrieval_rollup, newest_n, latest_version, remove_ids, retrieved_chunks,
+    retrieval_rollup, newest_n, latest_version, remove_ids, retrieved_chunks, index_segments, index_chunks,
 )}
 
 _LEXICAL = f"""
@@ -142,22 +171,38 @@ CASE WHEN retrieved_count = 0 THEN 'No indexed evidence is available.'
      ELSE 'answer to ' || request_id END
 """
 
-ORACLES = {
-    "lexical_topk": f"""WITH {_LEXICAL}
-        SELECT query_id, chunk_id, index::INTEGER AS index, 'memory' AS backend, score FROM hits""",
-    "bm25_topk": f"""
-        WITH words AS (SELECT doc_id AS chunk_id, {words_sql("text")} AS words FROM documents),
+# Ids that stay, and where each lies in the order of insertion.
+_STORED = """
+gone AS (SELECT doc_id FROM labels), back AS (SELECT doc_id FROM labels WHERE quality = 1),
+live AS (
+    SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN 5 WHEN doc_id IN (SELECT doc_id FROM back) THEN 4 ELSE doc_id % 3 END AS batch
+    FROM documents WHERE doc_id % 10 = 0 OR doc_id NOT IN (SELECT doc_id FROM gone) OR doc_id IN (SELECT doc_id FROM back))
+"""
+
+
+def _bm25_sql(source: str, order: str) -> str:
+    return f"""
+        words AS (SELECT doc_id AS chunk_id, {order} AS place, {words_sql("text")} AS words FROM {source}),
         totals AS (SELECT count(*) AS n, sum(len(words)) / count(*) AS average FROM words),
         query_words AS (SELECT item_id AS query_id, unnest(list_distinct({words_sql("text")})) AS word FROM benchmark),
-        postings AS (SELECT chunk_id, length, word, count(*) AS tf
-                     FROM (SELECT chunk_id, len(words) AS length, unnest(words) AS word FROM words) w GROUP BY ALL),
+        postings AS (SELECT chunk_id, place, length, word, count(*) AS tf
+                     FROM (SELECT chunk_id, place, len(words) AS length, unnest(words) AS word FROM words) w GROUP BY ALL),
         rarity AS (SELECT word, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, totals GROUP BY word, n),
-        scored AS (SELECT query_id, chunk_id,
+        scored AS (SELECT query_id, chunk_id, place,
                           round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / average))), 6) AS score
                    FROM query_words JOIN postings USING (word) JOIN rarity USING (word), totals GROUP BY ALL),
-        hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS index
-                 FROM scored WHERE score > 0 QUALIFY index < 4)
+        hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) - 1 AS index
+                 FROM scored WHERE score > 0 QUALIFY index < 4)"""
+
+
+ORACLES = {
+    "lexical_topk": f"""WITH {_LEXICAL}
+        SELECT query_id, chunk_id, index::INTEGER AS index, 'memory' AS backend, score FROM hits""",
+    "bm25_topk": f"""WITH {_bm25_sql("documents", "doc_id")}
         SELECT query_id, chunk_id, index::INTEGER AS index, 'opensearch' AS backend, score FROM hits""",
+    "index_segments": f"""WITH {_STORED}, {_bm25_sql("live", "(batch, doc_id)")}
+        SELECT query_id, chunk_id, index::INTEGER AS index, score FROM hits""",
+    "index_chunks": f"WITH {_STORED} SELECT doc_id AS chunk_id, md5(text) AS digest FROM live",
     "vector_topk": _VECTORS.format(where="WHERE distance < 1.0") + """
         SELECT query_id, chunk_id, index::INTEGER AS index, 'chroma' AS backend, score FROM hits""",
     "vector_nearest": _VECTORS.format(where="") + """
