@@ -128,7 +128,7 @@ def test_audit_sink(spark, key, tmp_path):
     path = str(tmp_path / "audit")
     sinks.write_audit(objects, path)
     sinks.write_audit(objects, path)
-    stored = spark.read.parquet(path).orderBy("object_key").collect()
+    stored = sinks.read_audit(spark, path).orderBy("object_key").collect()
     assert len(stored) == 2 and "a@b.co" not in stored[0].body
     assert json.loads(stored[0].body)["timestamp"] == "2024-01-01T12:00:00+00:00"
     assert json.loads(stored[0].body)["correlation_id"] == "r-1"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.schemas import CDC_ENVELOPE
+from tracewell.sources.keyed import KeyedTable
 
 
 def parse_changes(raw: DataFrame, value: str = "value", schema: T.StructType = CDC_ENVELOPE) -> DataFrame:
@@ -26,3 +27,17 @@ def apply_changes(changes: DataFrame, key: str) -> DataFrame:
         F.max_by(F.struct(F.col("op"), F.col("after")), order).alias("latest")
     )
     return latest.filter("latest.op <> 'd'").select("latest.after.*")
+
+
+def change_rows(changes: DataFrame, key: str) -> DataFrame:
+    """``(row_key, ts_ms, lsn, op, row)``: changes in the form :func:`change_table` merges; keys as text."""
+    row = F.coalesce("after", "before")
+    return changes.select(row[key].cast("string").alias("row_key"), "ts_ms", F.col("source.lsn").alias("lsn"), "op", F.col("after").alias("row"))
+
+
+def change_table(spark: SparkSession, folder: str, schema: T.StructType = CDC_ENVELOPE) -> KeyedTable:
+    """Current rows as a stored table. A delete stays: an older change that comes late does not undo it."""
+    rows = T.StructType([
+        T.StructField("row_key", T.StringType()), T.StructField("ts_ms", T.LongType()), T.StructField("lsn", T.LongType()),
+        T.StructField("op", T.StringType()), T.StructField("row", schema["after"].dataType)])
+    return KeyedTable(spark, folder, rows, "row_key", ("ts_ms", "lsn"), "op = 'd'")

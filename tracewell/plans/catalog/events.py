@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from tracewell.functions.canonical import canonical_json, message_headers, partition_key
 from tracewell.operators import admission, anomaly, cdc, events, payments
 from tracewell.plans.catalog.common import KEY, PAYMENTS_SQL, SCORE_SQL, iso_sql, ntz, token_sql, uuid_sql
+from tracewell.session import shared_dir
 from tracewell.sources import tables
 
 
@@ -162,7 +165,7 @@ def trailing_zscore(spark, folder):
     )
 
 
-def cdc_current_state(spark, folder):
+def _changes(spark, folder):
     """Every order as snapshot read, a later update for two of three, a delete for each one that has status P."""
     rows = tables.payments(spark, folder)
     fields = ["transaction_id", "merchant_id", "amount_minor", "currency", "payment_network"]
@@ -179,7 +182,22 @@ def cdc_current_state(spark, folder):
         F.when(F.col("o_orderkey") % 3 == 1, envelope(row, row, "u", 2000, F.col("o_orderkey") * 2)),
         F.when(F.col("o_orderstatus") == "P", envelope(row, none, "d", 3000, F.col("o_orderkey"))),
     ))).alias("value"))
-    return cdc.apply_changes(cdc.parse_changes(changes), "transaction_id")
+    return cdc.parse_changes(changes)
+
+
+def cdc_current_state(spark, folder):
+    return cdc.apply_changes(_changes(spark, folder), "transaction_id")
+
+
+def cdc_merged(spark, folder):
+    """The same changes merged into a stored table, latest first: deletes meet updates and reads that came late."""
+    table = cdc.change_table(spark, f"{shared_dir(spark)}/changes-{os.urandom(8).hex()}")
+    changes = cdc.change_rows(_changes(spark, folder), "transaction_id")
+    for batch, time in enumerate((3000, 2000, 1000)):
+        table.merge(changes.filter(F.col("ts_ms") == time), batch)
+    table.merge(changes.filter("op = 'r'"), 1)  # a replayed batch
+    table.clean()
+    return table.rows().select("row.*")
 
 
 def token_bucket(spark, folder):
@@ -195,7 +213,7 @@ QUERIES = {f.__name__: f for f in (
     event_counts_1m, event_counts_5m, event_dedup, event_log_union, event_keys, envelope_parse, envelope_quarantine,
     event_headers, canonical_json_events, causal_pairs, trace_report, trace_steps, distinct_per_window,
     publish_reconciliation, topic_pattern_copy, zscore_anomalies_5m, zscore_anomalies_1d, trailing_zscore,
-    cdc_current_state, token_bucket,
+    cdc_current_state, cdc_merged, token_bucket,
 )}
 
 
@@ -315,4 +333,7 @@ ORACLES = {
     "cdc_current_state": f"""
         SELECT transaction_id, merchant_id, amount_minor + CASE WHEN o_orderkey % 3 > 0 THEN 1 ELSE 0 END AS amount_minor,
                currency, payment_network FROM ({PAYMENTS_SQL}) p WHERE o_orderstatus <> 'P'""",
+    "cdc_merged": f"""
+        SELECT transaction_id, merchant_id, amount_minor + CASE WHEN o_orderkey % 3 > 0 THEN 1 ELSE 0 END AS amount_minor,
+               currency, payment_network FROM ({PAYMENTS_SQL}) p WHERE o_orderstatus <> 'P'""",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tracewell.functions.boundary import assert_safe
 from tracewell.functions.canonical import canonical_json, message_headers, partition_key
 from tracewell.operators.events import matching_topics
+from tracewell.sources.commits import CommitLog
 
 # Producer settings of the event sink.
 KAFKA_PRODUCER = {
@@ -57,34 +58,61 @@ def replicate_topics(messages: DataFrame, write: Callable[[DataFrame], None], pa
     write(matching_topics(messages, pattern))
 
 
-def write_audit(objects: DataFrame, path: str) -> None:
-    """Create-only append of audit objects, partitioned by category and day.
+def write_audit(objects: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Create-only append of audit objects, partitioned by category and day; False if ``batch`` was written before.
 
-    Keys that are already stored are left as they are. A key that occurs twice in one batch fails the job:
-    two different records must never share a key. Only days of the batch are read for the comparison.
+    Objects are made once, into a staged folder that no reader sees; a commit record makes it part of the sink. Keys
+    that are already stored are left as they are. Of two writers one commits second: it compares its staged keys with
+    what the other has added and drops those that are there now. A crash before the commit leaves nothing behind but
+    the staged folder. A key that occurs twice in one batch fails the job: two records must never share a key.
     """
     spark = objects.sparkSession
+    log = CommitLog(spark, f"{path}/commits")
     rest = [name for name in objects.columns if name != "object_key"]
     once = objects.groupBy("object_key").agg(F.count("*").alias("copies"), F.max(F.struct(*rest)).alias("object"))
     twice = F.raise_error(F.concat(F.lit("duplicate audit key "), F.col("object_key"))).cast("boolean")
     fresh = once.filter(F.when(F.col("copies") == 1, F.lit(True)).otherwise(twice)).select("object_key", "object.*")
-    stored = _stored(spark, path)
-    if stored is not None:
+    staged = _stage_audit(fresh, path)
+    while True:
+        numbers = log.numbers()
+        records = [log.read(number) for number in numbers]
+        if batch is not None and any(record["batch"] == batch for record in records):
+            log.remove(f"{path}/data/commit={staged}")
+            return False
+        mine = _read_audit(spark, path, [staged])
         # Category and day are folders, and part of the key: other days are not read.
-        days = objects.select("category", "dt").distinct()
-        known = stored.join(days, ["category", "dt"], "left_semi").select("object_key")
-        fresh = fresh.join(known, "object_key", "left_anti")
-    fresh.write.mode("append").partitionBy("category", "dt").parquet(path)
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """What the sink holds so far; None before the first write."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+        days = mine.select("category", "dt").distinct()
+        known = _read_audit(spark, path, [record["folder"] for record in records])
+        if known is not None:
+            known = known.join(days, ["category", "dt"], "left_semi").select("object_key")
+            if not mine.join(known, "object_key", "left_semi").isEmpty():
+                older, staged = staged, _stage_audit(mine.join(known, "object_key", "left_anti"), path)
+                log.remove(f"{path}/data/commit={older}")
+        if log.create((numbers[-1] if numbers else -1) + 1, {"folder": staged, "batch": batch}):
+            return True
+
+
+def _stage_audit(objects: DataFrame, path: str) -> str:
+    name = os.urandom(8).hex()
+    objects.write.partitionBy("category", "dt").parquet(f"{path}/data/commit={name}")
+    return name
+
+
+AUDIT = "object_key string, body string, content_md5 string, retain_until timestamp, commit string, category string, dt string"
+
+
+def _read_audit(spark: SparkSession, path: str, names: list[str]) -> DataFrame | None:
+    folders = [f"{path}/data/commit={name}" for name in names]
+    if not folders:
         return None
+    return spark.read.schema(AUDIT).option("basePath", f"{path}/data").parquet(*folders).drop("commit")
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """Every committed audit object."""
+    log = CommitLog(spark, f"{path}/commits")
+    found = _read_audit(spark, path, [log.read(number)["folder"] for number in log.numbers()])
+    return spark.createDataFrame([], AUDIT).drop("commit") if found is None else found
 
 
 def write_windows(counts: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:

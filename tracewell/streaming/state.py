@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.operators.admission import Bucket
 from tracewell.operators.lifecycle import ALLOWED_MOVES, TERMINAL_STATES
-from tracewell.sources.sinks import BatchSink, batch_folder
+from tracewell.sources.keyed import KeyedTable
+from tracewell.sources.sinks import BatchSink
 
 ALERTS = "correlation_id string, problem string, state string, at timestamp"
 
@@ -97,22 +97,17 @@ def running_zscores(totals: DataFrame, key: str, threshold: float = 3.0) -> Data
     )
 
 
-def project_states(path: str) -> BatchSink:
-    """``foreachBatch`` function of a read model: the latest state per request of each batch, in its own folder.
-
-    A replay replaces its folder. Nothing that is already stored is rewritten.
-    """
-    write = batch_folder(path)
+def state_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Read model: the current state per request."""
+    schema = "correlation_id string, state_to string, occurred_at timestamp, seq long"
+    return KeyedTable(spark, path, schema, "correlation_id", ("occurred_at", "seq"))
 
-    def project(df: DataFrame, batch_id: int) -> None:
-        latest = F.max_by(F.struct("state_to", "occurred_at", "seq"), F.struct("occurred_at", "seq"))
-        write(df.groupBy("correlation_id").agg(latest.alias("latest")).select("correlation_id", "latest.*"), batch_id)
 
-    return project
+def project_states(path: str) -> BatchSink:
+    """``foreachBatch`` function of the read model: each batch is merged into one generation. A replay changes nothing."""
+    return lambda df, batch_id: state_table(df.sparkSession, path).merge(df, batch_id)
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
     """Current state per request over all projected batches."""
-    rows = spark.read.parquet(path)
-    latest = F.max_by(F.struct("state_to", "occurred_at", "seq"), F.struct("occurred_at", "seq"))
-    return rows.groupBy("correlation_id").agg(latest.alias("latest")).select("correlation_id", "latest.*")
+    return state_table(spark, path).rows()
