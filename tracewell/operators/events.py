@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,22 @@ def _default(field: T.StructField) -> Column:
     return F.lit(0).cast(kind)
 
 
+def event_fields(columns: dict[str, Column], event_type: str, occurred_at: Column) -> dict[str, Column]:
+    """Columns of one event type in contract order: equally named ``columns``, else the contract's defaults."""
+    issued = {
+        "occurred_at": iso_utc(occurred_at), "event_type": F.lit(event_type), "topic": F.lit(EVENT_TOPICS[event_type]),
+    }
+
+    def value(field: T.StructField) -> Column:
+        if field.name in issued:
+            return issued[field.name]
+        if field.name in columns:
+            return F.coalesce(columns[field.name].cast(field.dataType), _default(field))
+        return _default(field)
+
+    return {field.name: value(field) for field in event_schema(event_type)}
+
+
 def make_events(df: DataFrame, event_type: str, occurred_at: Column, event_id: Column | None = None,
                 carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows of one event type in contract order.
@@ -45,22 +61,26 @@ def make_events(df: DataFrame, event_type: str, occurred_at: Column, event_id: C
     ``event_id`` each row gets a random one. An event without a ``causation_id`` column is a root: it gets a
     causation id of its own. Columns in ``carry`` follow the contract's as they are.
     """
-    schema = event_schema(event_type)
     identified = df.withColumn("event_id", event_id if event_id is not None else F.uuid())
     if "causation_id" not in df.columns:
         identified = identified.withColumn("causation_id", stable_uuid(F.lit("root"), F.col("event_id")))
-    issued = {
-        "occurred_at": iso_utc(occurred_at), "event_type": F.lit(event_type), "topic": F.lit(EVENT_TOPICS[event_type]),
-    }
+    fields = event_fields({name: F.col(name) for name in identified.columns}, event_type, occurred_at)
+    return identified.select([value.alias(name) for name, value in fields.items()] + list(carry))
 
-    def value(field: T.StructField) -> Column:
-        if field.name in issued:
-            return issued[field.name]
-        if field.name in identified.columns:
-            return F.coalesce(F.col(field.name).cast(field.dataType), _default(field))
-        return _default(field)
 
-    return identified.select([value(field).alias(field.name) for field in schema] + list(carry))
+def event_log(df: DataFrame, *kinds: tuple[str, dict[str, Column], Column | None]) -> DataFrame:
+    """One wide log of several event types made from the same rows in one pass.
+
+    Each kind is (event type, its columns as :func:`event_fields` gives them, condition for a row to have it). A field
+    that a type lacks is null.
+    """
+    wide = {field.name: field.dataType for event_type, _, _ in kinds for field in event_schema(event_type)}
+
+    def event(fields: dict[str, Column], has: Column | None) -> Column:
+        row = F.struct(*[fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in wide.items()])
+        return row if has is None else F.when(has, row)
+
+    return df.select(F.inline(F.array_compact(F.array(*[event(fields, has) for _, fields, has in kinds]))))
 
 
 def union_events(*frames: DataFrame) -> DataFrame:
@@ -109,20 +129,48 @@ def dedup_events(events: DataFrame, time: str = "occurred_at") -> DataFrame:
     return kept.select("event_id", "kept.*").select(events.columns)
 
 
-def causal_pairs(parents: DataFrame, children: DataFrame) -> DataFrame:
+_PARENT = ("event_id", "event_type", "occurred_at", "correlation_id")
+
+
+def _child() -> Column:
+    return F.struct(F.col("event_id").alias("child_id"), F.col("event_type").alias("child_type"), F.col("occurred_at").alias("child_at"))
+
+
+def _paired(tagged: DataFrame, salts: int) -> DataFrame:
+    """``tagged(cause, parent, child)``: rows of parents (``child`` null) and of children (``parent`` null)."""
+    salt = F.when(F.col("parent").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.pmod(F.xxhash64("child"), F.lit(salts)).cast("int")))
+    together = Window.partitionBy("cause", "salt")
+    met = tagged.withColumn("salt", F.explode(salt)).select(
+        "cause", "parent", "child", F.max("parent").over(together).alias("of"), F.count("child").over(together).alias("children"))
+    # A copy of the parent that met no child is one of `salts` votes for having none.
+    alone = met.filter("parent IS NOT NULL AND children = 0").groupBy("cause").agg(F.count("*").alias("votes"), F.max("parent").alias("of"))
+    none = F.lit(None).cast(tagged.schema["child"].dataType)
+    pairs = met.filter("child IS NOT NULL AND of IS NOT NULL").select("of", "child").unionByName(
+        alone.filter(F.col("votes") == salts).select("of", none.alias("child")))
+    return pairs.select("of.*", "child.*")
+
+
+def causal_pairs(parents: DataFrame, children: DataFrame, salts: int = 4) -> DataFrame:
     """Every child beside the event that caused it, and every parent without a child once with nulls.
 
-    The pairs are an inner join, which adaptive execution may split on either side when one parent caused
-    very many children; parents without children need the distinct causation ids only.
+    Parents have ids of their own. Both sides meet in one shuffle by (cause, salt): the children of one parent are
+    dealt over ``salts`` groups, each with a copy of the parent's row.
     """
-    cause = children.select(
-        F.col("causation_id").alias("event_id"), F.col("event_id").alias("child_id"),
-        F.col("event_type").alias("child_type"), F.col("occurred_at").alias("child_at"),
-    )
-    parent = parents.select("event_id", "event_type", "occurred_at", "correlation_id")
-    pairs = parent.join(cause, "event_id")
-    childless = parent.join(cause.select("event_id").distinct(), "event_id", "left_anti")
-    return pairs.unionByName(childless, allowMissingColumns=True)
+    parent = parents.select(F.col("event_id").alias("cause"), F.struct(*_PARENT).alias("parent"))
+    child = children.filter("causation_id IS NOT NULL").select(F.col("causation_id").alias("cause"), _child().alias("child"))
+    return _paired(parent.unionByName(child, allowMissingColumns=True), salts)
+
+
+def causal_pairs_in(log: DataFrame, is_parent: Column, is_child: Column, salts: int = 4) -> DataFrame:
+    """:func:`causal_pairs` within one log, read once: an event may be a parent, a child or both."""
+    roles = F.array_compact(F.array(
+        F.when(is_parent, F.struct(F.col("event_id").alias("cause"), F.struct(*_PARENT).alias("parent"), F.lit(False).alias("caused"))),
+        F.when(is_child & F.col("causation_id").isNotNull(), F.struct(
+            F.col("causation_id").alias("cause"), F.struct(*_PARENT).alias("parent"), F.lit(True).alias("caused")))))
+    rows = log.select(F.explode(roles).alias("role")).select("role.*")
+    child = F.struct(F.col("parent.event_id").alias("child_id"), F.col("parent.event_type").alias("child_type"), F.col("parent.occurred_at").alias("child_at"))
+    return _paired(rows.select("cause", F.when(~F.col("caused"), F.col("parent")).alias("parent"), F.when(F.col("caused"), child).alias("child")), salts)
 
 
 def trace_report(events: DataFrame, time: str = "occurred_at") -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.privacy import token_for
-from tracewell.operators.events import make_events, stable_uuid
+from tracewell.schemas import event_schema
+from tracewell.operators.events import event_fields, event_log, make_events, stable_uuid
 from tracewell.operators.validation import DEFAULT_NETWORK, payment_error, truncated_amount
 
 # Currency exponents other than two, the score's scale and the review limit.
@@ -154,3 +155,23 @@ def compensated_events(scored: DataFrame, occurred_at: Column) -> DataFrame:
     failed = failed.withColumn("original_event_type", F.lit("PaymentTransactionIngested"))
     event_id = stable_uuid(F.lit("PaymentCompensated"), F.col("causation_id"))
     return make_events(failed, "PaymentCompensated", occurred_at, event_id)
+
+
+def payment_log(scored: DataFrame, occurred_at: Column) -> DataFrame:
+    """Ingested, scored and compensated events of scored payments as one wide log, made in one pass.
+
+    ``occurred_at`` is the time of the decision; the ingested event keeps its own.
+    """
+    own = {name: F.col(name) for name in scored.columns}
+    ingested = {field.name: F.col(field.name) for field in event_schema("PaymentTransactionIngested")}
+    caused = {**own, "causation_id": F.col("event_id")}
+    decided = {**caused, "event_id": stable_uuid(F.lit("PaymentRiskScored"), F.col("event_id"))}
+    undone = {
+        **caused, "event_id": stable_uuid(F.lit("PaymentCompensated"), F.col("event_id")), "reason": F.col("failure_reason"),
+        "original_event_type": F.lit("PaymentTransactionIngested"),
+    }
+    return event_log(
+        scored, ("PaymentTransactionIngested", ingested, None),
+        ("PaymentRiskScored", event_fields(decided, "PaymentRiskScored", occurred_at), None),
+        ("PaymentCompensated", event_fields(undone, "PaymentCompensated", occurred_at), F.col("failure_reason") != ""),
+    )

@@ -35,18 +35,29 @@ def event_dedup(spark, folder):
     return kept.select("event_id", "event_type", ntz("occurred_at").alias("occurred_at"), "correlation_id")
 
 
-def _payment_events(spark, folder):
+def _later():
+    return F.to_timestamp("occurred_at") + F.expr("interval 250 milliseconds")
+
+
+def _scored(spark, folder):
     rows = tables.payments(spark, folder)
     accepted, _ = payments.split_payments(rows)
     ingested = payments.ingested_events(payments.tokenize_payments(accepted, KEY), F.col("paid_at"))
     error = F.when(F.col("correlation_id").endswith("7"), F.lit("CallTimedOut"))
-    scored = payments.score_payments(ingested, error=error)
-    later = F.to_timestamp("occurred_at") + F.expr("interval 250 milliseconds")
-    return ingested, payments.scored_events(scored, later), payments.compensated_events(scored, later)
+    return ingested, payments.score_payments(ingested, error=error)
+
+
+def _payment_events(spark, folder):
+    ingested, scored = _scored(spark, folder)
+    return ingested, payments.scored_events(scored, _later()), payments.compensated_events(scored, _later())
+
+
+def _payment_log(spark, folder):
+    return payments.payment_log(_scored(spark, folder)[1], _later())
 
 
 def event_log_union(spark, folder):
-    log = events.union_events(*_payment_events(spark, folder))
+    log = _payment_log(spark, folder)
     return log.select(
         "event_id", "event_type", "topic", "occurred_at", "correlation_id", "transaction_token", "amount_minor",
         "risk_score", "decision", "failure_reason", "original_event_type",
@@ -106,9 +117,9 @@ def canonical_json_events(spark, folder):
 
 
 def causal_pairs(spark, folder):
-    ingested, scored, compensated = _payment_events(spark, folder)
-    answered = scored.filter(~F.col("correlation_id").endswith("3"))
-    pairs = events.causal_pairs(ingested, events.union_events(answered, compensated))
+    kind = F.col("event_type")
+    answers = ((kind == "PaymentRiskScored") & ~F.col("correlation_id").endswith("3")) | (kind == "PaymentCompensated")
+    pairs = events.causal_pairs_in(_payment_log(spark, folder), kind == "PaymentTransactionIngested", answers)
     return pairs.select("event_id", "correlation_id", "child_id", "child_type", "child_at")
 
 
@@ -135,8 +146,7 @@ def publish_reconciliation(spark, folder):
 
 
 def topic_pattern_copy(spark, folder):
-    ingested, scored, compensated = _payment_events(spark, folder)
-    log = events.union_events(ingested, scored, compensated).select("topic", "event_id")
+    log = _payment_log(spark, folder).select("topic", "event_id")
     requests = tables.event_log(spark, folder).select(F.concat(F.lit("telemetry."), "event_type").alias("topic"), "event_id")
     return events.matching_topics(log.unionByName(requests))
 
