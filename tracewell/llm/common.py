@@ -26,6 +26,8 @@ def prepared(spark: SparkSession) -> SparkSession:
     prepare_session(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
+    # Joins here ask for all their keys: a side dealt by one hot key alone would not be split.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
     return spark
 
 
