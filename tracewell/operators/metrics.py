@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.canonical import bounded_method, bounded_route, status_class
+from tracewell.session import stored
 
 # Histogram bounds in seconds and the declared metric families.
 DURATION_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0)
@@ -137,3 +138,78 @@ def readiness(required: DataFrame, checks: DataFrame) -> DataFrame:
     return required.join(latest, "dependency", "left").groupBy("target").agg(
         F.bool_and(healthy).alias("ready"), F.count_if(~healthy).alias("unhealthy"), F.count("*").alias("required")
     )
+
+
+REJECTIONS = {"BulkheadRejected": "rag_bulkhead_rejections_total", "RateLimitExceeded": "rag_ratelimit_rejections_total"}
+_SERIES = "array<struct<metric:string,labels:array<struct<name:string,value:string>>,value:double,at:timestamp>>"
+
+
+def log_samples(log: DataFrame, as_of: Column) -> DataFrame:
+    """``(metric, labels, value, at)``: what each row of a service log adds to the metric families.
+
+    ``log(route, method, status, seconds, ts, ended_at, boundary, operation, failure, dependency, check_name,
+    check_status)``: a request, the call it makes across a boundary, and the health check it may be. ``failure`` is
+    null, a rejection (:data:`REJECTIONS`) or the error of a call that was let through.
+    """
+
+    def sample(metric: str, value: Column | float, when: Column | None = None, **labels: Column) -> Column:
+        pairs = [F.struct(F.lit(name).alias("name"), labels[name].cast("string").alias("value")) for name in sorted(labels)]
+        value = F.lit(value) if isinstance(value, float) else value
+        row = F.struct(
+            F.lit(metric).alias("metric"), F.array(*pairs).cast("array<struct<name:string,value:string>>").alias("labels"),
+            value.cast("double").alias("value"), F.col("ts").alias("at"))
+        return row if when is None else F.when(when, row)
+
+    boundary, failure, check = F.col("boundary"), F.col("failure"), F.col("check_name")
+    rejected = F.coalesce(failure.isin(*REJECTIONS), F.lit(False))
+    called = boundary.isNotNull() & ~rejected
+    # Open at the time of the report: a call that ends at this instant has left.
+    open_now = F.when((F.col("ts") <= as_of) & (F.col("ended_at") > as_of), 1.0).otherwise(0.0)
+    samples = [
+        sample("rag_http_requests_total", 1.0, route=F.col("route"), method=F.col("method"), status_class=F.col("status_class")),
+        sample("rag_http_request_duration_seconds", F.col("seconds"), route=F.col("route"), method=F.col("method")),
+        sample("rag_http_requests_in_flight", open_now),
+        sample("rag_bulkhead_active", open_now, called, boundary=boundary),
+        sample("rag_boundary_duration_seconds", F.col("seconds"), called, boundary=boundary, operation=F.col("operation")),
+        sample("rag_downstream_failures_total", 1.0, called & failure.isNotNull(), boundary=boundary, dependency=F.col("dependency")),
+        sample("rag_compensating_events_total", 1.0, boundary.isNotNull() & failure.isNotNull(), boundary=boundary, reason=failure),
+        sample("rag_health_checks_total", 1.0, check.isNotNull(), check=check, status=F.col("check_status")),
+        sample("rag_health_check_duration_seconds", F.col("seconds"), check.isNotNull(), check=check),
+        sample("rag_ready", F.when(F.col("check_status") == "ok", 1.0).otherwise(0.0), check.isNotNull(), check=check),
+        *[sample(metric, 1.0, boundary.isNotNull() & (failure == name), boundary=boundary) for name, metric in REJECTIONS.items()],
+    ]
+    return bounded_labels(log).select(F.inline(F.array_compact(F.array(*samples)).cast(_SERIES)))
+
+
+def all_families(log: DataFrame, as_of: Column, required: tuple[str, ...]) -> DataFrame:
+    """``(metric, kind, labels, le, value)``: every declared family from one pass over a service log.
+
+    All samples meet in one aggregate per series whose parts merge per task: sum, number, latest and the counts within
+    each bound; a series of any number of samples is no hot key. Readiness is 1 if the latest checks of all
+    ``required`` dependencies are ok, and 0 if one was never checked.
+    """
+    within = [F.count_if(F.col("value") <= bound).alias(f"le_{i}") for i, bound in enumerate(DURATION_BOUNDS)]
+    series = log_samples(log, as_of).groupBy("metric", "labels").agg(
+        F.sum("value").alias("total"), F.count("value").alias("count"), F.max_by("value", F.struct("at", "value")).alias("latest"), *within)
+    series = stored(series, "series")
+    kind = F.create_map(*[F.lit(part) for pair in FAMILIES.items() for part in pair])[F.col("metric")]
+    point = lambda suffix, le, value: F.struct(
+        F.concat("metric", F.lit(suffix)).alias("metric"), F.lit(le).cast("string").alias("le"), value.cast("double").alias("value"))
+    buckets = [point("_bucket", f"{bound:g}", F.col(f"le_{i}")) for i, bound in enumerate(DURATION_BOUNDS)]
+    histogram = F.array(*buckets, point("_bucket", "+Inf", F.col("count")), point("_sum", None, F.coalesce("total", F.lit(0.0))), point("_count", None, F.col("count")))
+    latest = F.col("metric") == "rag_health_check_duration_seconds"
+    plain = F.array(point("", None, F.when(latest, F.col("latest")).otherwise(F.col("total"))))
+    known = series.filter("metric <> 'rag_ready'").withColumn("kind", kind)
+    points = known.select("kind", "labels", F.inline(F.when(F.col("kind") == "histogram", histogram).otherwise(plain)))
+    labels = F.map_from_entries(F.transform("labels", lambda pair: F.struct(pair["name"], pair["value"])))
+    none, no_labels = F.lit(None).cast("string"), F.create_map().cast("map<string,string>")
+    shaped = points.select("metric", "kind", labels.alias("labels"), "le", "value")
+    # One row per check and per family: finished series, few beside the log.
+    healthy = F.count_if(F.col("labels")[0]["value"].isin(*required) & (F.col("latest") == 1.0))
+    family = F.regexp_replace("metric", "_(bucket|sum|count)$", "")
+    seen = points.select(F.when(F.col("kind") == "histogram", family).otherwise(F.col("metric")).alias("metric")).distinct()
+    ready = series.filter("metric = 'rag_ready'").agg((healthy == len(set(required))).cast("double").alias("value")).select(
+        F.lit("rag_ready").alias("metric"), F.lit("gauge").alias("kind"), no_labels.alias("labels"), none.alias("le"), "value")
+    empty = families(log.sparkSession).filter("metric <> 'rag_ready'").join(seen, "metric", "left_anti").select(
+        "metric", "kind", no_labels.alias("labels"), none.alias("le"), F.lit(0.0).alias("value"))
+    return shaped.unionByName(ready).unionByName(empty)

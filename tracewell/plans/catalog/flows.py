@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import lifecycle
+from tracewell.operators import lifecycle, metrics
 from tracewell.plans import reports, requests
 from tracewell.plans.catalog.common import KEY, PAYMENTS_SQL, SCORE_SQL, ntz, token_sql, uuid_sql
 from tracewell.plans.catalog.operations import _LOG
@@ -69,6 +69,21 @@ def service_metrics(spark, folder):
     return rows.select("metric", "kind", F.array_join(text, ",").alias("labels"), "le", F.round("value", 4).alias("value"))
 
 
+def service_families(spark, folder):
+    """All twelve families from one reading of the events as a service log; the report is of noon on the 15th."""
+    log = tables.request_log(spark, folder)
+    event = F.col("event_id")
+    failure = F.when(event % 11 == 3, "BulkheadRejected").when(event % 11 == 5, "RateLimitExceeded").when(event % 11 == 7, "CallTimedOut")
+    log = log.select(
+        "route", "method", "status", "seconds", "ts", (F.col("ts") + F.make_dt_interval(mins=F.floor(F.col("seconds") * 100).cast("int"))).alias("ended_at"),
+        F.when(F.col("boundary") != "boundary-2", F.col("boundary")).alias("boundary"), F.col("method").alias("operation"), failure.alias("failure"),
+        F.coalesce("route", F.lit("none")).alias("dependency"), F.when(event % 5 == 0, F.col("boundary")).alias("check_name"),
+        F.when(F.col("seconds") < 5, "ok").otherwise("failed").alias("check_status"))
+    rows = metrics.all_families(log, F.lit("2024-01-15 12:00:00").cast("timestamp"), ("boundary-0", "boundary-1", "boundary-2"))
+    text = F.transform(F.sort_array(F.map_keys("labels")), lambda k: F.concat(k, F.lit("="), F.col("labels")[k]))
+    return rows.select("metric", "kind", F.array_join(text, ",").alias("labels"), "le", F.round("value", 4).alias("value"))
+
+
 def trace_completeness(spark, folder):
     """Orders as requests: two moves each, line items as their events, records for all but every ninth."""
     orders = tables.payments(spark, folder)
@@ -104,7 +119,7 @@ def transaction_anomalies(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    ingest_documents, ingest_lifecycle, ingest_chunks, ask_questions, process_payments, service_metrics,
+    ingest_documents, ingest_lifecycle, ingest_chunks, ask_questions, process_payments, service_metrics, service_families,
     trace_completeness, transaction_anomalies,
 )}
 
@@ -126,7 +141,51 @@ accepted AS MATERIALIZED (
     SELECT doc_id, r.text FROM documents d JOIN redacted r USING (doc_id) WHERE length(d.text) BETWEEN 1 AND 200000),
 {recursive_chunks_sql("accepted")}"""
 
+_CALLS = """
+    SELECT *, CASE event_id % 11 WHEN 3 THEN 'BulkheadRejected' WHEN 5 THEN 'RateLimitExceeded' WHEN 7 THEN 'CallTimedOut' END AS failure,
+           CASE WHEN place <> 2 THEN 'boundary-' || place END AS boundary, 'boundary-' || place AS check_name,
+           ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts + to_minutes(floor(seconds * 100)::BIGINT) > TIMESTAMP '2024-01-15 12:00:00' AS held
+    FROM (SELECT event_id, ts, value / 10 AS seconds, user_id % 3 AS place, CASE WHEN event_type = 'error' THEN NULL ELSE '/' || event_type END AS raw_route,
+                 coalesce(raw_route, 'unmatched') AS route, (event_id % 6 * 100 + 100 + user_id % 5) // 100 AS hundreds,
+                 (['GET','POST','PUT','BREW','DELETE','PATCH','get'])[event_id % 7 + 1] AS raw_method,
+                 CASE WHEN raw_method IN ('BREW', 'get') THEN 'OTHER' ELSE raw_method END AS method,
+                 CASE WHEN hundreds BETWEEN 2 AND 5 THEN hundreds || 'xx' ELSE 'other' END AS status_class FROM events) e"""
+_CALLED = "boundary IS NOT NULL AND coalesce(failure, '') NOT IN ('BulkheadRejected', 'RateLimitExceeded')"
+
+
+def _buckets_sql(metric, labels, where):
+    bounds = " UNION ALL ".join(f"SELECT '{bound}' AS le, {bound}::DOUBLE AS bound" for bound in _BOUNDS)
+    return f"""
+        SELECT '{metric}_bucket', 'histogram', {labels}, le, count(*) FILTER (WHERE seconds <= bound)::DOUBLE
+        FROM calls, ({bounds} UNION ALL SELECT '+Inf', 'Infinity'::DOUBLE) b WHERE {where} GROUP BY ALL
+        UNION ALL SELECT '{metric}_sum', 'histogram', {labels}, NULL, sum(seconds) FROM calls WHERE {where} GROUP BY ALL
+        UNION ALL SELECT '{metric}_count', 'histogram', {labels}, NULL, count(*) FROM calls WHERE {where} GROUP BY ALL"""
+
+
 ORACLES = {
+    "service_families": f"""
+        WITH calls AS ({_CALLS}), checks AS (SELECT * FROM calls WHERE event_id % 5 = 0),
+        samples(metric, kind, labels, le, value) AS (
+            SELECT 'rag_http_requests_total', 'counter', 'method=' || method || ',route=' || route || ',status_class=' || status_class, NULL::VARCHAR, count(*)::DOUBLE
+            FROM calls GROUP BY ALL
+            UNION ALL SELECT 'rag_http_requests_in_flight', 'gauge', '', NULL, count(*) FILTER (held) FROM calls
+            UNION ALL SELECT 'rag_bulkhead_active', 'gauge', 'boundary=' || boundary, NULL, count(*) FILTER (held) FROM calls WHERE {_CALLED} GROUP BY ALL
+            UNION ALL SELECT 'rag_bulkhead_rejections_total', 'counter', 'boundary=' || boundary, NULL, count(*) FROM calls
+                      WHERE boundary IS NOT NULL AND failure = 'BulkheadRejected' GROUP BY ALL
+            UNION ALL SELECT 'rag_ratelimit_rejections_total', 'counter', 'boundary=' || boundary, NULL, count(*) FROM calls
+                      WHERE boundary IS NOT NULL AND failure = 'RateLimitExceeded' GROUP BY ALL
+            UNION ALL SELECT 'rag_downstream_failures_total', 'counter', 'boundary=' || boundary || ',dependency=' || coalesce(raw_route, 'none'), NULL, count(*)
+                      FROM calls WHERE {_CALLED} AND failure IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT 'rag_compensating_events_total', 'counter', 'boundary=' || boundary || ',reason=' || failure, NULL, count(*)
+                      FROM calls WHERE boundary IS NOT NULL AND failure IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT 'rag_health_checks_total', 'counter', 'check=' || check_name || ',status=' || CASE WHEN seconds < 5 THEN 'ok' ELSE 'failed' END, NULL, count(*)
+                      FROM checks GROUP BY ALL
+            UNION ALL SELECT 'rag_health_check_duration_seconds', 'gauge', 'check=' || check_name, NULL, arg_max(seconds, ts) FROM checks GROUP BY ALL
+            UNION ALL SELECT 'rag_ready', 'gauge', '', NULL, (count(*) FILTER (latest < 5) = 3)::INT
+                      FROM (SELECT arg_max(seconds, ts) AS latest FROM checks GROUP BY check_name) c
+            UNION ALL {_buckets_sql("rag_http_request_duration_seconds", "'method=' || method || ',route=' || route", "true")}
+            UNION ALL {_buckets_sql("rag_boundary_duration_seconds", "'boundary=' || boundary || ',operation=' || raw_method", _CALLED)})
+        SELECT metric, kind, labels, le, round(value, 4) AS value FROM samples""",
     "ingest_documents": f"""
         WITH RECURSIVE {_ACCEPTED},
         names AS (SELECT doc_id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM kinds GROUP BY doc_id),
