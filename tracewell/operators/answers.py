@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,12 +63,21 @@ def generate(questions: DataFrame, model: Callable[[], Callable[[str], str]]) ->
     return asked.mapInPandas(run, schema)
 
 
-def answer_text(retrieved: Column, model_answer: Column, llm_error: Column, llm_enabled: bool) -> Column:
+@dataclass(frozen=True)
+class Messages:
+    """What callers read where there is no generated answer."""
+
+    no_evidence: str = NO_EVIDENCE
+    unavailable: str = UNAVAILABLE
+    disabled: str = DISABLED
+
+
+def answer_text(retrieved: Column, model_answer: Column, llm_error: Column, llm_enabled: bool, messages: Messages = Messages()) -> Column:
     """What the caller reads: the model's answer or the message for its absence."""
     with_evidence_only = (
-        F.when(llm_error.isNotNull(), F.lit(UNAVAILABLE)).otherwise(model_answer) if llm_enabled else F.lit(DISABLED)
+        F.when(llm_error.isNotNull(), F.lit(messages.unavailable)).otherwise(model_answer) if llm_enabled else F.lit(messages.disabled)
     )
-    return F.when(retrieved > 0, with_evidence_only).otherwise(F.lit(NO_EVIDENCE))
+    return F.when(retrieved > 0, with_evidence_only).otherwise(F.lit(messages.no_evidence))
 
 
 def outcome_events(answered: DataFrame, occurred_at: Column, model: str = "fallback") -> DataFrame:

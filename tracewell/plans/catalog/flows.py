@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import lifecycle, metrics
+from tracewell.operators import answers, lifecycle, metrics
 from tracewell.plans import reports, requests
 from tracewell.plans.catalog.common import KEY, PAYMENTS_SQL, SCORE_SQL, ntz, token_sql, uuid_sql
 from tracewell.plans.catalog.operations import _LOG
@@ -69,6 +69,27 @@ def service_metrics(spark, folder):
     return rows.select("metric", "kind", F.array_join(text, ",").alias("labels"), "le", F.round("value", 4).alias("value"))
 
 
+def ask_flow(spark, folder):
+    """Lifecycle of every question: the store fails for ids ending in 9, the model for those ending in 4, the audit
+    sink for one of seven. Moves, compensations and closing events in one table."""
+    number = F.col("query_id")
+    fails = lambda when, name: F.when(when, F.lit(name))
+    generated = lambda asked: asked.withColumn("llm_error", fails((number % 10 == 4) & (F.col("retrieved_count") > 0), "CallTimedOut")).withColumn(
+        "answer", F.when(F.col("llm_error").isNull() & (F.col("retrieved_count") > 0), F.concat(F.lit("answer to "), "request_id")))
+    result = requests.ask(
+        tables.questions(spark, folder), tables.document_chunks(spark, folder), KEY, F.lit("2024-01-01 00:00:00").cast("timestamp"),
+        generator=generated, store_error=fails(number % 10 == 9, "BulkheadRejected"), audit_error=fails(number % 7 == 3, "OSError"),
+        messages=answers.Messages(no_evidence="nothing found"))
+    none = F.lit(None).cast("string")
+    moves = result.transitions.select("request_id", F.lit("move").alias("kind"), F.col("state_to").alias("what"), "reason", F.col("payload").isNotNull().alias("recorded"))
+    undone = result.undone.select("request_id", F.lit("undone").alias("kind"), F.concat_ws(":", "boundary", "error").alias("what"), "reason", F.lit(False).alias("recorded"))
+    closing = result.closing.select(
+        "request_id", F.lit("event").alias("kind"), F.col("event_type").alias("what"), F.nullif("reason", F.lit("")).alias("reason"),
+        F.coalesce(F.col("object_key") != "", F.lit(False)).alias("recorded"))
+    said = result.answers.select("request_id", F.lit("answer").alias("kind"), F.col("answer").alias("what"), none.alias("reason"), F.lit(False).alias("recorded"))
+    return moves.unionByName(undone).unionByName(closing).unionByName(said)
+
+
 def service_families(spark, folder):
     """All twelve families from one reading of the events as a service log; the report is of noon on the 15th."""
     log = tables.request_log(spark, folder)
@@ -119,7 +140,7 @@ def transaction_anomalies(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    ingest_documents, ingest_lifecycle, ingest_chunks, ask_questions, process_payments, service_metrics, service_families,
+    ingest_documents, ingest_lifecycle, ingest_chunks, ask_questions, process_payments, service_metrics, service_families, ask_flow,
     trace_completeness, transaction_anomalies,
 )}
 
@@ -163,6 +184,24 @@ def _buckets_sql(metric, labels, where):
 
 
 ORACLES = {
+    "ask_flow": f"""
+        WITH {_LEXICAL}, counts AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id),
+        asked AS (
+            SELECT 'q-' || item_id AS request_id, item_id % 10 = 9 AS store, item_id % 7 = 3 AS sink, NOT store AND coalesce(n, 0) > 0 AS found,
+                   found AND item_id % 10 = 4 AS model, store OR model OR sink AS failed
+            FROM benchmark LEFT JOIN counts ON query_id = item_id)
+        SELECT request_id, 'move' AS kind, 'PROCESSING' AS what, 'Question received for retrieval' AS reason, false AS recorded FROM asked
+        UNION ALL SELECT request_id, 'move', CASE WHEN failed THEN 'COMPENSATED' ELSE 'COMPLETED' END,
+               CASE WHEN sink THEN 'Audit persistence failed' WHEN failed THEN 'Retrieval returned a safe fallback'
+                    ELSE 'Retrieval and inference completed' END, NOT sink FROM asked
+        UNION ALL SELECT request_id, 'undone', 'retrieval_store:BulkheadRejected', 'DOWNSTREAM_FAILURE_FAIL_SAFE', false FROM asked WHERE store
+        UNION ALL SELECT request_id, 'undone', 'llm_inference:CallTimedOut', 'DOWNSTREAM_FAILURE_FAIL_SAFE', false FROM asked WHERE model
+        UNION ALL SELECT request_id, 'undone', 'audit_sink:OSError', 'AUDIT_WRITE_FAILED', false FROM asked WHERE sink
+        UNION ALL SELECT request_id, 'event', 'AuditRecordLogged', NULL, true FROM asked WHERE NOT sink
+        UNION ALL SELECT request_id, 'event', 'TransactionCompensated', 'AUDIT_WRITE_FAILED', false FROM asked WHERE sink
+        UNION ALL SELECT request_id, 'answer', CASE WHEN NOT found THEN 'nothing found' WHEN model THEN
+               'Inference is unavailable; retrieved evidence is returned without a generated answer.' ELSE 'answer to ' || request_id END, NULL, false
+        FROM asked WHERE NOT sink""",
     "service_families": f"""
         WITH calls AS ({_CALLS}), checks AS (SELECT * FROM calls WHERE event_id % 5 = 0),
         samples(metric, kind, labels, le, value) AS (

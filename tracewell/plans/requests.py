@@ -85,12 +85,18 @@ def ingest_documents(
 
 @dataclass(frozen=True)
 class AskResult:
+    """``transitions`` carry the audit key of a request that was recorded; ``undone`` are the compensation records of
+    store, model and audit sink; ``closing`` the events that end a request."""
+
     hits: DataFrame
     answers: DataFrame
     events: DataFrame
     compensations: DataFrame
     audit: DataFrame
     rejected: DataFrame
+    transitions: DataFrame
+    undone: DataFrame
+    closing: DataFrame
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
@@ -101,25 +107,35 @@ STRATEGIES: dict[str, Callable[..., DataFrame]] = {
 def ask(
     questions: DataFrame, chunks: DataFrame, key: str, at: Column, strategy: str = "lexical",
     vectors: tuple[DataFrame, DataFrame] | None = None, model: Callable[[], Callable[[str], str]] | None = None,
+    generator: Callable[[DataFrame], DataFrame] | None = None, store_error: Column | None = None, audit_error: Column | None = None,
+    messages: answers.Messages = answers.Messages(),
 ) -> AskResult:
     """``(query_id, request_id, question, top_k)`` against ``(chunk_id, insert_seq, text)``.
 
     Questions are redacted before anything else sees them. ``vectors`` holds (query vectors, chunk vectors)
-    for the vector strategy; ``model`` builds a text model per task, without one the answers say so.
+    for the vector strategy; ``model`` builds a text model per task, ``generator`` adds answer and llm_error itself;
+    without either the answers say so. ``store_error`` and ``audit_error`` read columns of the questions: the type of
+    error with which the store failed to search, or the audit sink to write, else null. A question whose store failed
+    gets no evidence; an answer whose audit failed leaves no record and is taken back.
     """
+    none = F.lit(None).cast("string")
     valid, failed = validation.split_valid(validation.validate_questions(_traced(questions)))
     safe = valid.withColumn("question", redact_text(F.col("question"), key))
+    safe = safe.withColumn("retrieval_error", none if store_error is None else store_error)
+    safe = safe.withColumn("audit_error", none if audit_error is None else audit_error)
+    searched = safe.filter("retrieval_error IS NULL")
     if strategy == "vector":
         found = retrieval.retrieve_vector(*vectors)
+        found = found if store_error is None else found.join(searched.select("query_id"), "query_id", "left_semi")
     else:
-        found = STRATEGIES[strategy](safe, chunks)
+        found = STRATEGIES[strategy](searched, chunks)
     hits = stored(retrieval.attach_text(found, chunks), "hits")
-    evidence = answers.with_evidence(safe, hits).withColumn("retrieval_error", F.lit(None).cast("string"))
-    if model:
-        answered = answers.generate(evidence, model)
+    evidence = answers.with_evidence(safe, hits)
+    if model or generator:
+        answered = generator(evidence) if generator else answers.generate(evidence, model)
     else:
-        answered = evidence.withColumn("answer", F.lit(None).cast("string")).withColumn("llm_error", F.lit(None).cast("string"))
-    said = answers.answer_text(F.col("retrieved_count"), F.col("answer"), F.col("llm_error"), model is not None)
+        answered = evidence.withColumn("answer", none).withColumn("llm_error", none)
+    said = answers.answer_text(F.col("retrieved_count"), F.col("answer"), F.col("llm_error"), bool(model or generator), messages)
     answered = stored(answered.withColumn("answer", redact_text(said, key)), "answers")
     processed = answers.outcome_events(answered, at)
     compensations = answers.answer_compensations(processed, at)
@@ -131,13 +147,35 @@ def ask(
         F.col("retrieved_count").alias("retrieved_chunk_count"),
         F.coalesce("compensations", F.array().cast(listed.schema["compensations"].dataType)).alias("compensations"),
     )
+    recorded = payload.join(answered.filter("audit_error IS NULL").select("request_id"), "request_id", "left_semi")
+    objects = audit.audit_objects(
+        audit.request_records(recorded, at), "requests", "request_id", key)
+    outcome = (
+        F.when(F.col("audit_error").isNotNull(), "audit_failed").when(F.col("retrieval_error").isNotNull(), "store_failed")
+        .when(F.col("llm_error").isNotNull(), "model_failed").otherwise("ok")
+    )
+    outcomes = answered.select(
+        F.lit("ask").alias("flow"), outcome.alias("outcome"), "request_id", "correlation_id", "traceparent", F.col("audit_error").alias("error"))
+    keyed = stored(objects, "audit")
+    # The key of a record names its request; keys come from the stored records, so they are what was written.
+    keys = keyed.select(F.get_json_object("body", "$.request_id").alias("request_id"), "object_key")
+    outcomes = stored(outcomes.join(keys, "request_id", "left"), "outcomes")
+    moves = lifecycle.lifecycle_transitions(outcomes)
+    moves = moves.withColumn("payload", F.when((F.col("seq") == 2) & F.col("object_key").isNotNull(), F.create_map(F.lit("audit_key"), F.col("object_key"))))
+    own = answers.compensation_boundaries(compensations).select(
+        "request_id", "correlation_id", "boundary", "reason", F.substring_index("error_detail", ":", -1).alias("error"))
+    sink = lifecycle.lifecycle_compensations(outcomes.filter("outcome = 'audit_failed'")).select("request_id", "correlation_id", "boundary", "reason", "error")
+    closing = events.union_events(lifecycle.audit_logged_events(outcomes.filter("object_key IS NOT NULL"), at), lifecycle.compensated_events(outcomes, at))
     return AskResult(
         hits=hits,
-        answers=answered.select("request_id", "answer", "evidence"),
+        answers=answered.filter("audit_error IS NULL").select("request_id", "answer", "evidence"),
         events=processed,
         compensations=compensations,
-        audit=audit.audit_objects(audit.request_records(payload, at), "requests", "request_id", key),
+        audit=keyed,
         rejected=failed.select("request_id", "failed"),
+        transitions=moves,
+        undone=own.unionByName(sink),
+        closing=closing,
     )
 
 
