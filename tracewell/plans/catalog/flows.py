@@ -22,7 +22,7 @@ def _at():
 def _ingested(spark, folder):
     documents = tables.documents(spark, folder).withColumn("correlation_id", F.concat(F.lit("c-"), "request_id"))
     outcome = F.when(F.col("lang") == "de", "index_failed").otherwise("ok")
-    return requests.ingest_documents(documents, KEY, _at(), outcome=outcome)
+    return requests.ingest_documents(documents, KEY, _at(), outcome=outcome, error=F.when(F.col("lang") == "de", "TimeoutError").otherwise(""))
 
 
 def ingest_documents(spark, folder):
@@ -37,6 +37,16 @@ def ingest_lifecycle(spark, folder):
     return moves.select("request_id", "correlation_id", "seq", "state_from", "state_to", "reason")
 
 
+def ingest_closing(spark, folder):
+    """Events that end ingest requests, beside what the moves of a request carry."""
+    result = _ingested(spark, folder)
+    carried = result.transitions.groupBy("request_id").agg(F.array_join(F.sort_array(F.flatten(F.collect_list(F.map_keys("payload")))), ",").alias("carried"))
+    events = result.closing.select(
+        "request_id", "event_type", "reason", "error_detail", F.coalesce(F.col("object_key") != "", F.lit(False)).alias("recorded"),
+        (F.col("source_token") != "").alias("from_source"))
+    return events.join(carried, "request_id")
+
+
 def ingest_chunks(spark, folder):
     return _ingested(spark, folder).chunks
 
@@ -140,7 +150,7 @@ def transaction_anomalies(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    ingest_documents, ingest_lifecycle, ingest_chunks, ask_questions, process_payments, service_metrics, service_families, ask_flow,
+    ingest_documents, ingest_lifecycle, ingest_chunks, ingest_closing, ask_questions, process_payments, service_metrics, service_families, ask_flow,
     trace_completeness, transaction_anomalies,
 )}
 
@@ -184,6 +194,12 @@ def _buckets_sql(metric, labels, where):
 
 
 ORACLES = {
+    "ingest_closing": """
+        SELECT 'doc-' || doc_id AS request_id, CASE WHEN lang = 'de' THEN 'IngestionCompensated' ELSE 'AuditRecordLogged' END AS event_type,
+               CASE WHEN lang = 'de' THEN 'STORE_ADD_FAILED' END AS reason, CASE WHEN lang = 'de' THEN 'TimeoutError' END AS error_detail,
+               lang <> 'de' AS recorded, CASE WHEN lang = 'de' THEN true END AS from_source,
+               CASE WHEN lang = 'de' THEN 'source_token' ELSE 'audit_key,source_token' END AS carried
+        FROM documents WHERE length(text) BETWEEN 1 AND 200000""",
     "ask_flow": f"""
         WITH {_LEXICAL}, counts AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id),
         asked AS (

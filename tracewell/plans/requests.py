@@ -37,7 +37,11 @@ def lifecycle_audit(transitions: DataFrame, compensations: DataFrame, at: str, k
 
 @dataclass(frozen=True)
 class IngestResult:
-    """Frames of one ingest run; ``rejected`` names the failed rules and keeps no text."""
+    """Frames of one ingest run; ``rejected`` names the failed rules and keeps no text.
+
+    ``transitions`` carry the source token when a request opens and the audit key when it completes; ``closing`` are
+    the events that end requests.
+    """
 
     chunks: DataFrame
     telemetry: DataFrame
@@ -45,26 +49,27 @@ class IngestResult:
     compensations: DataFrame
     audit: DataFrame
     rejected: DataFrame
+    closing: DataFrame
 
 
 def ingest_documents(
     documents: DataFrame, key: str, at: Column,
-    splitter: Callable[[Column], Column] = text.chunk_recursive, outcome: Column | None = None,
+    splitter: Callable[[Column], Column] = text.chunk_recursive, outcome: Column | None = None, error: Column | None = None,
 ) -> IngestResult:
     """``(request_id, text, source)`` to chunks, telemetry, lifecycle and audit records.
 
     Redaction and splitting run once: their result is written to the shared folder and all outputs read it
     from there. ``outcome`` (a key of the ingest outcomes, default ok) tells what became of the index and
-    audit writes; chunks of a request that did not end well are taken back.
+    audit writes, ``error`` the type of the failure; chunks of a request that did not end well are taken back.
     """
     valid, failed = validation.split_valid(validation.validate_documents(_traced(documents)))
     outcome = F.lit("ok") if outcome is None else outcome
     split = stored(
         ingest.split_documents(ingest.redact_documents(valid, key), splitter)
-        .withColumn("flow", F.lit("ingest")).withColumn("outcome", outcome),
+        .withColumn("flow", F.lit("ingest")).withColumn("outcome", outcome).withColumn("error", F.lit("") if error is None else error),
         "redacted",
     )
-    outcomes = split.select("flow", "outcome", "request_id", "correlation_id")
+    outcomes = split.select("flow", "outcome", "request_id", "correlation_id", "traceparent", "source_token", "error")
     counted = ingest.telemetry_rows(split)
     telemetry = events.make_events(
         counted, "TelemetryIngested", at, events.stable_uuid(F.lit("TelemetryIngested"), F.col("request_id")))
@@ -72,14 +77,21 @@ def ingest_documents(
         "request_id", "correlation_id", "traceparent", F.lit("ingest").alias("event"), "source_token", "pii_counts",
         "chunk_count",
     )
-    records = audit.audit_objects(audit.request_records(payload, at), "requests", "request_id", key)
+    records = stored(audit.audit_objects(audit.request_records(payload, at), "requests", "request_id", key), "audit")
+    keys = records.select(F.get_json_object("body", "$.request_id").alias("request_id"), "object_key")
+    keyed = outcomes.join(keys, "request_id", "left")
+    moves = lifecycle.lifecycle_transitions(keyed)
+    facts = F.when(F.col("seq") == 1, F.create_map(F.lit("source_token"), F.col("source_token"))).when(
+        F.col("object_key").isNotNull(), F.create_map(F.lit("audit_key"), F.col("object_key")))
     return IngestResult(
         chunks=ingest.chunk_documents(split.filter("outcome = 'ok'")),
         telemetry=telemetry,
-        transitions=lifecycle.lifecycle_transitions(outcomes),
+        transitions=moves.withColumn("payload", facts),
         compensations=lifecycle.lifecycle_compensations(outcomes),
         audit=records,
         rejected=failed.select("request_id", "failed"),
+        closing=events.union_events(
+            lifecycle.audit_logged_events(keyed.filter("object_key IS NOT NULL"), at), lifecycle.compensated_events(keyed, at)),
     )
 
 
