@@ -145,6 +145,28 @@ def test_secrets_beside_names_and_base_spans(spark, store):
     assert all(hits[form] >= 20 for form in forms), hits
 
 
+def test_secrets_in_a_text_of_many_spans(spark, store):
+    """Overlapping spans of all kinds, as many as a dump has, against plain Python; running numbers are no secrets."""
+    draw = random.Random(12)
+    some = ["token=" + "ab12" * 8, "0123456789abcdef" * 2, "AKIA" + "B7" * 9, "plain words", "é", "secret: abc", "passwd=AKIA" + "C" * 18]
+    text = " ".join(draw.choice(some) for _ in range(9000))
+    numbers = "1234567890123456789012 2345678901234567890123456 number 10000000000000000000001"
+    base, marked = {}, {}
+    frame = spark.createDataFrame([(1, text), (2, numbers), (3, text[:200])], "doc_id long, text string")
+    for row in frame.select("doc_id", secret_scan.base_spans(F.col("text")).alias("base"), secret_scan.uncovered(
+            F.col("text"), secret_scan.base_spans(F.col("text"))).alias("open")).collect():
+        base[row.doc_id], marked[row.doc_id] = row.base, row.open
+    wanted = [(m.start(), 0, m.end()) for m in re.finditer(r"(?:token|secret|passwd)[:=]\x20*([A-Za-z0-9+/_.=-]+)", text) if len(m[1]) >= 6]
+    wanted += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    wanted += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    assert [tuple(s) for s in base[1]] == sorted(wanted)
+    blanked = list(text)
+    for start, _, end in wanted:
+        blanked[start:end] = " " * (end - start)
+    assert marked[1] == "".join(blanked)
+    assert not [r for r in secret_scan.scan(frame.filter("doc_id = 2"), store).collect() if r.random]
+
+
 def test_secret_cuts_follow_the_false_share(spark, store):
     """Short tokens of skewed letters, a part of which passes the least p: the band's cut rises until few of them are called."""
     draw = random.Random(8)

@@ -2,7 +2,7 @@
 
 A candidate is a maximal run of 20 or more characters of an encoding's alphabet outside the spans of the fixed
 patterns; ``=`` belongs to it as padding at its end alone, so the value of ``name=value`` is a run of its own. Its
-encoding is inferred (hex, base32, base64 and its URL form), its characters become numbers, and three tests ask
+encoding is inferred (decimal, hex, base32, base64 and its URL form), its characters become numbers, and three tests ask
 whether they could be drawn uniformly: chi-squared over equal cells of the alphabet (for base64 halves of each case,
 and the rest), Wald-Wolfowitz runs about the middle, lag-one serial correlation. The smallest of the three tail probabilities, times three, is the token's p.
 
@@ -41,8 +41,9 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "decimal": "0123456789",
 }
-CELLS = {"hex": 8, "base32": 8, "base64": 5}
+CELLS = {"hex": 8, "base32": 8, "base64": 5, "decimal": 5}
 BANDS = (32, 48, 80)
 FALSE_RATE, LEAST_P = 0.01, 0.05
 P_BINS = 26  # of minus log10 p times 20 from 0 on, down to LEAST_P: cuts are exact to a twentieth of a power of ten
@@ -51,10 +52,24 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 CANDIDATES = "array<struct<start:int,end:int,stratum:int,p:double>>"
 
 
+def _blocks(items: Column) -> Column:
+    """An array as slices of its square root's length each: appending inside a slice copies that little."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int"), F.lit(1))
+    return _bound(F.struct(items.alias("all"), size.alias("size")), lambda s: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(s["all"]) / s["size"]).cast("int") - 1, F.lit(0))),
+        lambda block: F.slice(s["all"], block * s["size"] + 1, s["size"])))
+
+
+def _before(values: Column, first: Column, join) -> Column:
+    """For each value what ``join`` makes of all before it, ``first`` for the first."""
+    return F.aggregate(values, F.array(first), lambda out, value: F.concat(out, F.array(join(F.element_at(out, -1), value))))
+
+
 def _spans(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
     """``array<struct<start, end, found>>`` of the leftmost non-overlapping matches whose ``group`` is long enough.
 
-    Splitting at the matches gives the gaps between them; positions are running sums of gaps and matches.
+    Splitting at the matches gives the gaps between them; positions are running sums of gaps and matches, taken in
+    blocks and over blocks: the work grows as the power 1.5 of the number of matches.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -71,7 +86,13 @@ def _spans(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column
         out = F.when(item["inner"] >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    return F.aggregate(lengths, start, step, lambda state: state["out"])
+    def moved(blocks: Column, offsets: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda block, i: F.transform(block["out"], lambda s: F.struct(
+            (s["start"] + offsets[i]).alias("start"), (s["end"] + offsets[i]).alias("end"), s["found"].alias("found")))))
+
+    summed = F.transform(_blocks(lengths), lambda block: F.aggregate(block, start, step))
+    return _bound(summed, lambda blocks: _bound(
+        _before(F.transform(blocks, lambda block: block["at"]), F.lit(0), lambda x, y: x + y), lambda offsets: moved(blocks, offsets)))
 
 
 def _of_kind(spans: Column, kind: int) -> Column:
@@ -149,27 +170,46 @@ def _candidate(span: Column) -> Column:
     token = F.rtrim(F.translate(span["found"], "-_", "+/"), F.lit("="))
     is_hex = token.rlike(r"^([0-9a-f]+|[0-9A-F]+)$")
     is_base32 = token.rlike(r"^[A-Z2-7]+$")
-    p = (F.when(is_hex, uniformity_p(F.lower(token), "hex"))
+    is_decimal = token.rlike(r"^[0-9]+$")
+    p = (F.when(is_decimal, uniformity_p(token, "decimal"))
+         .when(is_hex, uniformity_p(F.lower(token), "hex"))
          .when(is_base32, uniformity_p(token, "base32"))
          .otherwise(uniformity_p(token, "base64")))
     band = reduce(lambda a, b: a + b, [(F.length(token) >= bound).cast("int") for bound in BANDS])
-    encoding = F.when(is_hex, 0).when(is_base32, 1).otherwise(2)
+    encoding = F.when(is_decimal, 3).when(is_hex, 0).when(is_base32, 1).otherwise(2)
     return F.struct(span["start"].alias("start"), span["end"].alias("end"),
                     (encoding * (len(BANDS) + 1) + band).cast("int").alias("stratum"), p.alias("p"))
 
 
 def uncovered(text: Column, base: Column) -> Column:
-    """The text with blanks in place of its base spans (sorted by start, they may overlap)."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, span: Column) -> Column:
-        begin, end = F.greatest(span["start"], state["at"]), F.greatest(span["end"], state["at"])
-        parts = F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, begin - state["at"]), F.repeat(F.lit(" "), end - begin)))
-        return F.struct(end.alias("at"), parts.alias("parts"))
+    """The text with blanks in place of its base spans (sorted by start, they may overlap).
 
-    cut = F.aggregate(base, start, step, lambda state: F.concat(
-        F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text))))
-    return F.when(F.size(base) > 0, cut).otherwise(text)
+    The text is cut where blocks of spans begin, so a span's place is sought in its own piece alone.
+    """
+    empty = F.array().cast("array<string>")
+
+    def piece(part: Column, block: Column, low: Column, covered: Column) -> Column:
+        """A block's piece of the text, which begins at ``low``; earlier spans reach to ``covered``."""
+        length = F.length(part)
+        first = F.least(F.greatest(covered - low, F.lit(0)), length)
+        start = F.struct(first.alias("at"), F.concat(empty, F.array(F.repeat(F.lit(" "), first))).alias("parts"))
+
+        def step(state: Column, span: Column) -> Column:
+            begin = F.least(F.greatest(span["start"] - low, state["at"]), length)
+            end = F.least(F.greatest(span["end"] - low, state["at"]), length)
+            parts = F.concat(state["parts"], F.array(F.substring(part, state["at"] + 1, begin - state["at"]), F.repeat(F.lit(" "), end - begin)))
+            return F.struct(end.alias("at"), parts.alias("parts"))
+
+        return F.aggregate(block, start, step, lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(part, state["at"] + 1, length)))
+
+    def cut(blocks: Column) -> Column:
+        lows = F.concat(F.transform(blocks, lambda block: block[0]["start"]), F.array(F.length(text)))
+        ends = F.transform(blocks, lambda block: F.array_max(F.transform(block, lambda span: span["end"])))
+        return _bound(F.struct(lows.alias("low"), _before(ends, F.lit(0), F.greatest).alias("covered")), lambda c: F.concat(
+            F.substring(text, F.lit(1), c["low"][0]), F.array_join(F.transform(blocks, lambda block, i: _bound(
+                F.substring(text, c["low"][i] + 1, c["low"][i + 1] - c["low"][i]), lambda part: piece(part, block, c["low"][i], c["covered"][i]))), "")))
+
+    return F.when(F.size(base) > 0, _bound(_blocks(base), cut)).otherwise(text)
 
 
 def candidates(text: Column) -> Column:
