@@ -193,6 +193,7 @@ def faulty(rows: DataFrame, store: Store) -> DataFrame:
         "conv", "turn", "role", F.md5(text.cast("binary")).alias("text_key"), "copy", (~F.rlike(text, F.lit(r"[^\x20\x09-\x0D]"))).alias("blank"),
         (~F.rlike(text, F.lit(r"[.!?][\x20\x09-\x0D]*\z"))).alias("cut"))
     order = [F.col("turn").asc_nulls_first(), role, F.col("text_key"), F.col("copy")]
+    facts = store.save(facts, "facts")  # texts are read once, not again for the bounds of the sort
     placed = store.save(runs(facts, "conv", order, store, "turns"), "placed")
     # First of its kind or not: told by (conversation, place), which no other row shares.
     firsts = placed.groupBy("conv", "role", "text_key").agg(F.min("at").alias("at")).select("conv", "at", F.lit(True).alias("fresh"))
