@@ -5,9 +5,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_streaming import NOON, feed, run
-from tracewell.sources import sinks
-from tracewell.streaming import processors
+from tests.test_streaming import NOON, feed, message, run
+from tracewell.operators import lifecycle
+from tracewell.plans import requests
+from tracewell.sources import sinks, tables
+from tracewell.streaming import events, pipelines, processors
 
 MOVES = "correlation_id string, seq long, state_from string, state_to string, occurred_at timestamp"
 ROWS = "currency string, amount long, at timestamp"
@@ -68,3 +70,60 @@ def test_anomalies_chained_with_two_sinks(spark, tmp_path):
     run(flow(), str(tmp_path), write)
     wanted = expected(spark, rows, NOON + timedelta(minutes=109))
     assert scores(spark, first) == scores(spark, second) == wanted and any(row[-1] for row in wanted)
+
+
+def test_every_message_is_in_one_output(spark, tmp_path):
+    """Counts, late, malformed and copies add up to the messages, before and after a restart and a replayed batch."""
+    at = lambda minutes: NOON + timedelta(minutes=minutes)
+    one = [message(i, at(i / 10)) for i in range(60)] + [message(i, at(i / 10)) for i in range(5)] + [("{broken",), ("",)]
+    two = [message(100 + i, at(20 + i)) for i in range(10)] + [message(3, at(0.3)), message(59, at(5.9))]
+    path, intake = str(tmp_path / "in"), events.EventIntake(str(tmp_path / "out"))
+    stream = feed(spark, path, [one, two], "value string")
+    run(stream, str(tmp_path), intake)
+
+    def total():
+        size = lambda name: intake.read(spark, name).count()
+        counted, copied = (intake.read(spark, name).agg(F.coalesce(F.sum(column), F.lit(0))).first()[0] for name, column in (("counts", "count"), ("copies", "copies")))
+        return counted, size("late"), size("malformed"), copied
+
+    assert total() == (70, 0, 2, 7) and sum(total()) == len(one) + len(two)
+    three = [message(200, at(1)), message(201, at(60)), message(201, at(60)), message(105, at(25)), ("nothing",), message(202, at(19))]
+    spark.createDataFrame(three, "value string").coalesce(1).write.parquet(f"{path}/002")
+    run(stream, str(tmp_path), intake)
+    assert total() == (72, 1, 3, 9) and sum(total()) == len(one) + len(two) + len(three)
+    intake(spark.createDataFrame(three, "value string"), 2)
+    assert total() == (72, 1, 3, 9)
+    closed = intake.counts(spark)
+    assert closed.agg(F.max("window_end")).first()[0] <= at(50) and closed.agg(F.sum("count")).first()[0] == 71
+
+
+def test_failing_payments_equal_batch(spark, data, key, tmp_path):
+    """A stream of payments and one of failures against the same rows as tables."""
+    rows = tables.payments(spark, data).withColumn("traceparent", F.lit("")).withColumn("amount_minor", F.when(F.col("o_orderkey") % 50 == 3, -1).otherwise(F.col("amount_minor")))
+    rows = rows.withColumn("paid_at", F.lit(NOON) + F.make_dt_interval(secs=F.col("o_orderkey") % 100))
+    last = rows.limit(1).withColumn("request_id", F.lit("end")).withColumn("paid_at", F.lit(NOON + timedelta(hours=3)))
+    failed = rows.filter(F.col("o_orderkey") % 7 == 0).select("request_id", F.lit("CallTimedOut").alias("error"), (F.col("paid_at") + F.expr("interval 5 seconds")).alias("failed_at"))
+    old = rows.filter(F.col("o_orderkey") % 7 == 1).select("request_id", F.lit("TooLate").alias("error"), (F.col("paid_at") + F.expr("interval 5 minutes")).alias("failed_at"))
+    end = spark.createDataFrame([("other", "x", NOON + timedelta(hours=3))], failed.schema)
+    for number, (payment, failure) in enumerate([(rows, failed.unionByName(old)), (last, end), (last, end)]):
+        payment.coalesce(2).write.parquet(f"{tmp_path}/p/{number}")
+        failure.coalesce(1).write.parquet(f"{tmp_path}/f/{number}")
+    stream = pipelines.with_failures(
+        events.read_file_stream(spark, f"{tmp_path}/p/*", rows.schema, files_per_trigger=2), events.read_file_stream(spark, f"{tmp_path}/f/*", failed.schema, files_per_trigger=1))
+    names = ("ingested", "scored", "compensated", "transitions", "undone", "rejected")
+    run(stream, str(tmp_path), pipelines.payment_batches(key, {name: sinks.batch_folder(f"{tmp_path}/out/{name}") for name in names}))
+
+    joined = rows.join(failed.select("request_id", F.col("error").alias("scorer_error")), "request_id", "left")
+    batch = requests.process_payments(joined, key, F.col("paid_at"), error=F.col("scorer_error"), carry=("scorer_error", "paid_at"))
+    wanted = {
+        "ingested": batch.ingested, "scored": batch.scored, "compensated": batch.compensated, "rejected": batch.rejected,
+        "transitions": lifecycle.lifecycle_transitions(batch.outcomes), "undone": lifecycle.lifecycle_compensations(batch.outcomes),
+    }
+    for name in names:
+        found = spark.read.parquet(f"{tmp_path}/out/{name}").select(wanted[name].columns)
+        owner = "request_id" if "request_id" in found.columns else "correlation_id"
+        text = lambda frame: sorted(str(row) for row in frame.collect() if row[owner] not in ("end",))
+        own, other = text(wanted[name]), [row for row in text(found)]
+        extra = [row for row in other if row not in set(own)]
+        assert sorted(set(own)) == sorted(set(other) - set(extra)) and len(extra) <= 2, name
+    assert spark.read.parquet(f"{tmp_path}/out/compensated").count() == failed.join(batch.outcomes.filter("outcome = 'scorer_failed'"), "request_id").count() > 0

@@ -204,16 +204,16 @@ class PaymentResult:
 
 def process_payments(
     requests: DataFrame, key: str, at: Column, anomaly: Column | None = None, error: Column | None = None,
-    raw: str | None = None,
+    raw: str | None = None, carry: tuple[str, ...] = (),
 ) -> PaymentResult:
     """``(request_id, correlation_id, transaction_id, ...)`` to events and outcomes; everything is row-local.
 
-    ``error`` and ``anomaly`` read columns of the ingested events.
+    ``error`` and ``anomaly`` read columns of the ingested events and the columns of the requests named in ``carry``.
     """
     accepted, refused = payments.split_payments(_traced(requests), raw)
     tokenized = payments.tokenize_payments(accepted, key)
     # Scored once: the request id travels beside the event, so events and outcomes come from the same scores.
-    ingested = payments.ingested_events(tokenized, at, ("request_id",))
+    ingested = payments.ingested_events(tokenized, at, ("request_id", *carry))
     scored = payments.score_payments(ingested, anomaly, error)
     decided = scored.select(
         F.lit("payment").alias("flow"),
@@ -225,7 +225,7 @@ def process_payments(
         F.lit("").alias("decision"),
     )
     return PaymentResult(
-        ingested=ingested.drop("request_id"),
+        ingested=ingested.drop("request_id", *carry),
         scored=payments.scored_events(scored, at),
         compensated=payments.compensated_events(scored, at),
         outcomes=decided.unionByName(invalid),

@@ -84,3 +84,66 @@ def side_output(
             rows.unpersist()
 
     return write
+
+
+class EventIntake:
+    """One reading of a message stream with all its outputs: window counts, late rows, malformed texts, copies.
+
+    A ``foreachBatch`` sink. Each output of a batch is a folder of its own that a replay replaces, and a batch reads
+    only what earlier batches have left, so every message is in exactly one output, across restarts: counts, late,
+    malformed and copies add up to the messages read. The watermark is the latest time of earlier batches less
+    ``lateness``; copies are told from event ids that are not older than it.
+    """
+
+    OUTPUTS = {
+        "counts": "window_start timestamp, window_end timestamp, event_type string, count long",
+        "late": "event_id string, event_type string, occurred_at timestamp", "malformed": "raw_value string",
+        "copies": "event_id string, copies long", "seen": "event_id string, occurred_at timestamp", "horizon": "latest timestamp",
+    }
+
+    def __init__(self, path: str, schema: T.StructType = STREAM_FIELDS, width: str = WINDOW, lateness: timedelta = timedelta(minutes=10)) -> None:
+        self.path, self.schema, self.width, self.lateness = path.rstrip("/"), schema, width, lateness
+
+    def read(self, spark: SparkSession, output: str, before: int | None = None) -> DataFrame:
+        """All rows of an output, or those of the batches ``before`` one."""
+        rows = spark.read.schema(f"{self.OUTPUTS[output]}, batch long").option("basePath", f"{self.path}/{output}")
+        found = rows.parquet(f"{self.path}/{output}")
+        return found if before is None else found.filter(F.col("batch") < before)
+
+    def counts(self, spark: SparkSession, closed: bool = True) -> DataFrame:
+        """Events per window and type, by default of windows that the watermark has passed."""
+        added = self.read(spark, "counts").groupBy("window_start", "window_end", "event_type").agg(F.sum("count").alias("count"))
+        if not closed:
+            return added
+        latest = self.read(spark, "horizon").agg(F.max("latest")).first()[0]
+        return added.filter(F.col("window_end") <= F.lit(latest) - F.lit(self.lateness))
+
+    def __call__(self, raw: DataFrame, batch_id: int) -> None:
+        spark = raw.sparkSession
+        write = {output: batch_folder(f"{self.path}/{output}") for output in self.OUTPUTS}
+        latest = self.read(spark, "horizon", batch_id).agg(F.max("latest")).first()[0] if batch_id else None
+        horizon = F.lit(None).cast("timestamp") if latest is None else F.lit(latest) - F.lit(self.lateness)
+        rows = parse_events(raw, self.schema).persist()
+        try:
+            good, broken = split_malformed(rows)
+            late = F.coalesce(F.col("occurred_at") < horizon, F.lit(False))
+            # Of equal ids in a batch the earliest counts; one row per id is left, with the number of its copies.
+            first = good.filter(~late).groupBy("event_id").agg(
+                F.min(F.struct("occurred_at", "event_type")).alias("event"), (F.count("*") - 1).alias("copies"))
+            if batch_id:
+                seen = self.read(spark, "seen", batch_id)
+                known = (seen if latest is None else seen.filter(F.col("occurred_at") >= horizon)).select("event_id", F.lit(True).alias("known")).distinct()
+                first = first.join(known, "event_id", "left")
+            else:
+                first = first.withColumn("known", F.lit(None).cast("boolean"))
+            first = first.select("event_id", "event.*", "copies", F.coalesce("known", F.lit(False)).alias("known")).persist()
+            fresh = first.filter(~F.col("known"))
+            write["malformed"](broken, batch_id)
+            write["late"](good.filter(late).select("event_id", "event_type", "occurred_at"), batch_id)
+            write["copies"](first.select("event_id", (F.col("copies") + F.col("known").cast("long")).alias("copies")).filter("copies > 0"), batch_id)
+            write["counts"](window_counts(fresh, self.width), batch_id)
+            write["seen"](fresh.select("event_id", "occurred_at"), batch_id)
+            write["horizon"](good.agg(F.greatest(F.max("occurred_at"), F.lit(latest).cast("timestamp")).alias("latest")), batch_id)
+            first.unpersist()
+        finally:
+            rows.unpersist()

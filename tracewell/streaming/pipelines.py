@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
-from tracewell.operators import ingest, payments, validation
+from tracewell.operators import ingest, lifecycle, payments, validation
+from tracewell.plans import requests
 from tracewell.sources.sinks import BatchSink
 
 
@@ -59,3 +60,39 @@ def decision_latency(ingested: DataFrame, scored: DataFrame, bound: str = "10 mi
     return joined.withColumn(
         "seconds", F.col("scored_at").cast("double") - F.col("ingested_at").cast("double")
     )
+
+
+def with_failures(payments_in: DataFrame, failures: DataFrame, bound: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
+    """Payments with ``scorer_error``: the error with which their scoring failed, null for those without one.
+
+    ``payments(request_id, paid_at, ...)``, ``failures(request_id, error, failed_at)``: a failure counts within
+    ``bound`` of its payment. A payment without one comes out when the watermark has passed that time.
+    """
+    left = payments_in.withWatermark("paid_at", watermark)
+    right = failures.select(F.col("request_id").alias("failed_id"), F.col("error").alias("scorer_error"), "failed_at").withWatermark("failed_at", watermark)
+    in_time = F.expr(f"failed_at >= paid_at AND failed_at <= paid_at + interval {bound}")
+    joined = left.join(right, (F.col("failed_id") == F.col("request_id")) & in_time, "left_outer")
+    return joined.drop("failed_id", "failed_at")
+
+
+def payment_batches(key: str, sinks: dict[str, BatchSink]) -> BatchSink:
+    """``foreachBatch`` function over :func:`with_failures`: events, compensations, moves and refusals of a batch.
+
+    ``sinks`` names one idempotent sink each for ingested, scored, compensated, transitions, undone and rejected. A
+    payment whose scoring failed is reviewed with score 0, compensated, and its lifecycle ends as compensated.
+    """
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        rows = df.persist()
+        try:
+            result = requests.process_payments(rows, key, F.col("paid_at"), error=F.col("scorer_error"), carry=("scorer_error", "paid_at"))
+            found = {
+                "ingested": result.ingested, "scored": result.scored, "compensated": result.compensated, "rejected": result.rejected,
+                "transitions": lifecycle.lifecycle_transitions(result.outcomes), "undone": lifecycle.lifecycle_compensations(result.outcomes),
+            }
+            for name, sink in sinks.items():
+                sink(found[name], batch_id)
+        finally:
+            rows.unpersist()
+
+    return write
