@@ -217,3 +217,31 @@ def test_packing_query(spark, data):
         piece = ids[row["doc_id"]][row["start"]:row["start"] + row["length"]]
         assert len(piece) == row["length"] and row["doc_tokens"] == len(ids[row["doc_id"]])
         assert zlib.crc32(np.array(piece, "<u4").tobytes()) == row["ids_crc32"]
+
+
+def test_pipeline_run(spark, data):
+    """The whole pipeline on the smallest tables: what each stage promises holds for what comes out."""
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, data).collect()
+    ids = {row["doc_id"] for row in rows}
+    by = lambda name: {row["doc_id"]: row for row in QUERIES[name](spark, data).collect()}
+    rules, leaks = by("op3_quality_rules"), by("op2_benchmark_decontamination")
+    texts = {row["doc_id"]: row["text"] for row in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert ids and ids <= {d for d, row in rules.items() if row["kept"]} and not any(leaks[d]["contaminated"] for d in ids)
+    assert len({texts[d] for d in ids}) == len(ids)  # one of each group of equal texts
+
+    def shingles(text):
+        words = "".join(c.lower() if c.isascii() else c for c in text).split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = {d: shingles(texts[d]) for d in sorted(ids)}
+    for (a, left), (b, right) in itertools.combinations(sets.items(), 2):
+        assert 100 * len(left & right) < 75 * len(left | right), (a, b)
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for row in rows:
+        assert row["law"] == "rows" and row["text_crc32"] == zlib.crc32(texts[row["doc_id"]].encode()) and row["size"] == len(texts[row["doc_id"]].encode()) + 1
+        sizes[row["doc_id"]] += 1
+        slots[row["shard"]].append(row["slot"])
+    assert max(sizes.values()) <= 2 and max(map(len, slots.values())) - min(len(slots.get(k, [])) for k in range(16)) <= 1
+    assert all(sorted(found) == list(range(len(found))) for found in slots.values())
