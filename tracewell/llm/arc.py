@@ -8,7 +8,8 @@ record, so every part file is an archive of its own, of a bounded number of reco
 
 Defined cases: a null payload is empty; a null id stays null; a null url becomes ``urn:unknown``; white space and
 control characters of a url are percent-encoded; an empty table gives archives without records and no rows. A
-block cut short, or a record line with the wrong number of fields, raises ValueError.
+block cut short, or a record line with the wrong number of fields, raises ValueError. Payloads of any
+size are written and read whole; of equal ones the largest page id answers; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ as a whole. The automaton is built in blocks of items of bounded size, so any be
 block after another in one plan.
 
 Defined cases: null and empty texts have no words; items without words match nothing; a null item id is the empty
-string; items that share an id are one item; an empty benchmark hits nothing; repeated rows are judged one by one.
+string; items that share an id are one item; an empty benchmark hits nothing; repeated rows are judged one by one. Texts
+of any length are read whole; other columns stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ sample of pages that their own markup labels, and on variants of them: other con
 forms, adverts and comments. Then every block of every page is labelled; nothing is cut or dropped by length.
 
 Defined cases: null, empty and text-free pages give an empty text; unclosed and stray tags are tolerated; a page cut
-inside a tag ends there; repeated rows are extracted one by one; without any labelled block the markup alone decides.
+inside a tag ends there; repeated rows are extracted one by one; without any labelled block the markup alone decides. Pages
+of any length are read whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ quality weight. Sorted by key, a source is a weighted random order without repla
 epochs first; the rest of its budget is the longest prefix of that order, ended where it is nearest the budget.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; sources of size 0
-have target 0; repeated rows count one by one; rows of equal keys are ordered by id, size and text digest.
+have target 0; repeated rows count one by one; rows of equal keys are ordered by id, size and text digest. Texts of
+any length are counted whole; other columns stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations

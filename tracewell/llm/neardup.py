@@ -17,7 +17,8 @@ costs about as many comparisons as it has members, and as many again for each st
 
 Defined cases: null texts and texts without words have no shingles and link with nothing; a text of fewer than five
 words is one shingle; repeated rows are copies; a null id counts as larger than any other, and a component of null
-ids alone has a null id and is kept; an empty table gives no rows.
+ids alone has a null id and is kept; an empty table gives no rows. Texts of any length are shingled whole; other columns
+stay as they are.
 """
 
 from __future__ import annotations

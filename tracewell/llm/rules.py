@@ -6,7 +6,8 @@ rule covers yet. The list becomes ``when(rule 1, reject).when(rule 2, reject)...
 
 Defined cases: a null or empty text has no words and fails the base rule; without labels of both kinds no rule is
 learned and the base rule alone decides; null labels, and labels of ids that no document has, are not used; of a
-document labelled more than once the lowest label counts; repeated rows are judged one by one.
+document labelled more than once the lowest label counts; repeated rows are judged one by one. Texts of any length
+are read whole; other columns stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations

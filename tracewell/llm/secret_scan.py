@@ -14,7 +14,8 @@ count are allowed for), and what exceeds them above a cut is called wrongly. The
 least estimate: tokens whose p are spread like those of random ones cannot be told from them by any cut.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned one by one; an empty table gives no
-rows. Positions are code points, ends exclusive.
+rows. Positions are code points, ends exclusive. Texts of any length are scanned whole; spans of
+one start are ordered by kind; other columns are ignored.
 """
 
 from __future__ import annotations

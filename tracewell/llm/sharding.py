@@ -9,7 +9,7 @@ fill what room is left. So counts differ by one at most, and a group is cut only
 A group is never paired up: its members meet in counts per (group, shard), added up before they are shuffled.
 
 Defined cases: null texts have size 1 and no links; empty texts are equal texts; repeated rows are rows of their
-own; an empty table gives no rows.
+own; an empty table gives no rows. Texts of any length count with all their bytes; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ over that difference, per byte and per compressed byte, and the size itself.
 
 Defined cases: null and empty texts are scored as one empty block; without labels of both kinds every score is the
 share of good labels (0.5 without any); of a document labelled more than once the lowest label counts; null ids are
-scored, never learned from; repeated rows are scored one by one.
+scored, never learned from; repeated rows are scored one by one. Texts of any length are
+scored whole; other columns are never inputs; an empty table gives no rows.
 """
 
 from __future__ import annotations
