@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from check import comparable
-from tracewell.llm import curve_pack, prefix_trie, repair
+from tracewell.llm import curve_pack, decontaminate, prefix_trie, repair
 from tracewell.llm.common import Store
 from tracewell.llm.queries import ORACLES, QUERIES
 from tracewell.llm.runs import PRIME, runs
@@ -245,3 +245,17 @@ def test_pipeline_run(spark, data):
         slots[row["shard"]].append(row["slot"])
     assert max(sizes.values()) <= 2 and max(map(len, slots.values())) - min(len(slots.get(k, [])) for k in range(16)) <= 1
     assert all(sorted(found) == list(range(len(found))) for found in slots.values())
+
+
+def test_many_benchmark_blocks_keep_the_plan_small(spark, store):
+    """Fifty blocks mark what one block marks, with one Python stage in the last plan."""
+    draw = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(draw.choice(words) for _ in range(draw.choice([3, 9, 12])))) for i in range(60)]
+    docs = [(i, " ".join([*(draw.choice(words) for _ in range(20)), items[i % 60][1] if i % 2 else "none", *(draw.choice(words) for _ in range(5))])) for i in range(80)]
+    asked, held = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    whole = decontaminate.contamination(asked, held, store)
+    blocks = decontaminate.contamination(asked, held, Store(spark, "blocks"), block_words=9)
+    found = lambda frame: sorted((r.doc_id, r.found.n_words, r.found.n_hit, tuple(r.found["items"])) for r in frame.collect())
+    assert found(whole) == found(blocks) and sum(row[2] > 0 for row in found(whole)) >= 40
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

@@ -205,10 +205,21 @@ def _without(texts: pa.Array, masks: pa.Array) -> pa.Array:
 
 
 def contamination(docs: DataFrame, items: DataFrame, store: Store, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``found`` (n_words, n_hit, mask of hit words, ids of the items found in order)."""
+    """``docs`` with ``found`` (n_words, n_hit, mask of hit words, ids of the items found in order).
+
+    With more than one block the marks so far are stored before the next is scanned: a task holds one automaton at any
+    size of the benchmark, and the plan does not grow with the blocks. The step before is removed then.
+    """
     mask, names = F.lit(None).cast("binary"), F.array().cast("array<string>")
-    marked = None
+    marked = older = None
     for block in item_blocks(items, store, block_words):
+        if marked is not None:
+            path = store.path("marks")
+            marked.write.parquet(path)
+            marked = store.spark.read.schema(marked.schema).parquet(path)
+            if older:
+                store.delete(older)
+            older = path
         marked = (docs if marked is None else marked).withColumn("found", _scanner(block, window)("text", mask, names))
         mask, names = F.col("found.mask"), F.col("found.items")
     return marked if marked is not None else docs.withColumn("found", _scanner([], window)("text", mask, names))
