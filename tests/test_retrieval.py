@@ -122,7 +122,7 @@ def test_common_words_alone_are_asked_again(spark):
 
 def test_pairs_are_not_shuffled(spark, data):
     """Postings and words are dealt by part once; after the join only the best of every part move."""
-    hits = retrieval.retrieve_lexical(tables.questions(spark, data), tables.document_chunks(spark, data), parts=8)
+    hits = retrieval.retrieve_bm25(tables.questions(spark, data), tables.document_chunks(spark, data), parts=8)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "MapIn" not in plan
     before, after = plan.split("functions=[sum(", 1)[0], plan.split("functions=[sum(", 1)[1]

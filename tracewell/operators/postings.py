@@ -125,19 +125,26 @@ def search(
 
     ``terms`` has a row (query_id, top_k, word) per distinct word of a question. A word weighs
     ``rarity(items, items that hold it)``, 1 without it; a posting adds that times ``weigh(times, length)``, which
-    lies within ``bounds``; ``length`` is relative to the average.
+    lies within ``bounds``; ``length`` is relative to the average. Without ``rarity`` weights do not depend on ``length``.
     """
     parts = parts or parts_of(terms)
+    # Stored, so joins are planned by their true size: words that fit are sent to the postings, not shuffled with them.
+    terms = stored(terms.select("query_id", "top_k", "word"), "asked")
+    depth = terms.agg(F.max("top_k")).first()[0] or 1
+    if rarity is None and indexed.limit(common_items).count() < common_items:
+        # No word weighs more than another, and none can be common: nothing has to be counted first.
+        postings = asked_postings(indexed, terms).filter(F.col("word") != WHOLE).select(
+            "item_id", "insert_seq", "word", weigh(F.col("times"), F.lit(1.0)).cast("double").alias("value"))
+        return rank_hits(_scores(postings, terms.withColumn("weight", F.lit(1.0)), depth, parts), depth)
     postings = stored(asked_postings(indexed, terms), "postings")
     counted = stored(postings.groupBy("word").agg(F.count("*").alias("n_items"), F.sum("length").alias("n_words")), "counted")
     whole = counted.filter(F.col("word") == WHOLE).first()
     n_items = whole["n_items"] if whole else 0
     average = (whole["n_words"] / n_items if n_items else 0) or 1.0
-    depth = terms.agg(F.max("top_k")).first()[0] or 1
     postings = postings.filter(F.col("word") != WHOLE).select(
         "item_id", "insert_seq", "word", weigh(F.col("times"), F.col("length") / F.lit(average)).cast("double").alias("value"))
     often = counted.filter((F.col("word") != WHOLE) & (F.col("n_items") >= max(common_items, COMMON_SHARE * n_items)))
-    often = often.orderBy(F.desc("n_items"), "word").limit(COMMON_WORDS).select("word").collect()
+    often = often.orderBy(F.desc("n_items"), "word").limit(COMMON_WORDS).select("word").collect() if n_items >= common_items else []
     weight = rarity(F.lit(float(n_items)), F.col("n_items")) if rarity else F.lit(1.0)
     terms = terms.join(counted.select("word", "n_items"), "word").withColumn("weight", weight)
     if not often:
