@@ -326,6 +326,80 @@ def test_suffix_tree_base_scores_and_sum_to_one(spark, data, store):
         assert math.isclose(float((ratio * root).sum()) + weight * (1 - root.sum()), 1.0, rel_tol=1e-6)
 
 
+def _tree_scores(texts, trained, depth=4):
+    """Scores over the root's from plain dictionaries: every context of up to ``depth`` words, every next word seen twice."""
+    rows = [suffix_lm.tokens(text.encode()) for text in texts]
+    learned = [row for row, is_trained in zip(rows, trained) if is_trained]
+    times = [None] + [Counter(tuple(row[i:i + n]) for row in learned for i in range(len(row) - n + 1)) for n in range(1, depth + 2)]
+    size = sum(times[1].values()) + len(times[1]) + 1
+    listed, keep, parent = {}, {}, {gram: (n + 1) / size for gram, n in times[1].items()}
+    for length in range(1, depth + 1):
+        entries, now = {}, {}
+        for gram, n in times[length + 1].items():
+            if n >= 2 and gram[1:] in parent and (length == 1 or gram[1:-1] in keep):
+                entries.setdefault(gram[:-1], []).append((gram, n))
+        for context, found in entries.items():
+            held = times[length][context]
+            rest = max(1 - sum(n for _, n in found) / held, 0)
+            gain = sum(n * math.log(n / held / parent[gram[1:]]) for gram, n in found)
+            gain += held * rest * math.log(rest / (1 - min(sum(parent[gram[1:]] for gram, _ in found), 1 - 1e-12))) if rest > 0 else 0
+            if 2 * gain > len(found) + suffix_lm.DIVERGENCE * math.sqrt(2 * len(found)):
+                keep[context] = max(1 - sum(n - suffix_lm.DISCOUNT for _, n in found) / held, 1e-9)
+                now.update({gram: (n - suffix_lm.DISCOUNT) / held + keep[context] * parent[gram[1:]] for gram, n in found})
+        listed.update(now)
+        parent = now
+    scores = []
+    for row in rows:
+        total = 0.0
+        for i, word in enumerate(row):
+            p = (times[1][(word,)] + 1) / size
+            for length in range(1, min(depth, i) + 1):
+                context = tuple(row[i - length:i])
+                if context not in keep:
+                    break
+                p = listed.get((*context, word), keep[context] * p)
+            total += math.log10(p)
+        scores.append(total)
+    return scores, keep
+
+
+@pytest.mark.parametrize("share", [None, 0.01])
+def test_suffix_tree_against_plain_dictionaries(spark, store, monkeypatch, share):
+    """Rare contexts, rare next words and long contexts count, whether tasks know them or they are joined."""
+    if share:
+        monkeypatch.setattr(suffix_lm, "WORD_SHARE", share)
+        monkeypatch.setattr(suffix_lm, "CONTEXT_SHARE", share)
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)] + [f"rare{i}" for i in range(300)]
+    phrases = [[draw.choice(vocabulary) for _ in range(7)] for _ in range(6)]
+    rows = []
+    for i in range(300):
+        text = draw.choices(vocabulary, weights=[1 / (j + 1) for j in range(360)], k=draw.randint(0, 40)) + draw.choice(phrases) + draw.choices(vocabulary[:9], k=3)
+        rows.append((i, " ".join(text), "en", "a", 0))
+    for i in range(300, 500):
+        bits = [1, 0, 1, 1]
+        for _ in range(100):  # the next word depends on four before it
+            bits.append(int(draw.random() < 0.05 + 0.06 * sum(b * w for b, w in zip(bits[-4:], (3, 3, 4, 5)))))
+        rows.append((i, " ".join(f"b{bit}" for bit in bits), "en", "a", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    trained = [row[0] % 5 > 0 for row in rows]
+    model = suffix_lm.train(docs.filter("doc_id % 5 > 0"), store)
+    expected, keep = _tree_scores([row[1] for row in rows], trained)
+    assert any(len(context) == 4 for context in keep)
+    found = {r.doc_id: r.score for r in suffix_lm.score(docs, model, store).collect()}
+    assert all(math.isclose(found[row[0]], score, rel_tol=1e-9) for row, score in zip(rows, expected))
+
+
+def test_suffix_tree_keeps_contexts_of_any_share(spark, store):
+    """In 700,000 tokens, a phrase seen 60 times with always the same next word."""
+    draw = random.Random(3)
+    rows = [(i, " ".join(f"n{draw.randrange(3000)}" for _ in range(1000)) + (" alpha beta gamma delta" if i < 60 else ""), "en", "a", 0) for i in range(700)]
+    docs = spark.createDataFrame([*rows, (1000, "alpha beta gamma delta", "en", "a", 0)], DOCS)
+    model = suffix_lm.train(docs.filter("doc_id < 1000"), store)
+    row = suffix_lm.score(docs.filter("doc_id = 1000"), model, store).first()
+    assert row.score > row.base_score + 5
+
+
 def test_mix_targets_and_stage(spark, store):
     draw = random.Random(4)
     rows = [(i, words(draw, draw.randint(1, 40)), "en", draw.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(600)]

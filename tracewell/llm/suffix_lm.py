@@ -1,13 +1,16 @@
 """A probabilistic suffix tree over words: variable-length contexts, kept where the next word depends on them.
 
-A context is kept if it is frequent enough (a share of the training tokens, so the tree has a bounded number of
-states at any size) and if the distribution of its next words diverges from that of its suffix by a likelihood-ratio
-test. Next-word counts are discounted, and what the discount frees goes to the suffix's distribution, down to the
-root: add-one counts of all words. A token is scored in the state of the longest kept suffix of the words before it.
-
-Root counts cover every word. Frequent words, at most ``1 / WORD_SHARE`` of them, are known to every task; all
-others are joined: per document and rare word one row. As rare words only get their suffixes' weights, a document's
-score is its root score plus a difference that its own task computes.
+A context of up to ``DEPTH`` words is kept if its suffix is kept and the distribution of its next words diverges from
+that of its suffix by a likelihood-ratio test. Next words seen at least ``LEAST`` times after it are listed, at any
+size of the corpus; their counts are discounted. What the discount frees, and what is seen less often, goes to the
+suffix's distribution, down to the root: add-one counts of all words. A token is scored in the state of the longest
+kept suffix of the words before it.
+
+All counts, states and shares are stored tables, joined by numbers of word sequences ("grams": 64-bit hashes of the
+numbers of their first and last words but one). The score is a sum over a text's grams: a kept context adds the
+logarithm of its suffix's weight, a listed next word what its share lifts it by. Grams with a fixed share of the
+tokens, at most ``1 / share`` of them, are known to every task; all others are joined, as are rare words: per document
+and gram one row. Bit filters of fixed size spare rows of grams that no table holds; joins decide.
 
 Defined cases: null and empty texts are the end token alone; a null id belongs to the training part; repeated rows
 train and are scored one by one; an empty table gives no rows; without training tokens every token is unknown. Texts
@@ -16,13 +19,15 @@ of any length are scored whole; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import Store, byte_texts, doc_remainder, prepared, read
@@ -30,13 +35,13 @@ from tracewell.llm.common import Store, byte_texts, doc_remainder, prepared, rea
 HELD_OUT = (7, 2)  # divisor and remainder of the crc32 of the id
 END = "\n"  # the end token: no word holds white space
 WORD_SHARE = 2e-6  # share of the tokens from which a word is known to every task
-CONTEXT_SHARE = 1e-4  # share of the tokens from which a context may be kept: at most 10,000 of each length
-NEXT_SHARE = 1e-6  # share of the tokens from which a context's next word is listed: at most a million
-NEXT_WORD_SHARE = 1e-5  # and the share such a word needs itself
-DEPTH = 2
+CONTEXT_SHARE = 1e-4  # share of the tokens from which a context of one word is known to every task
+DEPTH = 4
+LEAST = 2  # times a word must follow a context to be listed there
+FILTER_BITS = 27
 DISCOUNT = 0.75
 DIVERGENCE = 3.0  # a context's log-likelihood gain must exceed its next words by so many standard deviations
-FLUSH_WORDS, FLUSH_PAIRS = 300_000, 2_000_000
+FLUSH_WORDS, FLUSH_PAIRS = 300_000, 4_000_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -127,119 +132,210 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, keys[place] == wanted
 
 
-def next_counts(docs: DataFrame, encoder, tree: Tree, contexts: np.ndarray, depth: int, last_word: int) -> DataFrame:
-    """``(context, next, n)`` for the given contexts of ``depth`` words and next words up to ``last_word``."""
-    base = tree.base
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """Numbers of words that are not known to tasks; those of others are their places."""
+    return np.array([int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True) for word in words], np.int64)
+
+
+def _coded(flat: np.ndarray, words: Iterator[bytes]) -> np.ndarray:
+    """Numbers of all tokens: ``flat`` with hashes in place of -1."""
+    codes, unknown = flat.copy(), flat < 0
+    codes[unknown] = word_codes([word for word, rare in zip(words, unknown.tolist()) if rare])
+    return codes
+
+
+def joined_key(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Number of a gram from those of itself without its last and without its first word."""
+    mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (last.astype(np.uint64) + np.uint64(0x7F4A7C15F39CC060))
+    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ mixed >> np.uint64(29)).astype(np.int64)
+
+
+def grams(codes: np.ndarray, lengths: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For 2 to ``most`` words: where a gram ends, and the numbers of it without its last and without its first word."""
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    keys = codes
+    for words in range(2, most + 1):
+        first = np.concatenate([keys[:1], keys[:-1]])
+        yield np.flatnonzero(place >= words - 1), first, keys
+        keys = joined_key(first, keys)
+
+
+def bit_filter(keys: DataFrame):
+    """A bit per low bits of a key: what is not set is not in the table. As large for any table."""
+    bit = F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)
+    rows = keys.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast((key & {(1 << FILTER_BITS) - 1}) & 63 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (bits[(keys & (1 << FILTER_BITS) - 1) >> 6] >> (keys & 63) & 1).astype(bool)
+
+
+def gram_counts(coded: DataFrame, words: int, filters: tuple | None) -> DataFrame:
+    """``(first, last, n)`` of grams of ``words`` words seen at least ``LEAST`` times; ``filters`` for either part."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Encoder(encoder.value)
         waiting, held = [], 0
 
         def out() -> pa.RecordBatch:
-            pairs, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs // base), pa.array(pairs % base), pa.array(counts.astype(np.int64))],
-                                              names=["context", "next", "n"])
+            first, last = (np.concatenate(part) for part in zip(*waiting))
+            order = np.argsort(joined_key(first, last))
+            first, last = first[order], last[order]
+            starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(first[starts]), pa.array(last[starts]), pa.array(np.diff(np.append(starts, len(first))).astype(np.int64))], names=["first", "last", "n"])
 
         for batch in batches:
-            _, flat, lengths = words.batch(byte_texts(batch.column(0)))
-            code = tree.codes(flat, lengths, depth)
-            _, known = _find(contexts, code)
-            good = known & (flat >= 0) & (flat <= last_word)
-            waiting.append(code[good] * base + flat[good])
-            held += int(good.sum())
+            codes = batch.column(0)
+            lengths = np.diff(codes.offsets.to_numpy()).astype(np.int64)
+            *_, (at, first, last) = grams(codes.flatten().to_numpy(zero_copy_only=False), lengths, words)
+            first, last = first[at], last[at]
+            if filters:
+                good = _may_hold(filters[0].value, first) & _may_hold(filters[1].value, last)
+                first, last = first[good], last[good]
+            waiting.append((first, last))
+            held += len(first)
             if held > FLUSH_PAIRS:
                 yield out()
                 waiting, held = [], 0
         if held:
             yield out()
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "context bigint, next bigint, n bigint")
-    return rows.groupBy("context", "next").agg(F.sum("n").alias("n"))
+    rows = coded.mapInArrow(count, "first bigint, last bigint, n bigint")
+    return rows.groupBy("first", "last").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+
+
+def _with_key(counted: DataFrame) -> DataFrame:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last = (batch.column(i).to_numpy() for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(joined_key(first, last))], names=["first", "last", "n", "key"])
+
+    return counted.mapInArrow(keys, "first bigint, last bigint, n bigint, key bigint")
+
+
+def coded_docs(docs: DataFrame, encoder) -> DataFrame:
+    """``codes`` of every text's tokens."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Encoder(encoder.value)
+        for batch in batches:
+            split, flat, lengths = words.batch(byte_texts(batch.column(0)))
+            codes = _coded(flat, (word for row in split for word in row))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(codes))], names=["codes"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(code, "codes array<bigint>")
+
+
+def coded_words(words: DataFrame, encoder) -> DataFrame:
+    """``(key, n)`` of the words of a table ``(word, n)``."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = Encoder(encoder.value).ids.get
+        for batch in batches:
+            names = byte_texts(batch.column(0))
+            flat = np.array([get(name, -1) for name in names], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_coded(flat, iter(names))), batch.column(1)], names=["key", "n"])
+
+    return words.mapInArrow(code, "key bigint, n bigint")
 
 
 class Model:
-    def __init__(self, words: DataFrame, total: int, distinct: int, encoder, counts: np.ndarray, tree: Tree) -> None:
+    """``values``: what a gram outside ``tree`` adds to a score; ``common``: those known to every task."""
+
+    def __init__(self, words: DataFrame, total: int, distinct: int, encoder, counts: np.ndarray, tree: Tree, values: DataFrame,
+                 common: tuple[np.ndarray, np.ndarray], longest: int) -> None:
         self.words, self.total, self.distinct = words, total, distinct
         self.encoder, self.counts, self.tree = encoder, counts, tree
+        self.values, self.common, self.longest = values, common, longest
 
 
 def train(docs: DataFrame, store: Store, depth: int = DEPTH) -> Model:
-    """Counts over all of ``docs``, then one pass per context length."""
+    """Counts over all of ``docs``, then one pass over their numbers per context length."""
     spark = store.spark
     words = store.save(word_counts(docs), "words")
     size = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = size["total"] or 0, size["distinct"]
     # No more words than 1 / WORD_SHARE can have this share: what reaches driver and tasks is bounded.
-    head = words.filter(F.col("n") >= max(2, math.ceil(total * WORD_SHARE))).orderBy(F.desc("n"), "word").toArrow()
+    often = max(2, math.ceil(total * WORD_SHARE))
+    head = words.filter(F.col("n") >= often).orderBy(F.desc("n"), "word").toArrow()
     counts = np.asarray(head.column("n").to_numpy(), np.int64)
     names = byte_texts(head.column("word").combine_chunks()) if len(counts) else []
     # Plain values travel, tasks build the objects: a worker that has no copy of this package can read them.
     encoder = spark.sparkContext.broadcast(names)
     tree = Tree(max(1, len(counts)))
-    contexts, context_counts = np.flatnonzero(counts >= max(2, total * CONTEXT_SHARE)), counts
-    contexts = contexts[[names[i] != END.encode() for i in contexts]] if len(contexts) else contexts
-    sums = dict(zip(contexts.tolist(), context_counts[contexts].tolist()))
-    last_word = int((counts >= max(2, total * NEXT_WORD_SHARE)).sum()) - 1
+    wide = max(2, total * CONTEXT_SHARE)
+    path = store.path("coded")
+    coded_docs(docs, encoder).write.parquet(path)
+    coded = spark.read.schema("codes array<bigint>").parquet(path)
+    # Grams of the length before: how often they are seen and, where their last word is listed, its probability.
+    known = store.save(coded_words(words.filter(F.col("n") >= LEAST), encoder).withColumn("p", (F.col("n") + 1) / F.lit(total + distinct + 1.0)), "known")
+    values, filters, longest = [], None, 1
     for length in range(1, depth + 1):
-        if not len(contexts):
+        entries = store.save(_level(_with_key(gram_counts(coded, length + 1, filters)), known), "entries")
+        listed = entries.filter(F.col("keep").isNotNull())
+        states = store.save(listed.groupBy("first").agg(F.first("held").alias("held"), F.first("keep").alias("keep")), "states")
+        if states.isEmpty():
             break
-        found = next_counts(docs, encoder, tree, contexts, length, last_word)
-        # At most 1 / NEXT_SHARE rows can have this share.
-        listed = found.filter(F.col("n") >= max(2, math.ceil(total * NEXT_SHARE))).orderBy("context", "next").toArrow()
-        level, kept = _level(tree, listed, sums, counts, total, distinct, length)
-        tree.levels.append(level)
-        # Longer contexts: frequent enough, and their suffix is kept.
-        code, following, n = (listed.column(c).to_numpy() for c in ("context", "next", "n"))
-        frequent = n >= max(2, total * CONTEXT_SHARE)
-        _, suffix_kept = _find(level["codes"], code % tree.base ** (length - 1) * tree.base + following)
-        last = np.array([names[i] != END.encode() for i in following], bool) if len(following) else frequent
-        chosen = frequent & suffix_kept & last
-        contexts = code[chosen] * tree.base + following[chosen]
-        sums = dict(zip(contexts.tolist(), n[chosen].tolist()))
-        contexts = np.sort(contexts)
-        if tree.base ** (length + 2) > 2 ** 62:
-            break  # numbers of longer contexts would not fit
-    return Model(words, total, distinct, encoder, counts, tree)
-
-
-def _level(tree: Tree, listed, sums: dict[int, int], counts: np.ndarray, total: int, distinct: int, length: int):
-    """Contexts that pass the divergence test, with discounted shares of their next words."""
-    code, following, n = (listed.column(c).to_numpy() for c in ("context", "next", "n"))
-    root = (counts[following] + 1) / (total + distinct + 1) if len(following) else np.zeros(0)
-    # The suffix's distribution of the same next word: the context's later words stand before it.
-    suffix = code % tree.base ** (length - 1)
-    digits = [suffix // tree.base ** k % tree.base for k in range(length - 2, -1, -1)]
-    rows = np.stack([*digits, following], axis=1).reshape(-1) if len(code) else np.zeros(0, np.int64)
-    lengths = np.full(len(code), length, np.int64)
-    flat_root = np.repeat(root, length)
-    parent = tree.ratio(rows, lengths, flat_root)[length - 1::length] * root if len(code) else root
-    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-    codes = code[starts]
-    held = np.array([sums[c] for c in codes.tolist()], float)
-    spread = np.diff(np.concatenate([starts, [len(code)]]))
-    per_entry = np.repeat(held, spread)
-    gain = np.add.reduceat(n * np.log(n / per_entry / parent), starts) if len(code) else np.zeros(0)
+        longest = length + 1
+        # The frequent part of the first level is a tree of bounded size.
+        top = F.lit(length == 1) & (F.col("held") >= wide)
+        if length == 1:
+            tree.levels.append(_head_level(tree, states.filter(top), listed.filter(top & (F.col("n") >= often))))
+        values.append(states.filter(~top).select(F.col("first").alias("key"), F.col("held").alias("n"), F.log10("keep").alias("value")))
+        values.append(listed.filter(~(top & (F.col("n") >= often))).select("key", "n", F.col("lift").alias("value")))
+        if length < depth:
+            known = entries.select("key", "n", "p")
+            filters = (bit_filter(known), bit_filter(known.filter(F.col("p").isNotNull())))
+    store.delete(path)
+    added = spark.createDataFrame([], "key bigint, n bigint, value double")
+    for part in values:
+        added = added.unionByName(part)
+    # Of each length, at most 1 / WORD_SHARE grams can have this share.
+    frequent = added.filter(F.col("n") >= often).groupBy("key").agg(F.sum("value").alias("value")).orderBy("key").toArrow()
+    common = tuple(frequent.column(name).to_numpy() for name in ("key", "value"))
+    return Model(words, total, distinct, encoder, counts, tree, added.filter(F.col("n") < often), common, longest)
+
+
+def _level(counted: DataFrame, known: DataFrame) -> DataFrame:
+    """``(first, last, held, key, n, p, lift, keep, share)`` of all grams of this length; ``p`` (a listed word's
+    probability), ``lift`` and ``keep`` where the context passes the divergence test."""
+    held = known.select(F.col("key").alias("first"), F.col("n").alias("held"))
+    parent = known.filter(F.col("p").isNotNull()).select(F.col("key").alias("last"), F.col("p").alias("parent"))
+    rows = counted.join(parent, "last", "left").join(held, "first").withColumn("share", (F.col("n") - DISCOUNT) / F.col("held"))
+    context = Window.partitionBy("first")
+    sums = {"gain": F.sum(F.col("n") * F.log(F.col("n") / F.col("held") / F.col("parent"))), "spread": F.count("*"), "listed": F.sum("n"),
+            "before": F.sum("parent"), "used": F.sum("share")}
+    rows = rows.select("*", *[total.over(context).alias(name) for name, total in sums.items()])
     # What is not listed is one more outcome.
-    listed_share = np.add.reduceat(n, starts) / held if len(code) else np.zeros(0)
-    parent_share = np.minimum(np.add.reduceat(parent, starts), 1 - 1e-12) if len(code) else np.zeros(0)
-    rest = np.clip(1 - listed_share, 0, None)
-    gain += held * np.where(rest > 0, rest * np.log(np.where(rest > 0, rest, 1) / (1 - parent_share)), 0)
-    kept = 2 * gain > spread + DIVERGENCE * np.sqrt(2 * spread)
-    inside = np.repeat(kept, spread)
-    share = (n - DISCOUNT) / per_entry
-    freed = 1 - (np.add.reduceat(share, starts) if len(code) else np.zeros(0))
-    return {"codes": codes[kept], "keep": np.clip(freed[kept], 1e-9, None), "entries": (code * tree.base + following)[inside],
-            "share": share[inside]}, kept
+    rest, before = F.greatest(1 - F.col("listed") / F.col("held"), F.lit(0.0)), F.least(F.col("before"), F.lit(1 - 1e-12))
+    gain = F.col("gain") + F.when(rest > 0, F.col("held") * rest * F.log(rest / (1 - before))).otherwise(0.0)
+    kept = F.col("before").isNotNull() & (2 * gain > F.col("spread") + DIVERGENCE * F.sqrt(2 * F.col("spread")))
+    below = F.col("keep") * F.col("parent")
+    return rows.withColumn("keep", F.when(kept, F.greatest(1 - F.col("used"), F.lit(1e-9)))).withColumn("p", F.col("share") + below).select(
+        "first", "last", "held", "key", "n", "p", F.log10(F.col("p") / below).alias("lift"), "keep", "share")
+
+
+def _head_level(tree: Tree, states: DataFrame, entries: DataFrame) -> dict[str, np.ndarray]:
+    states, entries = states.orderBy("first").toArrow(), entries.orderBy("first", "last").toArrow()
+    code, following, share = (entries.column(name).to_numpy() for name in ("first", "last", "share"))
+    return {"codes": states.column("first").to_numpy(), "keep": states.column("keep").to_numpy(), "entries": code * tree.base + following, "share": share}
 
 
 def score(docs: DataFrame, model: Model, store: Store) -> DataFrame:
     """``(row, doc_id, n_tokens, n_known, base_score, score)`` per row of ``docs``."""
     encoder, counts = model.encoder, store.spark.sparkContext.broadcast(model.counts)
     tree = store.spark.sparkContext.broadcast((model.tree.base, model.tree.levels))
+    common, stored, longest = store.spark.sparkContext.broadcast(model.common), bit_filter(model.values), model.longest
     scale = math.log10(model.total + model.distinct + 1)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, kept = Encoder(encoder.value), counts.value, Tree(*tree.value)
+        (frequent, value), bits = common.value, stored.value
         for batch in batches:
             split, flat, lengths = words.batch(byte_texts(batch.column(1)))
             known = flat >= 0
@@ -247,7 +343,13 @@ def score(docs: DataFrame, model: Model, store: Store) -> DataFrame:
             root = (number + 1) / 10 ** scale
             ends = np.cumsum(lengths) - lengths
             base = np.add.reduceat(np.where(known, np.log10(number + 1), 0.0), ends)
-            more = np.add.reduceat(np.log10(kept.ratio(flat, lengths, root)), ends)
+            more = np.log10(kept.ratio(flat, lengths, root))
+            codes = _coded(flat, (word for row in split for word in row))
+            row_of, asked = np.repeat(np.arange(len(lengths)), lengths), []
+            for at, keys in _all_grams(codes, lengths, longest):
+                place, found = _find(frequent, keys)
+                more[at[found]] += value[place[found]]
+                asked.append((row_of[at], keys, ~found & _may_hold(bits, keys)))
             sure = np.add.reduceat(known.astype(np.int64), ends)
             rare, place = [], 0
             for row in split:
@@ -256,32 +358,61 @@ def score(docs: DataFrame, model: Model, store: Store) -> DataFrame:
                 place += len(row)
             listed = pa.array([None if r is None else [{"word": w, "times": t} for w, t in r] for r in rare],
                               pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
+            rows, keys = (np.concatenate([part[i][part[2]] for part in asked]) for i in (0, 1))
+            keys = keys[np.argsort(rows, kind="stable")]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(lengths)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths), pa.array(sure), pa.array(base), pa.array(more), listed],
-                names=["doc_id", "n_tokens", "sure", "base", "more", "rare"])
+                [batch.column(0), pa.array(lengths), pa.array(sure), pa.array(base), pa.array(np.add.reduceat(more, ends)), listed,
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))],
+                names=["doc_id", "n_tokens", "sure", "base", "more", "rare", "grams"])
 
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    schema = "doc_id bigint, n_tokens bigint, sure bigint, base double, more double, rare array<struct<word:binary,times:bigint>>"
+    schema = ("doc_id bigint, n_tokens bigint, sure bigint, base double, more double, rare array<struct<word:binary,times:bigint>>, "
+              "grams array<bigint>")
     found = store.save(texts.mapInArrow(local, schema).withColumn("row", F.monotonically_increasing_id()), "local")
-    # Rare words have fewer tokens than a task's share, so no key of this join is hot.
+    # Rare words and grams have fewer tokens than a task's share, so no key of these joins is hot.
     asked = found.select("row", F.explode("rare").alias("entry")).select("row", F.col("entry.word").cast("string").alias("word"), "entry.times")
     scored = asked.join(model.words, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("rare_base"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    joined = found.drop("rare").join(store.save(scored, "rare"), "row", "left")
+    lifted = found.select("row", F.explode("grams").alias("key")).join(model.values.select("key", "value"), "key")
+    lifted = lifted.groupBy("row").agg(F.sum("value").alias("lifted"))
+    joined = found.drop("rare", "grams").join(store.save(scored, "rare"), "row", "left").join(store.save(lifted, "lifted"), "row", "left")
     base: Column = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)
+    more = F.col("more") + F.coalesce("lifted", F.lit(0.0))
     return joined.select("row", "doc_id", "n_tokens", (F.col("sure") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-                         base.alias("base_score"), (base + F.col("more")).alias("score"))
+                         base.alias("base_score"), (base + more).alias("score"))
+
+
+def _all_grams(codes: np.ndarray, lengths: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where grams of 1 to ``most`` words end, and their numbers."""
+    yield np.arange(len(codes)), codes
+    for at, first, last in grams(codes, lengths, most):
+        yield at, joined_key(first[at], last[at])
 
 
 def held_out(doc_id: Column, rule: tuple[int, int] = HELD_OUT) -> Column:
     return F.coalesce(doc_remainder(doc_id, rule[0]) == rule[1], F.lit(False))
 
 
+@contextlib.contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a step go when it is stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     spark = prepared(spark)
     docs, store = read(spark, sf_dir, "documents").select("doc_id", "text"), Store(spark, "suffixes")
-    model = train(docs.filter(~held_out(F.col("doc_id"))), store)
-    return score(docs, model, store).select(
+    with short_shuffles(spark):
+        model = train(docs.filter(~held_out(F.col("doc_id"))), store)
+        scored = score(docs, model, store)
+    return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score")
