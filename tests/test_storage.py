@@ -127,6 +127,21 @@ def test_chunk_index(spark, tmp_path, monkeypatch):
     assert done and found(index, spark, "violet", 9) == [("b", 1), ("a", 1), ("d", 1)]
 
 
+def test_chunk_index_reads_a_batch_once(spark, tmp_path):
+    """Texts of a batch are made, dealt and split once, not again for a join of words and texts."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = chunks(spark, *[(str(i % 20), i, f"violet marker {i}") for i in range(30)])
+    index = segments.ChunkIndex(spark, str(tmp_path))
+    assert index.add("one", rows.mapInArrow(count, rows.schema)) and made.value == 30
+    assert index.chunks().count() == 20 and found(index, spark, "29 violet", 1) == [("9", 2)]
+
+
 def test_chunk_index_equals_fresh_search(spark, tmp_path):
     texts = [f"word{i % 7} word{i % 11} common text {i}" for i in range(120)]
     index = segments.ChunkIndex(spark, str(tmp_path))

@@ -50,15 +50,18 @@ def parts_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def asked_postings(indexed: DataFrame, terms: DataFrame) -> DataFrame:
+def asked_postings(indexed: DataFrame, terms: DataFrame, live: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(item_id, insert_seq, word, times, length)`` of the words asked for, and one row of the word ``WHOLE`` per item.
 
-    ``indexed`` has item_id, insert_seq, length and counts (:func:`word_counts`).
+    ``indexed`` has item_id, insert_seq, length and counts (:func:`word_counts`). ``live`` leaves out rows of items
+    that do not count; it sees further columns of ``indexed`` as well.
     """
     whole = F.array(F.struct(F.lit(WHOLE).alias("word"), F.lit(1).alias("times")))
-    rows = indexed.select("item_id", "insert_seq", "length", F.inline(F.concat(whole, "counts")))
+    more = [name for name in indexed.columns if name not in ("item_id", "insert_seq", "length", "counts")]
+    rows = indexed.select("item_id", "insert_seq", "length", *more, F.inline(F.concat(whole, "counts")))
     asked = terms.select("word").union(terms.sparkSession.createDataFrame([(WHOLE,)], "word string")).distinct()
-    return rows.join(asked, "word", "left_semi")
+    found = rows.join(asked, "word", "left_semi")
+    return (live(found) if live else found).drop(*more)
 
 
 def _in_parts(df: DataFrame, parts: int, part: Column) -> DataFrame:
@@ -119,7 +122,7 @@ def _best(pairs: DataFrame, depth: int) -> DataFrame:
 
 def search(
     indexed: DataFrame, terms: DataFrame, weigh: Weigh, bounds: tuple[float, float], rarity: Callable[[Column, Column], Column] | None = None,
-    parts: int | None = None, common_items: int = COMMON_ITEMS,
+    parts: int | None = None, common_items: int = COMMON_ITEMS, live: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``(query_id, item_id, insert_seq, score, index)``: the best ``top_k`` items of every question.
 
@@ -133,10 +136,10 @@ def search(
     depth = terms.agg(F.max("top_k")).first()[0] or 1
     if rarity is None and indexed.limit(common_items).count() < common_items:
         # No word weighs more than another, and none can be common: nothing has to be counted first.
-        postings = asked_postings(indexed, terms).filter(F.col("word") != WHOLE).select(
+        postings = asked_postings(indexed, terms, live).filter(F.col("word") != WHOLE).select(
             "item_id", "insert_seq", "word", weigh(F.col("times"), F.lit(1.0)).cast("double").alias("value"))
         return rank_hits(_scores(postings, terms.withColumn("weight", F.lit(1.0)), depth, parts), depth)
-    postings = stored(asked_postings(indexed, terms), "postings")
+    postings = stored(asked_postings(indexed, terms, live), "postings")
     counted = stored(postings.groupBy("word").agg(F.count("*").alias("n_items"), F.sum("length").alias("n_words")), "counted")
     whole = counted.filter(F.col("word") == WHOLE).first()
     n_items = whole["n_items"] if whole else 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -45,17 +46,18 @@ def _hits(found: DataFrame, strategy: str) -> DataFrame:
     return found.withColumn("backend", F.lit(BACKENDS[strategy])).withColumnRenamed("item_id", "chunk_id")
 
 
-def index_words(chunks: DataFrame, times: bool = True) -> DataFrame:
+def index_words(chunks: DataFrame, times: bool = True, kept: tuple[str, ...] = ()) -> DataFrame:
     """``(item_id, insert_seq, length, counts)``, the form all word searches read: words with their times in the text.
 
     Searches accept it in place of chunks: store it once to search it often. Without ``times`` each word counts once.
+    ``kept`` names further columns of ``chunks`` to pass on.
     """
     if "counts" in chunks.columns:
         return chunks
     words = text.words(text.casefold(F.col("text")))
     once = F.transform(F.array_distinct("words"), lambda word: F.struct(word.alias("word"), F.lit(1).alias("times")))
-    return chunks.select(F.col("chunk_id").alias("item_id"), "insert_seq", words.alias("words")).select(
-        "item_id", "insert_seq", F.size("words").alias("length"), (word_counts(F.col("words")) if times else once).alias("counts"))
+    return chunks.select(F.col("chunk_id").alias("item_id"), "insert_seq", *kept, words.alias("words")).select(
+        "item_id", "insert_seq", *kept, F.size("words").alias("length"), (word_counts(F.col("words")) if times else once).alias("counts"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", "top_k", F.explode(text.word_tokens(F.col("question"))).alias("word"))
 
 
-def retrieve_lexical(questions: DataFrame, chunks: DataFrame, **limits: int) -> DataFrame:
+def retrieve_lexical(questions: DataFrame, chunks: DataFrame, **limits: Any) -> DataFrame:
     """Top-k chunks per question by number of distinct shared words.
 
     ``questions(query_id, question, top_k)``, ``chunks(chunk_id, insert_seq, text)`` ->
@@ -74,7 +76,7 @@ def retrieve_lexical(questions: DataFrame, chunks: DataFrame, **limits: int) ->
 
 
 def retrieve_bm25(
-    questions: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, **limits: int
+    questions: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, **limits: Any
 ) -> DataFrame:
     """Top-k chunks per question by BM25 over the same words; any shared word makes a hit."""
 

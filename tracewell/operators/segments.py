@@ -67,13 +67,11 @@ class ChunkIndex:
     def add(self, batch: str, chunks: DataFrame) -> bool:
         """Add ``chunks(chunk_id, insert_seq, text)``; of equal ids in a batch the last counts. False: batch known."""
         last = chunks.groupBy(F.col("chunk_id").cast("string").alias("chunk_id")).agg(F.max_by(F.struct("insert_seq", "text"), "insert_seq").alias("last"))
-        words = index_words(last.select("chunk_id", "last.insert_seq", "last.text"))
-        texts = last.select("chunk_id", F.col("last.text").alias("text"))
+        rows = index_words(last.select("chunk_id", "last.insert_seq", "last.text"), kept=("text",)).withColumnRenamed("item_id", "chunk_id")
 
         def change(state: dict, number: int) -> dict:
-            rows = words.withColumnRenamed("item_id", "chunk_id").join(texts, "chunk_id")
             segment = self._write(rows.select("chunk_id", F.col("insert_seq").alias("place"), "text", "length", "counts", F.lit(number).cast("long").alias("born")), "segment")
-            return {"segments": [*state["segments"], segment], "marks": [*state["marks"], *self._ended(state, texts, number)]}
+            return {"segments": [*state["segments"], segment], "marks": [*state["marks"], *self._ended(state, last, number)]}
 
         return self._commit(batch, change)
 
@@ -103,8 +101,22 @@ class ChunkIndex:
         return self._live(state["segments"], state["marks"]).select("chunk_id", place.alias("insert_seq"), "text", "length", "counts")
 
     def query(self, retrieve: Callable[..., DataFrame], questions: DataFrame, **limits: int) -> DataFrame:
-        """Hits of a word search over the stored words; no text is split again."""
-        return retrieve(questions, self.chunks().select(F.col("chunk_id").alias("item_id"), "insert_seq", "length", "counts"), **limits)
+        """Hits of a word search over the stored words; no text is split again.
+
+        Ended versions are left out of the postings of the words asked for: whole word lists are not shuffled for that.
+        """
+        state = self.state()
+        rows = self._rows(state["segments"], CHUNK)
+        place = F.shiftleft(F.col("born"), PLACE_BITS) + F.col("place")
+        indexed = rows.select(F.col("chunk_id").alias("item_id"), place.alias("insert_seq"), "length", "counts", "born")
+        if not state["marks"]:
+            return retrieve(questions, indexed.drop("born"), **limits)
+        ended = self._rows(state["marks"], MARK).groupBy(F.col("chunk_id").alias("item_id")).agg(F.max("ended").alias("ended"))
+
+        def live(found: DataFrame) -> DataFrame:
+            return found.join(ended, (found["item_id"] == ended["item_id"]) & (found["born"] < ended["ended"]), "left_anti")
+
+        return retrieve(questions, indexed, live=live, **limits)
 
     def merge(self, small_rows: int = SMALL_ROWS) -> bool:
         """Write the live chunks of all segments of at most ``small_rows`` as one; False if there is nothing to merge."""
