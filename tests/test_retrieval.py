@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests import plain
-from tracewell.operators import index, retrieval
+from tracewell.operators import blocks, index, retrieval
 from tracewell.sources import tables
 
 SMALL = {"query_rows": 3, "query_block": 40, "item_block": 2000}  # forces many query and item blocks
@@ -128,3 +129,28 @@ def test_pairs_are_not_shuffled(spark, data):
     before, after = plan.split("functions=[sum(", 1)[0], plan.split("functions=[sum(", 1)[1]
     assert before.count("Exchange hashpartitioning(query_id") == 1 and "WindowGroupLimit" in before
     assert after.count("REPARTITION_BY_NUM") == 2
+
+
+@pytest.mark.parametrize("max_distance", [1.0, None])
+def test_vector_scan_scores_few_pairs_and_finds_all(max_distance):
+    """After the first items only pairs that may still count are scored; results are those of all pairs."""
+    draw = np.random.default_rng(5)
+    have = draw.normal(size=(3000, 32))
+    have[:1500] /= np.linalg.norm(have[:1500], axis=1)[:, None]
+    have[2000:2040] = have[7]  # ties
+    have[2100] = 1e20
+    table = pa.table({"item_id": np.arange(3000), "insert_seq": draw.permutation(3000), "vector": have.tolist()})
+    asked = pa.table({"query_id": np.arange(200), "top_k": np.full(200, 4), "vector": have[:200].tolist()})
+    leaders, scorer, scored = blocks._Leaders(4), retrieval.distance_scores(max_distance)(asked), []
+
+    def watched(items, floors):
+        scored.append(scorer(items, floors))
+        return scored[-1]
+
+    for start in range(0, 3000, 300):
+        blocks._scan(table.slice(start, 300), watched, leaders, 200)
+    exact = np.round(1 - np.round(((have[:, None] - have[None, :200]) ** 2).sum(axis=2), 6), 6)
+    order = np.lexsort((np.broadcast_to(table["insert_seq"].to_numpy()[:, None], exact.shape), -exact), axis=0)[:4]
+    expected = {(q, int(i)) for q in range(200) for i in order[:, q] if max_distance is None or 1 - exact[i, q] < max_distance}
+    assert {(int(q), i) for q, i in zip(leaders.query, leaders.items.to_pylist())} == expected
+    assert sum(isinstance(found, tuple) for found in scored) >= 5

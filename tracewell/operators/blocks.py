@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A prepared query block: scores a table of items as a matrix (items x queries); -inf marks "no hit".
-Scorer = Callable[[pa.Table], np.ndarray]
+# A prepared query block: scores a table of items as a matrix (items x queries); -inf marks "no hit". It is told the
+# score below which a hit no longer counts for each query, and where few pairs reach theirs it returns these alone:
+# their items, queries and scores.
+Scored = np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]
+Scorer = Callable[[pa.Table, np.ndarray], Scored]
 NO_HIT = -np.inf
 QUERY_ROWS = 4096
 QUERY_WEIGHT = 1_000_000
@@ -45,18 +48,32 @@ class _Leaders:
         self.score = np.empty(0, np.float64)
         self.items: pa.Array | None = None
 
-    def offer(self, items: pa.Table, scores: np.ndarray) -> None:
+    def floors(self, queries: int) -> np.ndarray:
+        """Score of every query's last place; -inf while places are free."""
+        floors = np.full(queries, NO_HIT)
+        ends = np.cumsum(np.bincount(self.query, minlength=queries))
+        full = np.flatnonzero(np.diff(ends, prepend=0) >= self.depth)
+        floors[full] = self.score[ends[full] - 1]
+        return floors
+
+    def offer(self, items: pa.Table, scores: Scored) -> None:
         seqs = items.column("insert_seq").to_numpy()
-        found = scores > NO_HIT
-        if len(scores) > self.depth:
-            found &= scores >= np.partition(scores, -self.depth, axis=0)[-self.depth]
-        rows, queries = np.nonzero(found)
-        keep = _best(queries, seqs[rows], scores[rows, queries], self.depth)
-        rows, queries = rows[keep], queries[keep]
+        if isinstance(scores, tuple):
+            rows, queries, values = scores
+        else:
+            found = scores > NO_HIT
+            if len(scores) > self.depth:
+                found &= scores >= np.partition(scores, -self.depth, axis=0)[-self.depth]
+            rows, queries = np.nonzero(found)
+            values = scores[rows, queries]
+        if not len(rows) and self.items is not None:
+            return
+        keep = _best(queries, seqs[rows], values, self.depth)
+        rows, queries, values = rows[keep], queries[keep], values[keep]
         ids = items.column("item_id").combine_chunks().take(pa.array(rows))
         query = np.concatenate([self.query, queries])
         seq = np.concatenate([self.seq, seqs[rows]])
-        score = np.concatenate([self.score, scores[rows, queries]])
+        score = np.concatenate([self.score, values])
         ids = ids if self.items is None else pa.concat_arrays([self.items, ids])
         keep = _best(query, seq, score, self.depth)
         self.query, self.seq, self.score = query[keep], seq[keep], score[keep]
@@ -77,7 +94,7 @@ def _scan(items: pa.Table, scorer: Scorer, leaders: _Leaders, queries: int) -> N
     rows = max(1, MATRIX_CELLS // max(1, queries))
     for start in range(0, items.num_rows, rows):
         part = items.slice(start, rows).combine_chunks()
-        leaders.offer(part, scorer(part))
+        leaders.offer(part, scorer(part, leaders.floors(queries)))
 
 
 def best_items(

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
-from tracewell.operators.blocks import NO_HIT, Scorer, best_items
+from tracewell.operators.blocks import NO_HIT, Scored, Scorer, best_items
 from tracewell.operators.postings import SCORE_DIGITS, search, word_counts
 from tracewell.session import stored
 
 BACKENDS = {"lexical": "memory", "bm25": "opensearch", "vector": "chroma"}  # Fixed values: names in hit records.
+FEW_PAIRS = 0.02  # share of a block's pairs up to which they are scored one by one
+ROUGH_NORM = 1e30  # squared norms that single precision holds with room
 
 
 def distance_scores(max_distance: float | None) -> Callable[[pa.Table], Scorer]:
@@ -29,13 +31,34 @@ def distance_scores(max_distance: float | None) -> Callable[[pa.Table], Scorer]:
     def prepare(queries: pa.Table) -> Scorer:
         wanted = matrix(queries)
         wanted_norm = (wanted ** 2).sum(axis=1)
-
-        def score(items: pa.Table) -> np.ndarray:
+        # Distances of one product in single precision, to leave out pairs that are too far by more than its error.
+        rough = np.column_stack([-2 * wanted, np.ones(len(wanted)), wanted_norm]).astype(np.float32)
+
+        def near(have: np.ndarray, norm: np.ndarray, floors: np.ndarray) -> np.ndarray | None:
+            limit = 1 - floors if max_distance is None else np.minimum(1 - floors, max_distance)
+            largest = max(norm.max(initial=0.0), wanted_norm.max(initial=0.0))
+            if not largest < ROUGH_NORM:
+                return None
+            margin = 10.0 ** -SCORE_DIGITS * 2 + (have.shape[1] + 4) * np.finfo(np.float32).eps * 4 * largest
+            distance = np.column_stack([have, norm, np.ones(len(have))]).astype(np.float32) @ rough.T
+            pairs = distance <= np.nextafter((limit + margin).astype(np.float32), np.float32(np.inf))
+            return pairs if np.count_nonzero(pairs) <= FEW_PAIRS * pairs.size else None
+
+        def score(items: pa.Table, floors: np.ndarray) -> Scored:
             have = matrix(items)
-            distance = (have ** 2).sum(axis=1)[:, None] + wanted_norm - 2 * (have @ wanted.T)
+            norm = (have ** 2).sum(axis=1)
+            pairs = near(have, norm, floors)
+            if pairs is None:
+                distance = norm[:, None] + wanted_norm - 2 * (have @ wanted.T)
+            else:
+                rows, columns = np.nonzero(pairs)
+                distance = norm[rows] + wanted_norm[columns] - 2 * np.einsum("ij,ij->i", have[rows], wanted[columns])
             distance = np.round(np.maximum(distance, 0.0), SCORE_DIGITS)
             similarity = np.round(1 - distance, SCORE_DIGITS)
-            return similarity if max_distance is None else np.where(distance < max_distance, similarity, NO_HIT)
+            if pairs is None:
+                return similarity if max_distance is None else np.where(distance < max_distance, similarity, NO_HIT)
+            hits = similarity >= floors[columns] if max_distance is None else (distance < max_distance) & (similarity >= floors[columns])
+            return rows[hits], columns[hits], similarity[hits]
 
         return score
 
