@@ -400,6 +400,38 @@ def test_suffix_tree_keeps_contexts_of_any_share(spark, store):
     assert row.score > row.base_score + 5
 
 
+def test_suffix_tree_in_many_blocks(spark, store, monkeypatch):
+    """Contexts of one to four words too frequent for a block, blocks dealt in rounds, words known to few tasks."""
+    monkeypatch.setattr(suffix_lm, "BLOCK", 300)
+    monkeypatch.setattr(suffix_lm, "WORD_SHARE", 0.005)
+    draw = random.Random(9)
+    rows = []
+    for i in range(240):
+        text = draw.choices([f"w{j}" for j in range(200)], weights=[1 / (j + 1) for j in range(200)], k=draw.randint(0, 30))
+        text[5:5] = ["a", "b", "a", "a", "b", "a", f"w{i % 3}"] * draw.randint(0, 3)
+        rows.append((i, " ".join(text) if i % 50 else None, "en", "a", 0))
+    rows += [(300 + i, "the same text for many rows of it", "en", "a", 0) for i in range(250)]
+    docs = spark.createDataFrame(rows, DOCS)
+    expected, keep = _tree_scores([(row[1] or "") for row in rows], [row[0] % 5 > 0 for row in rows])
+    model = suffix_lm.train(docs.filter("doc_id % 5 > 0"), store)
+    local = store.save(suffix_lm.local_docs(docs.selectExpr("doc_id", "text", "doc_id % 5 > 0 as train", "true as scored"), model), "local")
+    plan, _ = suffix_lm.hot_contexts(local.filter("train").select("n_tokens", "codes"), model, 20, store)
+    assert len(plan.levels) == 4 and any((level["keep"] > 0).any() for level in plan.levels[1:])
+    for trained in (None, F.col("doc_id") % 5 > 0):  # the model's texts apart, and among those to score
+        found = {r.doc_id: r.score for r in suffix_lm.score(docs, model, store, trained).collect()}
+        assert len(found) == len(rows) and all(math.isclose(found[row[0]], score, rel_tol=1e-9, abs_tol=1e-9) for row, score in zip(rows, expected))
+
+
+def test_suffix_tree_stores_little(spark, store, tmp_path):
+    """What a run stores, with 400,000 tokens of 14 bits each."""
+    draw = random.Random(4)
+    words = [f"n{i}" for i in range(40_000)]
+    docs = spark.createDataFrame([(i, " ".join(draw.choices(words, cum_weights=range(1, 40_001), k=400)), "en", "a", 0) for i in range(1000)], DOCS)
+    store.folder = str(tmp_path / "steps")
+    suffix_lm.score(docs, suffix_lm.train(docs, store), store).count()
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 10 * 400_000
+
+
 def test_mix_targets_and_stage(spark, store):
     draw = random.Random(4)
     rows = [(i, words(draw, draw.randint(1, 40)), "en", draw.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(600)]
