@@ -8,7 +8,7 @@ kept suffix of the words before it.
 
 Every token travels once, with the four words before it, to the block of its context: a hash of the last word before
 it. A block holds all occurrences of its contexts, so it counts, tests and scores them alone, and sends one sum per
-text back. Words before a token too frequent for a block ("hot", at least ``BLOCK * 3 / 4`` times) are dealt to several
+text back. Words before a token too frequent for a block ("hot", at least ``BLOCK / 4`` times) are dealt to several
 blocks by the shortest context that is not hot; the next words of hot contexts are counted beforehand, by joins, and
 sent to each of these blocks. Word sequences ("grams") are known by 64-bit hashes of the numbers of their first and
 last words but one; words with a fixed share of the tokens have small numbers known to every task, others hashes.
@@ -322,7 +322,7 @@ def _context_keys(columns: list[np.ndarray]) -> list[np.ndarray]:
 
 def hot_contexts(coded: DataFrame, model: Model, blocks: int, store: Store) -> tuple[Hot, list[DataFrame]]:
     """Hot contexts and, per length, ``(first, key, share)`` of what is listed after them."""
-    least = max(BLOCK * 3 // 4, model.often)
+    least = max(BLOCK // 4, model.often)
     keys = np.flatnonzero(model.counts >= least)
     level = {"keys": keys, "last": keys, "parts": -(-model.counts[keys] // least)}
     levels, tables, known = [], [], model.known.filter(F.col("n") >= LEAST)
@@ -332,7 +332,7 @@ def hot_contexts(coded: DataFrame, model: Model, blocks: int, store: Store) -> t
         entries = _level(_with_key(gram_counts(coded, length + 1, level["keys"])), known)
         entries = store.save(entries.select("first", "last", "key", "n", "p", "keep", "share"), "hot")
         kept = entries.filter(F.col("keep").isNotNull())
-        # One row per hot context: at most tokens / (BLOCK * 3 / 4).
+        # One row per hot context: at most 4 * tokens / BLOCK.
         states = kept.groupBy("first").agg(F.first("keep").alias("keep")).toArrow()
         place, _ = _find(level["keys"], states.column("first").to_numpy())
         level["keep"] = np.full(len(level["keys"]), np.nan)
@@ -566,14 +566,18 @@ def rare_words(coded: DataFrame, model: Model, hot, blocks: int) -> DataFrame:
 
 
 def _joined_blobs(table: pa.Table, columns: int) -> np.ndarray:
-    blobs = [_unpacked(blob, columns, size) for blob, size in zip(table.column("tokens").to_pylist(), table.column("size").to_pylist())]
-    return np.concatenate([np.zeros((columns, 0), np.int64), *blobs], axis=1)
+    sizes = table.column("size").to_pylist()
+    found, start = np.empty((columns, sum(sizes)), np.int64), 0
+    for blob, size in zip(table.column("tokens"), sizes):
+        found[:, start:start + size] = _unpacked(blob.as_py(), columns, size)
+        start += size
+    return found
 
 
 def _block_scores(counts: np.ndarray, size: float, hot: Hot, depth: int, tokens: pa.Table, given: pa.Table) -> pa.RecordBatch:
     """Sums per text over a block's tokens: the logarithm of a token's probability over its root's."""
-    rows, *columns = _joined_blobs(tokens, depth + 2)
-    rows, marks = rows >> 2, rows & 3
+    rows, *columns = (column.copy() for column in _joined_blobs(tokens, depth + 2))
+    rows, marks = rows >> 2, (rows & 3).astype(np.int8)
     (words, times), (listed_hot, share_hot) = (_sorted(*_unpacked_rows(given, kind, np.int64)) for kind in (COUNTS, SHARES))
     following = columns[0]
     place, rare = _find(words, following)
@@ -583,6 +587,7 @@ def _block_scores(counts: np.ndarray, size: float, hot: Hot, depth: int, tokens:
     root = root / size
     before, level_keys = sum((column != MISSING).astype(np.int8) for column in columns[1:]), columns
     trained = (marks & 1).astype(float)
+    del columns  # as are the keys of a length below, when no longer needed
     ratio, listed, at = np.ones(len(rows)), np.ones(len(rows), bool), np.arange(len(rows))
     for length in range(1, depth + 1):
         at = at[before[at] >= length]
